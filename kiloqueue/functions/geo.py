@@ -11,7 +11,9 @@ KM_PER_DEGREE = 111.0
 
 
 def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    if isinstance(x, Column):
+        return x
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:

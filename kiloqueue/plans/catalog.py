@@ -8,6 +8,7 @@ from kiloqueue.plans.registry import ORACLES, QUERIES
 
 MODULES = [
     "kiloqueue.plans.queue_queries",
+    "kiloqueue.plans.prep_queries",
 ]
 
 for _m in MODULES:

@@ -109,6 +109,11 @@ def with_ctes(body: str, extra: str = "") -> str:
     parts = [f"{n} AS ({CTES[n]}\n)" for n in ORDER if n in need]
     if extra.strip():
         parts.append(extra.strip())
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        # the body has its own CTE list: merge it after ours
+        parts.append(stripped[5:])
+        return "WITH " + ",\n".join(parts)
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body
@@ -134,6 +139,18 @@ def queue_wait_sql(c: str, lam: str, mu: str, queue: str = "0") -> str:
             f" + 0.5e0*(({queue})*(60e0/({mu}))/({c}))), 2) ELSE NULL END)")
 
 
+def rnd(x: str, d: int) -> str:
+    """HALF_UP rounding of the shortest decimal form of a double, as Spark's
+    ``round`` does (DuckDB's own ``round`` works on the binary value)."""
+    return f"cast(round(cast(cast(({x}) AS varchar) AS decimal(38,18)), {d}) AS double)"
+
+
+def exact_avg(x: str, over: str = "", scale: int = 4) -> str:
+    """Mean as double(exact decimal sum) / count: bit-identical in both engines."""
+    return (f"(cast(sum(cast(({x}) AS decimal(18,{scale}))) {over} AS double)"
+            f" / nullif(count({x}) {over}, 0))")
+
+
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     """atan2 form of the great-circle distance (Spark side uses asin)."""
     a = (f"(pow(sin(radians(({lat2})-({lat1}))/2), 2) + cos(radians({lat1}))*cos(radians({lat2}))"
