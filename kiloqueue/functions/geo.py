@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
@@ -59,36 +59,41 @@ def in_box(lat_col, lng_col, centre_lat, centre_lng, radius_km) -> Column:
 _MAX_LAT = 89.999
 
 
-def _band_height(radius_km: float) -> float:
-    return radius_km / KM_PER_DEGREE
+def _r(radius_km) -> Column:
+    """Radius as a Column: a literal, or e.g. a scalar subquery (largest detour in the data)."""
+    return radius_km if isinstance(radius_km, Column) else F.lit(float(radius_km))
 
 
-def lat_band(lat, radius_km: float) -> Column:
-    return F.floor(_c(lat) / F.lit(_band_height(radius_km))).cast("long")
+def _band_height(radius_km) -> Column:
+    return _r(radius_km) / F.lit(KM_PER_DEGREE)
 
 
-def _cells_in_band(band: Column, radius_km: float) -> Column:
+def lat_band(lat, radius_km) -> Column:
+    return F.floor(_c(lat) / _band_height(radius_km)).cast("long")
+
+
+def _cells_in_band(band: Column, radius_km) -> Column:
     """Number of longitude cells around the globe in a band (>= 1)."""
     h = _band_height(radius_km)
-    edge = F.greatest(F.abs(band * h), F.abs((band + 1) * h)) + F.lit(h)
+    edge = F.greatest(F.abs(band * h), F.abs((band + 1) * h)) + h
     phi = F.radians(F.least(edge, F.lit(_MAX_LAT)))
-    width = F.lit(1.01 * radius_km / KM_PER_DEGREE) / F.cos(phi)
+    width = F.lit(1.01) * _r(radius_km) / F.lit(KM_PER_DEGREE) / F.cos(phi)
     return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width).cast("long"))
 
 
-def lng_cell(lng, band: Column, radius_km: float) -> Column:
+def lng_cell(lng, band: Column, radius_km) -> Column:
     n = _cells_in_band(band, radius_km)
     pos = F.floor((_c(lng) + F.lit(180.0)) / (F.lit(360.0) / n)).cast("long")
     return F.pmod(pos, n)
 
 
-def own_cell(lat, lng, radius_km: float) -> Column:
+def own_cell(lat, lng, radius_km) -> Column:
     """Grid key of a point: struct(band, cell)."""
     band = lat_band(lat, radius_km)
     return F.struct(band.alias("band"), lng_cell(lng, band, radius_km).alias("cell"))
 
 
-def neighbour_cells(lat, lng, radius_km: float) -> Column:
+def neighbour_cells(lat, lng, radius_km) -> Column:
     """Array of the grid keys that can hold a point within ``radius_km``."""
     band = lat_band(lat, radius_km)
     keys = []
@@ -100,3 +105,20 @@ def neighbour_cells(lat, lng, radius_km: float) -> Column:
             keys.append(F.struct(b.alias("band"), F.pmod(c + dc, n).alias("cell")))
     # Narrow bands near the poles have < 3 cells: drop repeated keys.
     return F.array_distinct(F.array(*keys))
+
+
+def within_radius_pairs(left: DataFrame, right: DataFrame, left_lat: str, left_lng: str,
+                        right_lat: str, right_lng: str, radius_km, dist_col: str = "distance_km",
+                        strict: bool = False) -> DataFrame:
+    """Distance join: all (left, right) pairs closer than ``radius_km`` (<= unless ``strict``).
+
+    ``right`` keeps its own cell key; ``left`` is exploded to its <= 9
+    neighbour keys; equi join on the key; exact haversine filter.  Column
+    names of the two sides must not collide.
+    """
+    r = _r(radius_km)
+    rk = right.withColumn("_gkey", own_cell(right_lat, right_lng, r))
+    lk = left.withColumn("_gkey", F.explode(neighbour_cells(left_lat, left_lng, r)))
+    d = haversine_km(F.col(left_lat), F.col(left_lng), F.col(right_lat), F.col(right_lng))
+    pairs = lk.join(rk, "_gkey").drop("_gkey").withColumn(dist_col, d)
+    return pairs

@@ -9,6 +9,8 @@ from kiloqueue.plans.registry import ORACLES, QUERIES
 MODULES = [
     "kiloqueue.plans.queue_queries",
     "kiloqueue.plans.prep_queries",
+    "kiloqueue.plans.serve_queries",
+    "kiloqueue.plans.summary_queries",
 ]
 
 for _m in MODULES:

@@ -81,11 +81,30 @@ CTES: dict[str, str] = {
     37.7749e0 + cast((n_nationkey*17 + i*23)%121 - 60 AS double)/1e3 AS wp_lat,
     -122.4194e0 + cast((n_nationkey*31 + i*41)%201 - 100 AS double)/1e3 AS wp_lng
   FROM nation, range(0, 3) t(i)""",
+    # queue wait with lambda = max(.1, queue+1), mu = 3, current queue; clipped to [0, 120]
+    "predictions": """
+  SELECT station_id, cast(sq AS int) AS seq,
+    CASE WHEN sq = 1 THEN w ELSE least(120e0, w*1.5e0 + 10e0) END AS predicted_wait_min, u AS utilization_pct
+  FROM (
+    SELECT station_id, least(greatest(coalesce(QWAIT, 'inf'::double), 0e0), 120e0) AS w,
+      RHOPCT AS u
+    FROM stations) p, range(1, 3) t(sq)
+  WHERE sq = 1 OR station_id % 3 = 0""",
+    "saved_prefs": """
+  SELECT user_id, 'availability' AS priority, 'CHAdeMO' AS connector_pref, 10e0 AS max_detour_km
+  FROM users WHERE user_id % 5 = 0""",
+    "alert_events": """
+  SELECT s.session_id, s.station_id, st.name, st.status, s.session_start AS event_time,
+    s.wait_time_minutes AS predicted_wait_min,
+    round((st.num_ports - least(s.available_ports, st.num_ports)) / st.num_ports * 100e0, 1) AS utilization_pct
+  FROM sessions s JOIN stations st USING (station_id)""",
 }
 
 # Which CTE reads which other CTE (for ordering).
-DEPS = {"traffic": ["sessions"], "raw_stations": ["stations"]}
-ORDER = ["stations", "sessions", "sessions_big", "users", "traffic", "raw_stations", "routes"]
+DEPS = {"traffic": ["sessions"], "raw_stations": ["stations"], "predictions": ["stations"],
+        "saved_prefs": ["users"], "alert_events": ["stations", "sessions"]}
+ORDER = ["stations", "sessions", "sessions_big", "users", "traffic", "raw_stations", "routes",
+         "predictions", "saved_prefs", "alert_events"]
 
 
 def _refs(text: str) -> set[str]:
@@ -110,6 +129,9 @@ def with_ctes(body: str, extra: str = "") -> str:
     if extra.strip():
         parts.append(extra.strip())
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        parts.append(stripped[15:])
+        return "WITH RECURSIVE " + ",\n".join(parts)
     if stripped[:5].upper() == "WITH ":
         # the body has its own CTE list: merge it after ours
         parts.append(stripped[5:])
@@ -135,8 +157,9 @@ def queue_wait_sql(c: str, lam: str, mu: str, queue: str = "0") -> str:
     """Blended wait (Q-D), NULL when unstable."""
     rho = f"(({lam})/(({c})*({mu})))"
     ec = erlang_c_sql(c, lam, mu)
-    return (f"(CASE WHEN {rho} < 1 THEN round(greatest(0e0, 0.5e0*({ec}/(({c})*({mu}) - ({lam}))*60e0)"
-            f" + 0.5e0*(({queue})*(60e0/({mu}))/({c}))), 2) ELSE NULL END)")
+    inner = (f"greatest(0e0, 0.5e0*({ec}/(({c})*({mu}) - ({lam}))*60e0)"
+             f" + 0.5e0*(({queue})*(60e0/({mu}))/({c})))")
+    return f"(CASE WHEN {rho} < 1 THEN {rnd(inner, 2)} ELSE NULL END)"
 
 
 def rnd(x: str, d: int) -> str:
@@ -156,3 +179,14 @@ def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     a = (f"(pow(sin(radians(({lat2})-({lat1}))/2), 2) + cos(radians({lat1}))*cos(radians({lat2}))"
          f"*pow(sin(radians(({lng2})-({lng1}))/2), 2))")
     return f"(6371e0*2*atan2(sqrt({a}), sqrt(1e0 - least(1e0, {a}))))"
+
+
+def _fill_predictions() -> None:
+    """The predictions CTE embeds the queue wait expression (rounded like Q-D, then M-14's 1 decimal)."""
+    w = queue_wait_sql("greatest(1, num_ports)", "greatest(0.1e0, queue_size + 1e0)", "3e0", "queue_size")
+    pct = rnd("greatest(0.1e0, queue_size + 1e0)/(greatest(1, num_ports)*3e0)*100e0", 1)
+    CTES["predictions"] = CTES["predictions"].replace(
+        "QWAIT", f"(CASE WHEN {w} IS NULL THEN NULL ELSE greatest(0e0, {rnd(w, 1)}) END)").replace("RHOPCT", pct)
+
+
+_fill_predictions()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiloqueue.operators import queueing as qm
-from kiloqueue.plans.oracle_base import erlang_c_sql, queue_wait_sql
+from kiloqueue.plans.oracle_base import erlang_c_sql, queue_wait_sql, rnd
 from kiloqueue.plans.registry import register
 from kiloqueue.sources import adapter as ad
 
@@ -32,13 +32,13 @@ def _queue_select(c: str, lam: str, mu: str, queue: str, name: str, cq: str) ->
     wait = queue_wait_sql(c, lam, mu, queue)
     return f"""
   station_id, {name} AS station_name, {c} AS num_ports, {lam} AS arrival_rate,
-  {mu} AS service_rate, round({rho}, 4) AS rho, round({erlang_c_sql(c, lam, mu)}, 4) AS erlang_c,
+  {mu} AS service_rate, {rnd(rho, 4)} AS rho, {rnd(erlang_c_sql(c, lam, mu), 4)} AS erlang_c,
   {wait} AS avg_wait_min,
-  CASE WHEN {rho} < 1 THEN round(({lam}) * {wait} / 60e0, 3) END AS avg_queue_length,
-  round({wait} + 60e0/({mu}), 2) AS avg_system_time_min,
-  round(least({lam}, ({c})*({mu})), 2) AS throughput_per_hr,
+  CASE WHEN {rho} < 1 THEN {rnd(f"({lam}) * {wait} / 60e0", 3)} END AS avg_queue_length,
+  {rnd(f"{wait} + 60e0/({mu})", 2)} AS avg_system_time_min,
+  {rnd(f"least({lam}, ({c})*({mu}))", 2)} AS throughput_per_hr,
   {rho} < 1 AS system_stable, cast({cq} AS int) AS current_queue,
-  round({rho}*100e0, 1) AS utilization_pct"""
+  {rnd(f"{rho}*100e0", 1)} AS utilization_pct"""
 
 
 _G = "greatest(1, num_ports)", "greatest(0.01e0, arrival_rate)", "greatest(0.01e0, service_rate)"

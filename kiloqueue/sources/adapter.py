@@ -188,3 +188,46 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(CITY_LAT) + ((r * 17 + i * 23) % 121 - 60).cast("double") / 1e3).alias("wp_lat"),
         (F.lit(CITY_LNG) + ((r * 31 + i * 41) % 201 - 100).cast("double") / 1e3).alias("wp_lng"),
     )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: queue-model prediction per station (M-14, clipped to [0, 120] as P-20),
+    plus a later second prediction (seq 2) for every third station, so that
+    'last prediction wins' lookups are exercised."""
+    from kiloqueue.functions.scalars import clip
+    from kiloqueue.operators.predict import predict_table
+
+    p = predict_table(stations(spark, sf_dir)).select(
+        "station_id", clip(F.col("predicted_wait_min"), 0.0, 120.0).alias("predicted_wait_min"),
+        "utilization_pct")
+    first = p.select("station_id", F.lit(1).alias("seq"), "predicted_wait_min", "utilization_pct")
+    later = p.where(F.col("station_id") % 3 == 0).select(
+        "station_id", F.lit(2).alias("seq"),
+        F.least(F.lit(120.0), F.col("predicted_wait_min") * 1.5 + 10.0).alias("predicted_wait_min"),
+        "utilization_pct")
+    return first.unionByName(later)
+
+
+def saved_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: saved preferences for every fifth user (R-G)."""
+    u = users(spark, sf_dir)
+    return u.where(F.col("user_id") % 5 == 0).select(
+        "user_id", F.lit("availability").alias("priority"), F.lit("CHAdeMO").alias("connector_pref"),
+        F.lit(10.0).alias("max_detour_km"))
+
+
+def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert input stream: one station reading per session, in event time.
+
+    predicted wait = the session's wait; utilisation from the session's free
+    ports against the station's ports; status / name from the station.
+    """
+    st = stations(spark, sf_dir).select("station_id", "name", "num_ports", "status")
+    s = sessions(spark, sf_dir).select("session_id", "station_id", "session_start", "available_ports",
+                                      "wait_time_minutes")
+    j = s.join(st, "station_id")
+    avail = F.least(F.col("available_ports"), F.col("num_ports"))
+    return j.select(
+        "session_id", "station_id", "name", "status", F.col("session_start").alias("event_time"),
+        F.col("wait_time_minutes").alias("predicted_wait_min"),
+        F.round((F.col("num_ports") - avail) / F.col("num_ports") * 100.0, 1).alias("utilization_pct"))
