@@ -300,3 +300,27 @@ SELECT session_id, coalesce(lag_1, (SELECT coalesce(median(lag_1), 0e0) FROM f))
 def p_22_median_fill(spark, sf_dir):
     out = fe.add_lag_features(ad.sessions(spark, sf_dir), lags=[1, 24]).select("session_id", "lag_1", "lag_24")
     return fe.fill_numeric_medians(out, ["lag_1", "lag_24"])
+
+
+_WB = ("OVER (PARTITION BY station_id ORDER BY session_start, l_orderkey, l_linenumber, l_partkey "
+       "ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)")
+_LB = "OVER (PARTITION BY station_id ORDER BY session_start, l_orderkey, l_linenumber, l_partkey)"
+
+
+@register("w_01_04_rolling_lags_big", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, station_id,
+  {exact_avg('session_duration_min', _WB.format(n=6))} AS rolling_mean_1h,
+  round(coalesce(stddev_samp(session_duration_min) {_WB.format(n=6)}, 0e0), 9) AS rolling_std_1h,
+  {exact_avg('session_duration_min', _WB.format(n=36))} AS rolling_mean_6h,
+  lag(session_duration_min, 1) {_LB} AS lag_1, lag(session_duration_min, 24) {_LB} AS lag_24
+FROM sessions_big""")
+def w_01_04_rolling_lags_big(spark, sf_dir):
+    order = ("session_start", "l_orderkey", "l_linenumber", "l_partkey")
+    s = ad.sessions_big(spark, sf_dir)
+    roll = fe.rolling_columns("session_duration_min", "station_id", order, {"1h": 6, "6h": 36}, decimal_scale=4)
+    lags = fe.lag_columns("session_duration_min", "station_id", order, [1, 24])
+    return s.select("l_orderkey", "l_linenumber", "l_partkey", "station_id",
+                    roll["rolling_mean_1h"].alias("rolling_mean_1h"),
+                    F.round(roll["rolling_std_1h"], 9).alias("rolling_std_1h"),
+                    roll["rolling_mean_6h"].alias("rolling_mean_6h"),
+                    lags["lag_1"].alias("lag_1"), lags["lag_24"].alias("lag_24"))

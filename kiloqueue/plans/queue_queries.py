@@ -155,3 +155,13 @@ FROM (
 def q_i_sensitivity(spark, sf_dir):
     rates = qm.station_rates(ad.stations(spark, sf_dir), ad.sessions(spark, sf_dir))
     return qm.sensitivity(rates, steps=20)
+
+
+# --- bench scale: sessions from lineitem (600k rows at sf0.1) ------------------------
+
+@register("q_g_network_queue_big", sql=f"""
+SELECT {_queue_select(*_G, '0', 'name', '0')}
+FROM rates""", ctes=_RATES_CTE.replace("FROM sessions", "FROM sessions_big"))
+def q_g_network_queue_big(spark, sf_dir):
+    return qm.analyze_network(ad.stations(spark, sf_dir), ad.sessions_big(spark, sf_dir),
+                              unstable_wait=None, sort=False)
