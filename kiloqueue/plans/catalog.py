@@ -11,6 +11,7 @@ MODULES = [
     "kiloqueue.plans.prep_queries",
     "kiloqueue.plans.serve_queries",
     "kiloqueue.plans.summary_queries",
+    "kiloqueue.plans.ts_queries",
 ]
 
 for _m in MODULES:
