@@ -12,6 +12,7 @@ MODULES = [
     "kiloqueue.plans.serve_queries",
     "kiloqueue.plans.summary_queries",
     "kiloqueue.plans.ts_queries",
+    "kiloqueue.plans.stream_queries",
 ]
 
 for _m in MODULES:
