@@ -13,6 +13,7 @@ MODULES = [
     "kiloqueue.plans.summary_queries",
     "kiloqueue.plans.ts_queries",
     "kiloqueue.plans.stream_queries",
+    "kiloqueue.plans.io_ml_queries",
 ]
 
 for _m in MODULES:
