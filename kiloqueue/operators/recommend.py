@@ -121,25 +121,62 @@ def score_record(rank_col: str | None = "rank", distance: Column | None = None)
     ]
 
 
+def station_scores(stations: DataFrame) -> DataFrame:
+    """Station-level parts of R-B (independent of the user): computed once per
+    station instead of once per (user, station) pair."""
+    avail = F.coalesce(F.col("available_ports"), F.lit(1))
+    total = F.coalesce(F.col("num_ports"), F.greatest(avail, F.lit(1)))
+    traffic = F.coalesce(F.col("traffic_score"), F.lit(0.3))
+    status = F.coalesce(F.col("status").cast("string"), F.lit("Unknown"))
+    return stations.withColumns({
+        "_s_wait": F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_wait") / MAX_WAIT_NORMALISE),
+        "_s_avail": avail / F.greatest(total, F.lit(1)),
+        "_s_rel": F.when(status.contains("Operational") | status.contains("Online"), 1.0).otherwise(0.3),
+        "_s_traffic": F.greatest(F.lit(0.0), F.lit(1.0) - traffic),
+        "_avail": avail, "_total": total, "_traffic": traffic, "_status": status,
+        "_power": F.coalesce(F.nullif(F.col("power_kw"), F.lit(0.0)), F.lit(50.0)),
+        "_conn_l": F.lower(F.coalesce(F.col("connector_type").cast("string"), F.lit(""))),
+    })
+
+
+def pair_composite(dist: Column, connector_pref: Column) -> Column:
+    """R-C on a (user, station) pair, from the station parts and the user's weights."""
+    s_dist = F.greatest(F.lit(0.0), F.lit(1.0) - dist / MAX_DIST_NORMALISE)
+    comp = (F.col("w_wait") * F.col("_s_wait") + F.col("w_distance") * s_dist
+            + F.col("w_availability") * F.col("_s_avail") + F.col("w_reliability") * F.col("_s_rel")
+            + F.col("w_traffic") * F.col("_s_traffic"))
+    match = connector_pref.isNotNull() & (connector_pref != "") & F.col("_conn_l").contains(F.lower(connector_pref))
+    comp = F.when(match, F.least(F.lit(1.0), comp + CONNECTOR_BONUS)).otherwise(comp)
+    return F.when(F.col("_power") >= FAST_CHARGER_KW, F.least(F.lit(1.0), comp + POWER_BONUS)).otherwise(comp)
+
+
 def recommend(users: DataFrame, stations: DataFrame, predictions: DataFrame | None = None,
               top_n: int = 5, radius_km=None) -> DataFrame:
     """R-D for every user: detour filter (P-17), scores, top-N per user (O-02/W-06).
 
     ``users``: user_id, user_lat, user_lng, priority, connector_pref, max_detour_km.
     The grid cell size is the largest detour present in ``users`` (a one-row
-    scalar subquery), so every user's radius is covered exactly.
+    scalar subquery), so every user's radius is covered exactly.  Pair rows
+    carry only (user, station, distance, composite) through the top-N sort;
+    station details are joined back for the winners only.
     """
     u = with_weights(users)
     if "connector_pref" not in u.columns:
         u = u.withColumn("connector_pref", F.lit(None).cast("string"))
+    u = u.select("user_id", "user_lat", "user_lng", "max_detour_km", "connector_pref", *WEIGHT_COLUMNS)
     radius = radius_km if radius_km is not None else users.select(F.max("max_detour_km")).scalar()
-    st = attach_wait(stations, predictions)
-    pairs = geo.within_radius_pairs(u, st, "user_lat", "user_lng", "lat", "lng", radius)
+    st = station_scores(attach_wait(stations, predictions))
+    slim = st.select("station_id", "lat", "lng", "_s_wait", "_s_avail", "_s_rel", "_s_traffic", "_power", "_conn_l")
+    pairs = geo.within_radius_pairs(u, slim, "user_lat", "user_lng", "lat", "lng", radius)
     pairs = pairs.where(F.col("distance_km") <= F.col("max_detour_km"))
-    scored = pairs.withColumns(score_columns(F.col("distance_km"), F.col("connector_pref")))
+    scored = pairs.select("user_id", "station_id", "distance_km",
+                          pair_composite(F.col("distance_km"), F.col("connector_pref")).alias("composite"))
     w = Window.partitionBy("user_id").orderBy(F.col("composite").desc(), F.col("station_id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    return ranked.select("user_id", *score_record())
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    full = top.join(st.drop("lat", "lng").join(stations.select("station_id", "lat", "lng"), "station_id"),
+                    "station_id")
+    full = full.withColumn("_s_dist", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance_km") / MAX_DIST_NORMALISE))
+    return full.select("user_id", *score_record())
 
 
 def recommend_en_route(routes: DataFrame, stations: DataFrame, max_detour_km: float = 5.0,
