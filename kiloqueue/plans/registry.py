@@ -7,6 +7,7 @@ through ``kiloqueue.sources.adapter`` and returns a DataFrame.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,41 @@ from kiloqueue.plans.oracle_base import with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+# DuckDB result types differ from Spark's for a few functions (hour() is BIGINT,
+# count_if() is HUGEINT, regr_count() is UINTEGER); the oracle text casts them
+# to the Spark types so that result schemas compare equal.
+_TYPE_FIXES = [
+    (re.compile(r"\b(hour|month|day|weekofyear)\(session_start\)"), r"cast(\1(session_start) AS int)"),
+    (re.compile(r"\bregr_count\(dy, yl\)"), r"cast(regr_count(dy, yl) AS bigint)"),
+    (re.compile(r"cast\(session_start AS date\) AS date,"), r"strftime(cast(session_start AS date), '%Y-%m-%d') AS date,"),
+]
+
+
+def _wrap_count_if(sql: str) -> str:
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("count_if")
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "cast(" + sql[j:k + 1] + " AS bigint)")
+        i = k + 1
+
+
+def normalise_types(sql: str) -> str:
+    for pat, rep in _TYPE_FIXES:
+        sql = pat.sub(rep, sql)
+    return _wrap_count_if(sql)
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +63,7 @@ def register(name: str, sql: str | None = None, ctes: str = ""):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, ctes)
+            ORACLES[name] = normalise_types(with_ctes(sql, ctes))
         return fn
 
     return deco
