@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiloqueue.llm import mixing, quality_rules
+from kiloqueue.llm import decontaminate, line_dedup, minhash, mixing, quality_rules
 from kiloqueue.llm.common import Scratch, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,6 +21,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs, read(spark, sf_dir, "labels"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go; a document that loses all its lines stays with an empty text."""
+    return line_dedup.without_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest id stays."""
+    return minhash.keep_first(docs)
+
+
+def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text go."""
+    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, by source."""
     return mixing.mix(docs)
@@ -28,6 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("near_duplicates", near_copies),
+    ("decontamination", benchmark_texts),
     ("mix_sources", mix),
 ]
 

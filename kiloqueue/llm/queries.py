@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiloqueue.llm import html_text, minhash, mixing, quality_model, quality_rules, warc
+from kiloqueue.llm import (decontaminate, html_text, language_id, line_dedup, minhash, mixing, ngram_trie, quality_model,
+                           quality_rules, warc)
 from kiloqueue.llm.common import read
 
 
@@ -16,6 +17,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_lines", "n_removed")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -28,10 +37,19 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_quality_classifier, op5_html_text, op6_quality_rules, op7_warc_round_trip, op9_near_duplicates)}
+    op1_mix_sources, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_html_text, op6_quality_rules,
+    op7_warc_round_trip, op8_ngram_scores, op9_near_duplicates, op10_language_id)}
 ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
