@@ -43,6 +43,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ Edge cases: null and empty texts have no lines and stay as they are; lines
 without a word stay; a document may lose all its lines and stays with an empty
 text; rows equal in id and text are one document (each gets the same result);
 a null doc_id comes first; an empty table gives an empty result.  Other columns
-are kept; ``n_chars`` is set to the new length.
+are kept by ``without_copies``; ``n_chars`` is set to the new length.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiloqueue.llm.common import Scratch
+from kiloqueue.llm.common import Scratch, fresh
 
 MIN_WORDS = 50
 
@@ -133,9 +133,10 @@ def _cut(text: str, starts, sizes) -> tuple[str, int, int]:
     return "\n".join(kept), len(at), len(out)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with later copies of line runs deleted, and n_lines, n_removed (lines with a word)."""
+def _rewritten(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """docs with one more column (its name is returned): the rewritten text, n_lines and n_removed."""
     tmp = Scratch(docs.sparkSession, "lines")
+    key, runs, out = fresh(docs, "_key"), fresh(docs, "_runs"), fresh(docs, "_cut")
     gone = tmp.keep(later_copies(docs, tmp, min_words).groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("runs")), "gone")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
@@ -143,14 +144,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         rows = [_cut(t, s, m) for t, s, m in zip(text, starts, sizes)]
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = docs.withColumn("_key", row_key()).join(gone.withColumnRenamed("key", "_key").withColumnRenamed("runs", "_runs"), "_key", "left")
-    done = joined.withColumn("_cut", cut(F.coalesce("text", F.lit("")), F.col("_runs.start"), F.col("_runs.m")))
-    text = F.when(F.col("text").isNotNull(), F.col("_cut.text"))
-    return done.select(*[F.col(f"`{c}`") for c in columns], text.alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
-                       F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_removed").alias("n_removed"))
+    joined = docs.withColumn(key, row_key()).join(gone.select(F.col("key").alias(key), F.col("runs").alias(runs)), key, "left")
+    done = cut(F.coalesce("text", F.lit("")), F.col(f"{runs}.start"), F.col(f"{runs}.m"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(out)), out
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row of docs: doc_id, text without later copies of line runs, n_chars, n_lines, n_removed (lines with a word)."""
+    done, out = _rewritten(docs, min_words)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{out}.text"))
+    return done.select("doc_id", text.alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
+                       F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_removed").alias("n_removed"))
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``dedup_lines`` with the columns of docs alone."""
-    return dedup_lines(docs, min_words).select(*docs.columns)
+    """The rows of docs with the text rewritten, n_chars (if there) set anew, and all other columns as they are."""
+    done, out = _rewritten(docs, min_words)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{out}.text"))
+    new = {"text": text, "n_chars": F.when(F.col("text").isNotNull(), F.length(text).cast("long"))}
+    return done.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -5,8 +5,10 @@ bin keeps its least value.  An empty bin copies the bin that a fixed random walk
 of bin numbers reaches first.  Bands of ``rows`` bins make bucket keys; in each
 bucket every text is paired with one centre only (a star), and the centre is
 drawn anew for each band, so a text meets several centres of its group.  Pairs
-are confirmed on the full shingle sets, and buckets that still hold texts of
-different components get new centres until a round finds no new link.
+whose signatures agree in too few bins (``LIKELY``, over four standard
+deviations below the threshold) go, the others are confirmed on the full shingle
+sets.  Buckets that still hold texts of different components get ``CENTRES`` new
+centres each, until a round finds no new link.
 
 Equal sets collapse to one class before any bucket is formed, counts and minima
 are aggregated before the shuffle, and components come from large-star /
@@ -36,8 +38,10 @@ ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 #: percent of the union that the intersection must have
 PERCENT = 80
-#: stop of the rounds that draw new centres, far above the two or three that occur
-MAX_ROUNDS = 12
+#: new centres of a bucket in each later round
+CENTRES = 8
+#: percent of equal bins below which a pair is not confirmed on its sets
+LIKELY = PERCENT - 12
 _U = np.uint64
 
 
@@ -87,22 +91,24 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class (128-bit digest of the set), bands (bucket keys); the last two null for empty sets."""
+    """doc_id, n_shingles, class (128-bit digest of the set), bands (bucket keys), bins (a byte of each); the last three null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column(1).to_pylist(), width))
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[np.ndarray | None] = [None] * len(sets)
+            bins: list[bytes | None] = [None] * len(sets)
             for lo in range(0, len(some), 512):
                 part = some[lo: lo + 512]
-                for i, k in zip(part, band_keys(signatures([sets[i] for i in part]), rows).view(np.int64)):
-                    keys[i] = k
+                values = signatures([sets[i] for i in part])
+                for i, k, v in zip(part, band_keys(values, rows).view(np.int64), mix64(values).astype(np.uint8)):
+                    keys[i], bins[i] = k, v.tobytes()
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "class", "bands"])
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(bins, pa.binary())], ["doc_id", "n_shingles", "class", "bands", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>, bins binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -117,26 +123,36 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+def _test_pairs(pairs: DataFrame, values: DataFrame, column: str, passes) -> DataFrame:
+    """The pairs (a, b) whose values pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+            at = pa.array([i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if passes(x, y)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    left = values.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    right = values.select(F.col("node").alias("b"), F.col(column).alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures agree in at least ``percent`` of the bins."""
+    need = percent << BIN_BITS
+    return _test_pairs(pairs, classes, "bins", lambda x, y: 100 * int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= need)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    def similar(x: bytes, y: bytes) -> bool:
+        u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
+        if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+            return False
+        union = len(np.union1d(u, v))
+        return 100 * (len(u) + len(v) - union) >= percent * union
+
+    return _test_pairs(pairs, sets, "shingles", similar)
+
+
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): the least node reachable.
 
@@ -155,7 +171,7 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
 
     state, edges, step = None, links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
     while True:
-        edges = tmp.keep(star(star(edges, True), False), f"{name}-{step}")
+        edges = tmp.keep(star(star(star(star(edges, True), False), True), False), f"{name}-{step}")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if step:
             tmp.drop(f"{name}-{step - 1}")
@@ -166,10 +182,11 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def star_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each node of a bucket with the bucket's centre, the node least after a bucket's own bit mask."""
-    mask = F.xxhash64("bucket", F.lit(seed))
-    centres = (members.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+def star_pairs(members: DataFrame, seeds: range) -> DataFrame:
+    """(a, b): each node of a bucket with a centre of the bucket, the node least after a bit mask of bucket and seed."""
+    wide = members.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))) if len(seeds) > 1 else members.withColumn("seed", F.lit(seeds[0]))
+    mask = F.xxhash64("bucket", "seed")
+    centres = (wide.groupBy("bucket", "seed").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
                .filter("lo < hi").select("bucket", F.col("c").bitwiseXOR(mask).alias("centre")))
     return (members.join(centres, "bucket").filter("node <> centre")
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
@@ -179,29 +196,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     tmp = Scratch(docs.sparkSession, "minhash")
     sketches = tmp.keep(sketch(docs, width, rows), "sketches")
-    classes = (sketches.filter("n_shingles > 0").groupBy("class")
-               .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    classes = tmp.keep(classes, "classes")
-    buckets = classes.filter("node is not null").select("node", F.explode("bands").alias("bucket"))
-    pairs = tmp.keep(star_pairs(buckets, 0).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs0")
+    classes = tmp.keep(sketches.filter("n_shingles > 0").groupBy("class").agg(
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
+    named = classes.filter("node is not null")
+    buckets = named.select("node", F.explode("bands").alias("bucket"))
+    pairs = tmp.keep(star_pairs(buckets, range(1)).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = tmp.keep(asked.join(classes.select("node", "class"), "node"), "wanted")
+    wanted = tmp.keep(asked.join(named.select("node", "class", "bins"), "node"), "wanted")
     texts = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     sets = tmp.keep(full_sets(texts.select("node", "class", "text"), width), "sets")
 
-    # first each node's most promising pair, then those between different components
+    # first each node's most promising pair, then those between different components, then new centres
     best = pairs.groupBy(F.col("b").alias("n")).agg(F.max_by("a", "shared").alias("a")).select("a", F.col("n").alias("b"))
-    links = tmp.keep(confirm(best, sets, percent), "links0")
-    found = tmp.keep(components(links, tmp, "star0"), "found0")
-    open_pairs = pairs.join(best, ["a", "b"], "left_anti")
-    for step in range(1, MAX_ROUNDS):
-        more = tmp.keep(confirm(_across(open_pairs, found), sets, percent), f"links{step}")
-        if step > 1 and more.isEmpty():
+    links = tmp.keep(confirm(likely(best, wanted, LIKELY), sets, percent), "links0")
+    found, step = tmp.keep(components(links, tmp, "star0"), "found0"), 0
+    open_pairs = pairs.select("a", "b")
+    while True:
+        step += 1
+        tried = tmp.keep(likely(_across(open_pairs, found), wanted, LIKELY), f"likely{step}")
+        links = tmp.keep(confirm(tried, sets, percent), f"links{step}")
+        if not links.isEmpty():
+            found = tmp.keep(_merged(found, links, tmp, f"star{step}"), f"found{step}")
+        elif step > 1:
             break
-        links = links.unionByName(more)
-        found = tmp.keep(components(links, tmp, f"star{step}"), f"found{step}")
-        mixed = _mixed(buckets, wanted, found)
-        open_pairs = tmp.keep(star_pairs(mixed, step).distinct(), f"pairs{step}")
+        mixed = tmp.keep(_mixed(buckets, wanted, found), f"mixed{step}")
+        open_pairs = star_pairs(mixed, range(CENTRES * step, CENTRES * step + CENTRES)).distinct()
 
     label = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "class").join(label, "class", "left")
@@ -209,13 +228,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _labels(found: DataFrame, node: str) -> DataFrame:
+    return found.select(F.col("node").alias(node), F.col("component").alias(f"c{node}"))
+
+
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component yet."""
-    side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    joined = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    joined = pairs.join(_labels(found, "a"), "a", "left").join(_labels(found, "b"), "b", "left")
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _merged(found: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+    """The components after more links: components of the old ones' representatives, carried over to the nodes."""
+    ends = links.join(_labels(found, "a"), "a", "left").join(_labels(found, "b"), "b", "left")
+    moved = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), tmp, name)
+    moved = tmp.keep(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), f"{name}-moved")
+    old = found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(found.select(F.col("node").alias("component")), "component", "left_anti")
+    return old.unionByName(new.select(F.col("component").alias("node"), F.col("to").alias("component")))
+
+
 def _mixed(buckets: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Buckets of the nodes with candidates that hold more than one component."""
     members = buckets.join(wanted.select("node"), "node", "left_semi").join(found, "node", "left") \

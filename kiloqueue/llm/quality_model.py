@@ -54,9 +54,9 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     again[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(words))] - 1] = False
     rows.append(np.full(int(again.sum()), REPEAT, np.int32))
     owner.append(owner[0][1:][again])
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8).astype(np.uint32)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) + 1 for r in raw])
+    raw = [b"\n" + (t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]  # a text has its own boundaries
+    buf = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) for r in raw])
     # white space becomes one boundary mark, which n-grams may begin or end with
     gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
     buf[gap] = 32
@@ -68,7 +68,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         inner = inner[:size] | (gap[n - 2: n - 2 + size] if n > 2 else False)
         code = code[:size] * np.uint32(0x01000193) + buf[n - 1:]
         if n in NGRAMS:
-            keep = np.flatnonzero(~inner & ~(gap[:size] & gap[n - 1:]))
+            keep = np.flatnonzero(~inner & ~(gap[:size] & gap[n - 1:] & (n == 2)))
             h = code[keep] * np.uint32(0x9E3779B1) + np.uint32(n)
             rows.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS)).astype(np.int32))
             owner.append(doc[keep])
