@@ -46,7 +46,7 @@ from kiloqueue.llm.common import Scratch, hash_words, id_bucket, text_blocks
 
 PRIOR = 32.0
 FREQUENT = 1 << 17
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 BATCH_CHARS = 6 << 20
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 #: log10 probabilities are coded in steps of CODE_STEP from 0 down
@@ -376,6 +376,8 @@ def score_shard(known: Counts, prior: float = PRIOR):
         words, word = np.unique(w, return_inverse=True)
         pair = of.astype(_U) * _U(len(words)) + word.astype(_U)
         learned = train[doc]
+        of = of.astype(np.int32)
+        del v, w, word
         order = np.argsort(pair)
         first = np.flatnonzero(np.diff(pair[order], prepend=~pair[order][:1]))
         distinct = pair[order][first]
