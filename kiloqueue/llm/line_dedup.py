@@ -144,7 +144,8 @@ def _rewritten(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
         rows = [_cut(t, s, m) for t, s, m in zip(text, starts, sizes)]
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    joined = docs.withColumn(key, row_key()).join(gone.select(F.col("key").alias(key), F.col("runs").alias(runs)), key, "left")
+    # the same plan at every size: the runs grow with the corpus, so they are never broadcast
+    joined = docs.withColumn(key, row_key()).join(gone.select(F.col("key").alias(key), F.col("runs").alias(runs)).hint("merge"), key, "left")
     done = cut(F.coalesce("text", F.lit("")), F.col(f"{runs}.start"), F.col(f"{runs}.m"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(out)), out
 
