@@ -17,12 +17,12 @@ def _c(x) -> Column:
 
 
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
-    """Great-circle distance, R = 6371 km. ``asin`` form, argument clamped to 1."""
+    """Great-circle distance, R = 6371 km. ``asin`` form, argument clamped to 1; null for null coordinates."""
     lat1, lng1, lat2, lng2 = map(_c, (lat1, lng1, lat2, lng2))
     dlat = F.radians(lat2 - lat1)
     dlng = F.radians(lng2 - lng1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def planar_km(lat1, lng1, lat2, lng2) -> Column:
@@ -110,7 +110,7 @@ def neighbour_cells(lat, lng, radius_km) -> Column:
 def within_radius_pairs(left: DataFrame, right: DataFrame, left_lat: str, left_lng: str,
                         right_lat: str, right_lng: str, radius_km, dist_col: str = "distance_km",
                         strict: bool = False) -> DataFrame:
-    """Distance join: all (left, right) pairs closer than ``radius_km`` (<= unless ``strict``).
+    """Distance join: all (left, right) pairs within ``radius_km`` (closer than it if ``strict``).
 
     ``right`` keeps its own cell key; ``left`` is exploded to its <= 9
     neighbour keys; equi join on the key; exact haversine filter.  Column
@@ -121,4 +121,4 @@ def within_radius_pairs(left: DataFrame, right: DataFrame, left_lat: str, left_l
     lk = left.withColumn("_gkey", F.explode(neighbour_cells(left_lat, left_lng, r)))
     d = haversine_km(F.col(left_lat), F.col(left_lng), F.col(right_lat), F.col(right_lng))
     pairs = lk.join(rk, "_gkey").drop("_gkey").withColumn(dist_col, d)
-    return pairs
+    return pairs.where(F.col(dist_col) < r if strict else F.col(dist_col) <= r)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Label texts and thresholds of the reference's rules.
+# Fixed values, here and in the label functions below: texts and thresholds of the rules.
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 DAY_SHORT = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 CYCLIC_PERIODS = {"hour": ("hour_of_day", 24), "day": ("day_of_week", 7), "month": ("month", 12)}
@@ -157,10 +157,10 @@ def day_label(dow, short: bool = False) -> Column:
 
 
 def format_wait(minutes) -> Column:
-    """X-28: '< 1 min', 'n min', 'h m'."""
+    """X-28: '< 1 min', 'n min' (half to even, so .5 goes to the even minute), 'h m'."""
     m = _c(minutes)
     return (F.when(m < 1, F.lit("< 1 min"))
-            .when(m < 60, F.concat(F.round(m, 0).cast("long").cast("string"), F.lit(" min")))
+            .when(m < 60, F.concat(F.bround(m, 0).cast("long").cast("string"), F.lit(" min")))
             .otherwise(F.concat(F.floor(m / 60).cast("string"), F.lit("h "),
                                 F.floor(F.pmod(m, F.lit(60.0))).cast("long").cast("string"), F.lit("m"))))
 
@@ -174,17 +174,17 @@ def format_distance(km) -> Column:
 
 def safe_double(col, default: float = 0.0) -> Column:
     """X-30."""
-    return F.coalesce(F.try_cast(_c(col).cast("string"), "double"), F.lit(default))
+    return F.coalesce(_c(col).cast("string").try_cast("double"), F.lit(default))
 
 
 def safe_int(col, default: int = 0) -> Column:
     """X-30: only exact integer text converts ('3.7' gives the default)."""
-    return F.coalesce(F.try_cast(F.trim(_c(col).cast("string")), "int"), F.lit(default))
+    return F.coalesce(F.trim(_c(col).cast("string")).try_cast("int"), F.lit(default))
 
 
 def cache_key(*cols) -> Column:
-    """X-31: first 12 hex chars of md5 of the '_'-joined values."""
-    return F.substring(F.md5(F.concat_ws("_", *[_c(c).cast("string") for c in cols])), 1, 12)
+    """X-31: first 12 hex chars of md5 of the '_'-joined values; a null counts as the text 'None'."""
+    return F.substring(F.md5(F.concat_ws("_", *[F.coalesce(_c(c).cast("string"), F.lit("None")) for c in cols])), 1, 12)
 
 
 def routing_url(lat, lng) -> Column:
@@ -199,11 +199,6 @@ def iso_utc(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def severity(wait, threshold) -> Column:
-    """X-35."""
-    return F.when(_c(wait) >= _c(threshold) * 2, "CRITICAL").otherwise("WARNING")
-
-
 def residuals(y_true, y_pred) -> dict[str, Column]:
     """X-36."""
     t, p = _c(y_true), _c(y_pred)

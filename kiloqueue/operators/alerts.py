@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiloqueue.functions import ranked
+
 # Thresholds and texts of the alert rules.
 WAIT_THRESHOLD_MIN = 30
 UTIL_THRESHOLD = 0.9
 COOLDOWN_SECONDS = 600
-HISTORY_CAP = 1000
 OFFLINE_MESSAGE = "Station is offline or unreachable"
 
 ALERT_SCHEMA = ("station_id long, station_name string, alert_type string, message string, "
@@ -86,40 +89,81 @@ def cooldown_fold(times: Column, cooldown_s: int = COOLDOWN_SECONDS) -> Column:
                               F.concat(acc, F.array(t))).otherwise(acc))
 
 
-def apply_cooldown(alerts: DataFrame, time_col: str = "event_time", cooldown_s: int = COOLDOWN_SECONDS,
-                   key_cols=("station_id", "alert_type")) -> DataFrame:
-    """L-05 batch twin: per key, emit an alert if nothing was emitted in the last
-    ``cooldown_s`` seconds; suppressed alerts do not extend the cooldown.
-
-    The rule is a sequential fold per key.  It runs as a grouped pandas
-    function over the key's time-sorted alerts: one jump per *emitted* alert
-    (``searchsorted``), so the cost is O(n log n) per key.  The streaming form
-    (``kiloqueue.streaming.jobs.cooldown_stream``) keeps O(1) state per key and
-    bounds the rows per task with the micro-batch size.
-    """
-    import numpy as np
-    import pandas as pd
+def _next_allowed(t: np.ndarray, gap: int) -> np.ndarray:
+    """For every alert of a sorted array, the index of the first one a cooldown later (len(t) if none)."""
+    return np.searchsorted(t, t + gap)
 
-    keys = list(key_cols)
-    schema = alerts.select(*keys, time_col).schema
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time_col, kind="mergesort")
-        ts = pdf[time_col].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        keep = np.zeros(len(ts), dtype=bool)
-        i = 0
-        while i < len(ts):
-            keep[i] = True
-            i = int(np.searchsorted(ts, ts[i] + cooldown_s, side="left"))
-        return pdf[keep]
+def _chain_ends(t: np.ndarray, gap: int) -> np.ndarray:
+    """For every alert, the last alert emitted if it is the first one, by pointer jumping."""
+    nxt = _next_allowed(t, gap)
+    at = np.where(nxt < len(t), nxt, np.arange(len(t)))
+    while True:
+        further = at[at]
+        if (further == at).all():
+            return at
+        at = further
 
-    return alerts.select(*keys, time_col).groupBy(*keys).applyInPandas(fold, schema)
 
+def apply_cooldown(alerts: DataFrame, time_col: str = "event_time", cooldown_s: float = COOLDOWN_SECONDS,
+                   key_cols=("station_id", "alert_type")) -> DataFrame:
+    """L-05 batch form: per key, emit an alert if nothing was emitted in the last
+    ``cooldown_s`` seconds; suppressed alerts do not extend the cooldown.
 
-def history(alerts: DataFrame, last_n: int = 50, time_col: str = "event_time", cap: int = HISTORY_CAP,
+    A key's alerts are dealt into time ranges.  Each range is summed up as a
+    step function from the time at which the key may emit again, on entry, to
+    that time on exit (a few steps: chains of emitted alerts soon meet).  The
+    steps of a key are composed in order, and then each range emits by itself.
+    """
+    keys, gap = list(key_cols), int(cooldown_s * 1_000_000)
+    rows = alerts.select(*keys, F.col(time_col).alias("_t"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_us"),
+                         F.struct(*keys).alias("_k")).where(F.col("_us").isNotNull())
+    spread = ranked.in_ranges(rows, "_k", ["_us"]).drop("_k")
+    part = ranked.PART
+    key_schema = ", ".join(f"{c} {t}" for c, t in spread.select(*keys).dtypes)
+
+    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_us"].to_numpy(np.int64))
+        reach = int(np.searchsorted(t, t[0] + gap)) + 1  # no earlier alert blocks longer
+        ends = t[_chain_ends(t, gap)][:reach] + gap
+        last = np.append(np.flatnonzero(np.diff(ends)), len(ends) - 1)
+        out = pd.DataFrame({"upto": t[last], "exit": ends[last]})
+        for c, v in zip([*keys, part], key):
+            out[c] = v
+        return out[[*keys, part, "upto", "exit"]]
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        free, out = np.iinfo(np.int64).min, []
+        for p, own in pdf.sort_values([part, "upto"]).groupby(part, sort=True):
+            out.append((p, free))
+            at = int(np.searchsorted(own["upto"].to_numpy(), free))
+            free = int(own["exit"].iloc[at]) if at < len(own) else free
+        done = pd.DataFrame(out, columns=[part, "free"])
+        for c, v in zip(keys, key):
+            done[c] = v
+        return done[[*keys, part, "free"]]
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_us", kind="mergesort")
+        t = pdf["_us"].to_numpy(np.int64)
+        nxt, i, kept = _next_allowed(t, gap), int(np.searchsorted(t, pdf["free"].iloc[0])), []
+        while i < len(t):  # one step per emitted alert
+            kept.append(i)
+            i = int(nxt[i])
+        return pdf.iloc[kept][[*keys, "_t"]]
+
+    maps = spread.groupBy(*keys, part).applyInPandas(steps, f"{key_schema}, {part} int, upto long, exit long")
+    entries = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, {part} int, free long")
+    same = [spread[c].eqNullSafe(entries[c]) for c in [*keys, part]]
+    joined = spread.join(entries, same).select(*[spread[c] for c in [*keys, part]], "_t", "_us", "free")
+    kind = dict(spread.dtypes)["_t"]
+    return joined.groupBy(*keys, part).applyInPandas(emit, f"{key_schema}, _t {kind}").withColumnRenamed("_t", time_col)
+
+
+def history(alerts: DataFrame, last_n: int = 50, time_col: str = "event_time", cap: int | None = None,
             tiebreak=("station_id", "rule_order")) -> DataFrame:
-    """L-06 / W-13: the newest ``min(last_n, cap)`` alerts (a top-k, not a full sort)."""
-    n = min(last_n, cap)
+    """L-06 / W-13: the newest ``last_n`` alerts (a top-k, not a full sort); ``cap`` bounds a caller's request."""
+    n = last_n if cap is None else min(last_n, cap)
     return alerts.orderBy(F.col(time_col).desc(), *[F.col(c).desc() for c in tiebreak]).limit(n)
 
 
@@ -128,22 +172,29 @@ def dismiss(alerts: DataFrame, station_id) -> DataFrame:
     return alerts.where(F.col("station_id") != F.lit(station_id))
 
 
-def webhook_payload(alerts: DataFrame, source: str = "ev-wait-alerts", as_of=None,
-                    group_cols=(), max_blocks: int = 10) -> DataFrame:
-    """N-06: envelope {source, timestamp, alerts[], count} per group, plus the
-    first ``max_blocks`` alert texts as message sections."""
+def alert_data(wait_threshold: float = WAIT_THRESHOLD_MIN) -> Column:
+    """The ``data`` record of an alert: what its rule looked at (absent fields are null, which JSON leaves out)."""
+    kind, value = F.col("alert_type"), F.col("metric")
+    return F.struct(F.when(kind == "HIGH_WAIT_TIME", value).alias("predicted_wait_min"),
+                    F.when(kind == "HIGH_WAIT_TIME", F.lit(wait_threshold)).alias("threshold_min"),
+                    F.when(kind == "HIGH_UTILIZATION", value).alias("utilization_pct"),
+                    F.when(kind == "STATION_OFFLINE", F.lit("Offline")).alias("status"))
+
+
+def webhook_payload(alerts: DataFrame, source: str = "ev-wait-alerts", as_of=None, group_col: str = "severity",
+                    page_size: int = 10) -> DataFrame:
+    """N-06: per group, messages of at most ``page_size`` alerts: the envelope {source, timestamp, alerts[],
+    count, page} as JSON, and the alerts' texts as message sections.  Every alert is in one page."""
     ts = F.lit(as_of) if as_of is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    rec = F.struct("station_id", "station_name", "alert_type", "message", "severity")
-    g = alerts.groupBy(*group_cols) if group_cols else alerts.groupBy()
-    agg = g.agg(F.array_sort(F.collect_list(F.struct(F.col("station_id"), F.col("rule_order"), rec.alias("r"))))
-                .alias("_items"))
+    placed = ranked.row_positions(alerts, group_col, ["station_id", "rule_order"]) \
+        .withColumn("page", F.floor((F.col("row_pos") - 1) / page_size).cast("int"))
+    rec = F.struct("station_id", "station_name", "alert_type", "message", "severity", alert_data().alias("data"))
+    agg = placed.groupBy(group_col, "page").agg(F.array_sort(F.collect_list(F.struct("row_pos", rec.alias("r")))).alias("_items"))
     items = F.transform("_items", lambda x: x["r"])
-    return agg.select(*group_cols, F.to_json(F.struct(F.lit(source).alias("source"), ts.alias("timestamp"),
-                                                      items.alias("alerts"),
-                                                      F.size(items).alias("count"))).alias("payload"),
-                      F.transform(F.slice(items, 1, max_blocks),
-                                  lambda r: F.concat(F.lit("["), r["severity"], F.lit("] "), r["station_name"],
-                                                     F.lit(": "), r["message"])).alias("blocks"))
+    envelope = F.struct(F.lit(source).alias("source"), ts.alias("timestamp"), items.alias("alerts"), F.size(items).alias("count"), "page")
+    return agg.select(group_col, "page", F.size(items).alias("count"), F.to_json(envelope).alias("payload"),
+                      F.transform(items, lambda r: F.concat(F.lit("["), r["severity"], F.lit("] "), r["station_name"],
+                                                            F.lit(": "), r["message"])).alias("blocks"))
 
 
 def latest_per_key(df: DataFrame, key: str = "station_id", time_col: str = "event_time",
@@ -152,9 +203,3 @@ def latest_per_key(df: DataFrame, key: str = "station_id", time_col: str = "even
     order = F.struct(time_col, tiebreak) if tiebreak else F.col(time_col)
     cols = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
-
-
-def last_n_window(df: DataFrame, n: int, order_cols, partition_cols=()) -> DataFrame:
-    """W-13 for many groups: ``row_number() <= n`` (planned with a window group limit)."""
-    w = (Window.partitionBy(*partition_cols) if partition_cols else Window).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from kiloqueue.functions.ranked import quantiles
 from kiloqueue.functions.scalars import clip, lenient_timestamp
 
 # Connector whitelist, status pattern, defaults and the feature list.
@@ -114,27 +115,20 @@ def standardise_session_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def percentile_trim(df: DataFrame, cols=TRIM_COLUMNS, lo: float = 0.01, hi: float = 0.99,
-                    exact: bool = True, accuracy: int = 100000, checkpoint: bool = False) -> DataFrame:
+def percentile_trim(df: DataFrame, cols=TRIM_COLUMNS, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """P-07: keep rows whose value lies within the [lo, hi] quantiles, column by column.
 
     Each later column's quantiles are computed after the earlier filters.  The
-    quantile pair is a one-row aggregate used as a scalar subquery (no join).
-    ``exact=False`` uses the bounded-memory ``percentile_approx``; ``checkpoint``
-    cuts the lineage after each pass (reliable checkpoint dir of the session).
+    exact bounds (two numbers a column) become literals, so the result is one
+    scan with plain range filters.
     """
     out = df
     for c in cols:
         if c not in out.columns:
             continue
-        if exact:
-            q = F.percentile(F.col(c), [lo, hi])
-        else:
-            q = F.percentile_approx(F.col(c), [lo, hi], accuracy)
-        bounds = out.select(q.alias("q")).scalar()
-        out = out.where(F.col(c).between(bounds[0], bounds[1]))
-        if checkpoint:
-            out = out.checkpoint(eager=True)
+        bounds = quantiles(out, [c], [lo, hi]).first()
+        # a column without any value has no bounds, and its nulls pass no range
+        out = out.where(F.col(c).between(*bounds["q"]) if bounds else F.lit(False))
     return out
 
 
@@ -148,9 +142,9 @@ def heuristic_wait(df: DataFrame) -> Column:
     return F.round(clip(wait, 0.0, 120.0), 1)
 
 
-def clean_sessions(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> DataFrame:
+def clean_sessions(df: DataFrame) -> DataFrame:
     """P-06, P-07, P-09, P-08 in the reference order."""
-    out = percentile_trim(standardise_session_columns(df), exact=exact, checkpoint=checkpoint)
+    out = percentile_trim(standardise_session_columns(df))
     if TARGET not in out.columns:
         out = out.withColumn(TARGET, heuristic_wait(out))
     return out.na.drop(subset=[TARGET])
@@ -200,12 +194,9 @@ def label_codes(df: DataFrame, col: str = "connector_type") -> DataFrame:
     """M-01 codes: distinct values in alphabetical order -> 0..k-1.
 
     The distinct set is aggregated first (map-side partial aggregation), so
-    the ranking window only sees one row per category; the code table has one
-    row per category (a handful after P-04), which bounds its broadcast.
+    the ranking window only sees one row per category.
     """
     cats = df.select(F.col(col).cast("string").alias(col)).distinct()
-    from pyspark.sql import Window
-
     return cats.select(F.col(col).alias("_category"),
                        (F.row_number().over(Window.orderBy(F.col(col).asc_nulls_first())) - 1)
                        .cast("int").alias(f"{col}_encoded"))
@@ -216,7 +207,7 @@ def encode_categoricals(df: DataFrame, col: str = "connector_type", codes: DataF
     if col not in df.columns:
         return df
     codes = codes if codes is not None else label_codes(df, col)
-    joined = df.join(F.broadcast(codes), F.col(col).cast("string").eqNullSafe(F.col("_category")), "left")
+    joined = df.join(codes, F.col(col).cast("string").eqNullSafe(F.col("_category")), "left")  # strategy: the planner's
     return (joined.drop("_category")
             .withColumn(f"{col}_encoded", F.coalesce(F.col(f"{col}_encoded"), F.lit(0))))
 
@@ -248,10 +239,10 @@ def scale_features(train: DataFrame, test: DataFrame, cols) -> tuple[DataFrame,
 
 
 def preprocess(raw_stations: DataFrame, raw_sessions: DataFrame, traffic: DataFrame | None = None,
-               weather: dict | None = None, exact: bool = True):
+               weather: dict | None = None):
     """M-20: clean stations and sessions, merge, encode, split -> (train, test, merged)."""
     st = clean_stations(raw_stations)
-    ses = clean_sessions(raw_sessions, exact=exact)
+    ses = clean_sessions(raw_sessions)
     tr = clean_traffic(traffic) if traffic is not None else None
     merged = encode_categoricals(merge_datasets(st, ses, tr, weather or {"temperature_c": 20.0,
                                                                          "precipitation_mm": 0.0}))

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from kiloqueue.functions.scalars import residuals
 
 
-def _exact_mean(x):
-    """Mean of a column with <= 4 decimals as double(exact decimal sum) / count."""
-    return F.try_divide(F.sum(x.cast("decimal(18,4)")).cast("double"), F.count(x))
-
-
 def _clipped(pred: str):
     return F.greatest(F.col(pred), F.lit(0.0))
 
@@ -29,7 +24,7 @@ def compute_metrics(df: DataFrame, y_true: str, y_pred: str, model: str = "model
     return df.agg(
         F.lit(model).alias("model"), n.alias("n_samples"),
         F.round(F.sqrt(sse / n), 3).alias("rmse_min"),
-        F.round(_exact_mean(F.abs(err)), 3).alias("mae_min"),
+        F.round(F.round(F.avg(F.abs(err)), 9), 3).alias("mae_min"),
         F.round(F.lit(1.0) - sse / sst, 4).alias("r2"),
         F.round(F.avg(F.when(t != 0, F.abs(err / t))) * 100.0, 2).alias("mape_pct"),
         F.round(F.avg(F.when(denom != 0, F.abs(err) / denom)) * 100.0, 2).alias("smape_pct"),
@@ -43,7 +38,7 @@ def segment_analysis(df: DataFrame, y_true: str, y_pred: str, segment: str = "ho
     err = F.col(y_true) - F.col(y_pred)
     return (df.groupBy(segment)
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(err * err)), 3).alias("rmse"),
-                 F.round(_exact_mean(F.abs(err)), 3).alias("mae"))
+                 F.round(F.round(F.avg(F.abs(err)), 9), 3).alias("mae"))
             .orderBy(segment))
 
 

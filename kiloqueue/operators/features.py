@@ -1,19 +1,21 @@
 """Feature engineering (X-02..X-11, X-18, J-05, W-01..W-05, P-22, P-23, M-19).
 
-All rolling and lag columns share one window specification, so Spark plans a
-single shuffle on ``station_id`` and a single sort for all of them.
+Rolling and lag columns are computed over ranges of (station, time) that carry
+copies of the few rows before them (``functions.ranked``), so that a station of
+any size is spread over tasks; all of them share one window specification.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiloqueue.functions import geo
+from kiloqueue.functions import geo, ranked
 from kiloqueue.functions.scalars import (
     CYCLIC_PERIODS, cyclic, day_of_week, is_rush_hour, is_weekend, part_of_day, traffic_level,
 )
 from kiloqueue.operators.clean import drop_columns, numeric_columns
+from kiloqueue.session import materialise
 from kiloqueue.sources.adapter import CITY_LAT, CITY_LNG
 
 TARGET = "wait_time_minutes"
@@ -137,73 +139,69 @@ def add_geospatial_features(df: DataFrame, stations: DataFrame | None = None,
     return joined.drop("_qlat", "_qlng").withColumn("nearby_stations_count", n.cast("int"))
 
 
-def station_window(group_col: str = "station_id", order_cols=("session_start", "session_id")) -> Window:
-    return Window.partitionBy(group_col).orderBy(*order_cols)
+ORDER = ("session_start", "session_id")
 
 
-def window_mean(target: str, frame: Window, decimal_scale: int | None = None) -> Column:
-    """Mean over a frame.  With ``decimal_scale`` the sum is an exact decimal and
-    the mean is ``double(sum) / count`` (order-independent, reproducible bit for bit)."""
-    if decimal_scale is None:
-        return F.avg(target).over(frame)
-    dec = F.col(target).cast(f"decimal(18,{decimal_scale})")
-    return F.try_divide(F.sum(dec).over(frame).cast("double"), F.count(dec).over(frame))
-
-
-def rolling_columns(target: str = TARGET, group_col: str = "station_id",
-                    order_cols=("session_start", "session_id"), windows=ROLLING_WINDOWS,
-                    decimal_scale: int | None = None) -> dict[str, Column]:
+def rolling_columns(target: str, window, windows=ROLLING_WINDOWS) -> dict[str, Column]:
     """W-01, W-02: previous n rows (current excluded), min 1 row; std 0 when undefined."""
-    w = station_window(group_col, order_cols)
     cols = {}
     for label, n in windows.items():
-        frame = w.rowsBetween(-n, -1)
-        cols[f"rolling_mean_{label}"] = window_mean(target, frame, decimal_scale)
+        frame = window.rowsBetween(-n, -1)
+        cols[f"rolling_mean_{label}"] = F.avg(target).over(frame)
         cols[f"rolling_std_{label}"] = F.coalesce(F.stddev_samp(target).over(frame), F.lit(0.0))
     return cols
 
 
-def expanding_columns(target: str = TARGET, group_col: str = "station_id",
-                      order_cols=("session_start", "session_id"),
-                      decimal_scale: int | None = None) -> dict[str, Column]:
-    """W-03: mean / std over all rows up to and including the current one."""
-    w = station_window(group_col, order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    cols = {}
-    for label in ROLLING_WINDOWS:
-        cols[f"rolling_mean_{label}"] = window_mean(target, w, decimal_scale)
-        cols[f"rolling_std_{label}"] = F.coalesce(F.stddev_samp(target).over(w), F.lit(0.0))
-    return cols
+def lag_columns(target: str, window, lags=LAGS) -> dict[str, Column]:
+    """W-04."""
+    return {f"lag_{k}": F.lag(target, k).over(window) for k in lags}
 
 
-def lag_columns(target: str = TARGET, group_col: str | None = "station_id",
-                order_cols=("session_start", "session_id"), lags=LAGS) -> dict[str, Column]:
-    """W-04 (per station) / W-05 (global: one partition, only for small inputs)."""
-    w = Window.partitionBy(group_col).orderBy(*order_cols) if group_col else Window.orderBy(*order_cols)
-    return {f"lag_{k}": F.lag(target, k).over(w) for k in lags}
+def add_history_features(df: DataFrame, target: str = TARGET, group_col: str = "station_id", order_cols=ORDER,
+                         windows=ROLLING_WINDOWS, lags=LAGS) -> DataFrame:
+    """W-01, W-02 and W-04 together: one pass over ranges with the rows before them."""
+    w = ranked.halo_window(group_col, order_cols)
+    spread = ranked.with_halo(df, group_col, order_cols, max([0, *windows.values(), *lags]))
+    return ranked.without_halo(spread.withColumns({**rolling_columns(target, w, windows), **lag_columns(target, w, lags)}))
 
 
-def add_rolling_features(df: DataFrame, group_col: str = "station_id", target: str = TARGET,
-                         order_cols=("session_start", "session_id"),
-                         decimal_scale: int | None = None) -> DataFrame:
+def add_expanding_features(df: DataFrame, target: str = TARGET, group_col: str = "station_id",
+                           order_cols=ORDER) -> DataFrame:
+    """W-03: mean / std over all rows up to and including the current one, under every window's name."""
+    run = ranked.running_moments(df, group_col, order_cols, target)
+    cols = {}
+    for label in ROLLING_WINDOWS:
+        cols[f"rolling_mean_{label}"] = F.col("run_mean")
+        cols[f"rolling_std_{label}"] = F.coalesce("run_std", F.lit(0.0))
+    return run.withColumns(cols).drop("run_n", "run_mean", "run_std")
+
+
+def add_rolling_features(df: DataFrame, group_col: str = "station_id", target: str = TARGET, order_cols=ORDER) -> DataFrame:
     if target not in df.columns:
         return df
     if "session_start" in df.columns and group_col in df.columns:
-        return df.withColumns(rolling_columns(target, group_col, order_cols, decimal_scale=decimal_scale))
-    return df.withColumns(expanding_columns(target, group_col, order_cols, decimal_scale))
+        return add_history_features(df, target, group_col, order_cols, lags=())
+    return add_expanding_features(df, target, group_col, order_cols)
 
 
-def add_lag_features(df: DataFrame, target: str = TARGET, group_col: str = "station_id",
-                     order_cols=("session_start", "session_id"), lags=LAGS) -> DataFrame:
+def add_lag_features(df: DataFrame, target: str = TARGET, group_col: str = "station_id", order_cols=ORDER, lags=LAGS) -> DataFrame:
     if target not in df.columns:
         return df
-    g = group_col if group_col in df.columns else None
-    return df.withColumns(lag_columns(target, g, order_cols, lags))
+    if group_col not in df.columns:
+        return add_global_lags(df, target, order_cols, lags)
+    return add_history_features(df, target, group_col, order_cols, windows={}, lags=lags)
+
 
+def add_global_lags(df: DataFrame, target: str = TARGET, order_cols=ORDER, lags=LAGS) -> DataFrame:
+    """W-05: lags over all rows in one order; the table is one key that is spread over ranges like any other."""
+    one = df.withColumn("_all", F.lit(0))
+    return add_history_features(one, target, "_all", order_cols, windows={}, lags=lags).drop("_all")
 
-def fill_numeric_medians(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
+
+def fill_numeric_medians(df: DataFrame, cols=None) -> DataFrame:
     """P-22: +-inf -> null, then each numeric column's nulls -> its median (0 if all null).
 
-    All medians come from ONE aggregate, used as a single struct scalar subquery.
+    All exact medians come from one pass and become literals.
     """
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
@@ -213,11 +211,10 @@ def fill_numeric_medians(df: DataFrame, cols=None, exact: bool = True) -> DataFr
         x = F.col(c).cast("double")
         return F.when(F.abs(x) == float("inf"), F.lit(None).cast("double")).otherwise(x)
 
-    agg = F.median if exact else (lambda x: F.percentile_approx(x, 0.5, 10000))
-    meds = df.select(F.struct(*[F.coalesce(agg(clean(c)), F.lit(0.0)).alias(c) for c in cols])
-                     .alias("m")).scalar()
+    found = ranked.quantiles(df.select(*[clean(c).alias(c) for c in cols]), cols, [0.5]).collect()  # a row per column
+    meds = {r["column"]: r["q"][0] for r in found}
     # Filled columns are double (as pandas makes any column that had a NaN).
-    return df.withColumns({c: F.coalesce(clean(c), meds[c]) for c in cols})
+    return df.withColumns({c: F.coalesce(clean(c), F.lit(meds.get(c, 0.0))) for c in cols})
 
 
 def final_corrections(df: DataFrame) -> DataFrame:
@@ -231,13 +228,14 @@ def final_corrections(df: DataFrame) -> DataFrame:
 
 
 KEY_COLUMNS = ("station_id", "session_id")
-LEAK_COLUMNS = ["session_start", "datetime", "date_created"]
-DROP_COLUMNS = ["timestamp", "session_id", "connector_type_x", "connector_type_y", "connector_type",
-                "weather_main"]
 
 
-def engineer_features(df: DataFrame, stations: DataFrame | None = None, exact: bool = True,
-                      keep_keys: bool = False) -> DataFrame:
+def non_features(df: DataFrame) -> list[str]:
+    """Columns that are no model inputs: times and texts."""
+    return [c for c, kind in df.dtypes if kind in ("date", "timestamp", "timestamp_ntz", "string")]
+
+
+def engineer_features(df: DataFrame, stations: DataFrame | None = None, keep_keys: bool = False) -> DataFrame:
     """M-19: the reference pipeline order, as chained transforms.
 
     ``keep_keys`` keeps ``session_id`` (useful to join results back).
@@ -247,9 +245,7 @@ def engineer_features(df: DataFrame, stations: DataFrame | None = None, exact: b
            .transform(add_utilization_features)
            .transform(add_weather_features)
            .transform(lambda d: add_geospatial_features(d, stations))
-           .transform(add_rolling_features)
-           .transform(add_lag_features))
-    out = drop_columns(out, LEAK_COLUMNS)
-    out = fill_numeric_medians(out, numeric_columns(out, exclude=KEY_COLUMNS), exact=exact)
-    out = final_corrections(out)
-    return drop_columns(out, [c for c in DROP_COLUMNS if not (keep_keys and c == "session_id")])
+           .transform(add_history_features))
+    out = materialise(drop_columns(out, non_features(out)), "features")
+    out = final_corrections(fill_numeric_medians(out, numeric_columns(out, exclude=KEY_COLUMNS)))
+    return out if keep_keys else drop_columns(out, ["session_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kiloqueue.functions.queueing import queue_metrics
 from kiloqueue.functions.scalars import hour_label, wait_recommendation
-from kiloqueue.operators.quality import validate
+from kiloqueue.operators.quality import violations
 
 # Ensemble weights and queue-path constants.
 RF_WEIGHT = 0.40
@@ -75,11 +75,13 @@ def predict_batch(features: DataFrame, model_pred: str | None = None) -> DataFra
 
 
 def predict_requests(requests: DataFrame, unstable_wait=float("inf")) -> DataFrame:
-    """M-16: valid requests are predicted, invalid ones come back with ``error``."""
-    valid, rejected = validate(requests)
-    ok = predict_table(valid, unstable_wait=unstable_wait).withColumn("error", F.lit(None).cast("string"))
-    bad = rejected.withColumn("error", F.concat_ws("; ", "errors")).drop("errors")
-    return ok.unionByName(bad, allowMissingColumns=True)
+    """M-16: valid requests are predicted, invalid ones come back with ``error`` (one pass over the requests)."""
+    tagged = requests.withColumn("_errors", violations(requests))
+    out = predict_table(tagged, unstable_wait=unstable_wait)
+    valid = F.size("_errors") == 0
+    answers = [c for c in out.columns if c not in tagged.columns]
+    return out.select(*requests.columns, *[F.when(valid, F.col(c)).alias(c) for c in answers],
+                      F.when(~valid, F.concat_ws("; ", "_errors")).alias("error"))
 
 
 def demand_curve(stations: DataFrame, hours: int = 24, unstable_wait=float("inf")) -> DataFrame:

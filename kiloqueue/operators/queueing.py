@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kiloqueue.functions.queueing import (
     DEFAULT_ARRIVAL_RATE, DEFAULT_SERVICE_RATE, queue_metrics,
 )
+from kiloqueue.functions.ranked import quantiles
 
 QUEUE_COLUMNS = [
     "station_id", "station_name", "num_ports", "arrival_rate", "service_rate", "rho",
@@ -52,17 +53,14 @@ def arrival_rates(sessions: DataFrame, keys=("station_id",), hour_of_day: int |
     )
 
 
-def service_rates(sessions: DataFrame, keys=("station_id",), exact: bool = True,
+def service_rates(sessions: DataFrame, keys=("station_id",),
                   duration_col: str = "session_duration_min") -> DataFrame:
     """A-29: mu = 60 / median duration, round 4 (groups without a positive median are absent).
 
-    ``exact=True`` uses the exact percentile aggregate (a value->count map per
-    group, merged map-side).  ``exact=False`` uses ``percentile_approx``
-    (bounded-memory sketch) for very large hot groups.
+    The exact medians come from range-partitioned value counts, whatever a group's size.
     """
-    med = F.median(duration_col) if exact else F.percentile_approx(duration_col, 0.5, 10000)
     return (
-        sessions.groupBy(*keys).agg(med.alias("_median"))
+        quantiles(sessions, [duration_col], [0.5], keys).select(*keys, F.col("q")[0].alias("_median"))
         .where(F.col("_median") > 0)
         .select(*keys, F.round(F.lit(60.0) / F.col("_median"), 4).alias("service_rate"))
     )
@@ -70,14 +68,13 @@ def service_rates(sessions: DataFrame, keys=("station_id",), exact: bool = True,
 
 def global_service_rate(sessions: DataFrame, duration_col: str = "session_duration_min") -> DataFrame:
     """A-29 with station = None: one-row table over all sessions."""
-    med = F.median(duration_col)
-    return sessions.agg(
+    med = F.max("m")  # of one row, or none without sessions
+    return quantiles(sessions, [duration_col], [0.5]).select(F.col("q")[0].alias("m")).agg(
         F.when(med > 0, F.round(F.lit(60.0) / med, 4)).otherwise(F.lit(DEFAULT_SERVICE_RATE))
         .alias("service_rate"))
 
 
-def station_rates(stations: DataFrame, sessions: DataFrame | None, hour_of_day: int | None = None,
-                  exact_median: bool = True) -> DataFrame:
+def station_rates(stations: DataFrame, sessions: DataFrame | None, hour_of_day: int | None = None) -> DataFrame:
     """Per-station (lambda, mu) with the reference defaults for stations without data."""
     st = stations.select("station_id", "name", "num_ports")
     if sessions is None:
@@ -86,7 +83,7 @@ def station_rates(stations: DataFrame, sessions: DataFrame | None, hour_of_day:
     ses = sessions.select(*[c for c in ("station_id", "session_start", "session_duration_min",
                                         "hour_of_day", "day_of_week") if c in sessions.columns])
     lam = arrival_rates(ses, hour_of_day=hour_of_day).select("station_id", "arrival_rate")
-    mu = service_rates(ses, exact=exact_median)
+    mu = service_rates(ses)
     return (
         st.join(lam, "station_id", "left").join(mu, "station_id", "left")
         .select("station_id", "name", "num_ports",
@@ -118,9 +115,9 @@ def queue_table(df: DataFrame, ports="num_ports", arrival="arrival_rate", servic
 
 def analyze_network(stations: DataFrame, sessions: DataFrame | None = None,
                     hour_of_day: int | None = None, unstable_wait=float("inf"),
-                    sort: bool = True, exact_median: bool = True) -> DataFrame:
+                    sort: bool = True) -> DataFrame:
     """Q-G: rates per station -> M/M/c metrics -> sorted by average wait (O-04)."""
-    rates = station_rates(stations, sessions, hour_of_day, exact_median)
+    rates = station_rates(stations, sessions, hour_of_day)
     out = queue_table(rates, unstable_wait=unstable_wait)
     return out.orderBy(F.col("avg_wait_min").asc_nulls_last(), "station_id") if sort else out
 

@@ -1,19 +1,22 @@
 """Station ranking (R-A..R-H, J-03, J-06, J-07, J-14, O-02, W-06).
 
 The reference scores one user at a time in a Python loop.  Here a ``users``
-table is ranked against all stations at once: grid distance join (J-07),
-latest prediction per station (J-03), native score expressions (R-B, R-C) and
-a per-user ``row_number`` top-N (W-06), which Spark plans with a partial
-window-group limit before the shuffle.
+table is ranked against all stations at once: groups of like users are pruned
+against stations by score bounds (J-07), then latest prediction per station
+(J-03), native score expressions (R-B, R-C) and a per-user ``row_number`` top-N
+(W-06), which Spark plans with a partial window-group limit before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiloqueue.functions import geo
 from kiloqueue.functions.scalars import action_label, routing_url
+from kiloqueue.operators.predict import predict_table
 
 # Preference weights per priority (wait, distance, availability,
 # reliability, traffic), normalisers, bonuses.
@@ -29,15 +32,11 @@ CONNECTOR_BONUS = 0.05
 POWER_BONUS = 0.02
 FAST_CHARGER_KW = 150.0
 DEFAULT_WAIT = 20.0
+#: degrees of the cells in which users are pruned together, large first
+CELL_DEGREES = {"large": 0.04, "small": 0.01}
 WEIGHT_COLUMNS = ["w_wait", "w_distance", "w_availability", "w_reliability", "w_traffic"]
 
 
-def weights_table(spark: SparkSession) -> DataFrame:
-    """R-A: one row per priority (4 rows; unknown priorities use 'balanced')."""
-    rows = [(p, *w) for p, w in PRIORITY_WEIGHTS.items()]
-    return spark.createDataFrame(rows, ["priority", *WEIGHT_COLUMNS])
-
-
 def with_weights(users: DataFrame) -> DataFrame:
     """Attach weights by priority.  The weight table is a fixed 4-row literal, so
     the lookup is a CASE expression (no join needed)."""
@@ -69,30 +68,6 @@ def attach_wait(stations: DataFrame, predictions: DataFrame | None) -> DataFrame
                           .otherwise(F.coalesce(own, F.lit(DEFAULT_WAIT))).cast("double")).drop("_pred")
 
 
-def score_columns(dist: Column, connector_pref: Column | None) -> dict[str, Column]:
-    """R-B, R-C: sub-scores and composite (needs weights and ``_wait`` columns)."""
-    avail = F.coalesce(F.col("available_ports"), F.lit(1))
-    total = F.coalesce(F.col("num_ports"), F.greatest(avail, F.lit(1)))
-    traffic = F.coalesce(F.col("traffic_score"), F.lit(0.3))
-    status = F.coalesce(F.col("status").cast("string"), F.lit("Unknown"))
-    s_wait = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_wait") / MAX_WAIT_NORMALISE)
-    s_dist = F.greatest(F.lit(0.0), F.lit(1.0) - dist / MAX_DIST_NORMALISE)
-    s_avail = avail / F.greatest(total, F.lit(1))
-    s_rel = F.when(status.contains("Operational") | status.contains("Online"), 1.0).otherwise(0.3)
-    s_traffic = F.greatest(F.lit(0.0), F.lit(1.0) - traffic)
-    comp = (F.col("w_wait") * s_wait + F.col("w_distance") * s_dist + F.col("w_availability") * s_avail
-            + F.col("w_reliability") * s_rel + F.col("w_traffic") * s_traffic)
-    if connector_pref is not None:
-        conn = F.lower(F.coalesce(F.col("connector_type").cast("string"), F.lit("")))
-        match = connector_pref.isNotNull() & (connector_pref != "") & conn.contains(F.lower(connector_pref))
-        comp = F.when(match, F.least(F.lit(1.0), comp + CONNECTOR_BONUS)).otherwise(comp)
-    power = F.coalesce(F.nullif(F.col("power_kw"), F.lit(0.0)), F.lit(50.0))
-    comp = F.when(power >= FAST_CHARGER_KW, F.least(F.lit(1.0), comp + POWER_BONUS)).otherwise(comp)
-    return {"_s_wait": s_wait, "_s_dist": s_dist, "_s_avail": s_avail, "_s_rel": s_rel,
-            "_s_traffic": s_traffic, "_avail": avail, "_total": total, "_traffic": traffic,
-            "_power": power, "_status": status, "composite": comp}
-
-
 def score_record(rank_col: str | None = "rank", distance: Column | None = None) -> list[Column]:
     """StationScore.to_dict() as columns (plain-text action label)."""
     dist = distance if distance is not None else F.round("distance_km", 2)
@@ -150,35 +125,100 @@ def pair_composite(dist: Column, connector_pref: Column) -> Column:
     return F.when(F.col("_power") >= FAST_CHARGER_KW, F.least(F.lit(1.0), comp + POWER_BONUS)).otherwise(comp)
 
 
+def _cells(users: DataFrame, level: str) -> DataFrame:
+    """Users with the centre of their cell (``lat_<level>``, ``lng_<level>``)."""
+    size = CELL_DEGREES[level]
+    centre = lambda c: (F.floor(F.col(c) / size) + 0.5) * size
+    return users.withColumns({f"lat_{level}": centre("user_lat"), f"lng_{level}": centre("user_lng")})
+
+
+def _survivors(pairs: DataFrame, keys: list[str], slack: float, top_n: int) -> DataFrame:
+    """Of (class, station) pairs with the distance ``_d`` to the class's centre, those that can be in some user's top.
+
+    No user of a class is farther than ``slack`` from its centre, so a station's score for any of
+    them lies between two bounds.  A station goes if its upper bound is below the ``top_n``-th
+    best lower bound of the stations that all users of the class can reach.
+    """
+    upper = pair_composite(F.greatest(F.col("_d") - slack, F.lit(0.0)), F.col("pref"))
+    lower = F.when(F.col("_d") + slack <= F.col("least_detour"), pair_composite(F.col("_d") + slack, F.col("pref")))
+    w = Window.partitionBy(*keys).orderBy(F.col("_lower").desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    bounded = pairs.where(F.col("_d") - slack <= F.col("most_detour")).withColumns({"_upper": upper, "_lower": lower})
+    return (bounded.withColumn("_nth", F.nth_value("_lower", top_n).over(w))
+            .where(F.col("_nth").isNull() | (F.col("_upper") >= F.col("_nth") - 1e-9)).drop("_upper", "_lower", "_nth", "_d"))
+
+
+def candidate_pairs(users: DataFrame, stations: DataFrame, top_n: int) -> DataFrame:
+    """The (user, station) pairs that can be in a user's top: users by cell, priority, connector and detour band
+    are pruned against stations first in large cells, then in small ones.
+
+    A band holds detours up to a power of two, so a long detour widens the search of its own band alone.
+    """
+    band = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("max_detour_km"), F.lit(1e-3))))).cast("int")
+    priority = F.when(F.col("priority").isin(list(PRIORITY_WEIGHTS)), F.col("priority")).otherwise("balanced")
+    u = users.select("user_id", "user_lat", "user_lng", "max_detour_km", band.alias("band"), priority.alias("priority"),
+                     F.lower(F.coalesce("connector_pref", F.lit(""))).alias("pref"))
+    coarse, fine = CELL_DEGREES
+    u = _cells(_cells(u, coarse), fine)
+    kind = ["band", "priority", "pref"]
+    coarse_keys, fine_keys = [*kind, f"lat_{coarse}", f"lng_{coarse}"], [*kind, f"lat_{fine}", f"lng_{fine}"]
+    detours = [F.min("max_detour_km").alias("least_detour"), F.max("max_detour_km").alias("most_detour")]
+    slack = {k: geo.EARTH_RADIUS_KM * math.radians(s) + 1e-6 for k, s in CELL_DEGREES.items()}  # half a cell north plus half a cell east
+    distance = lambda s: geo.haversine_km(F.col(f"lat_{s}"), F.col(f"lng_{s}"), F.col("lat"), F.col("lng"))
+
+    bands = [r["band"] for r in u.select("band").distinct().collect()]  # powers of two of kilometres: a few
+    if not bands:
+        return u.limit(0).join(stations, F.lit(False))
+    radius = F.pow(F.lit(2.0), F.col("band")) + slack[coarse]
+    st = stations.withColumn("band", F.explode(F.array(*map(F.lit, bands)))) \
+        .withColumn("_cell", geo.own_cell("lat", "lng", radius))
+    large = with_weights(u.groupBy(*coarse_keys).agg(*detours)) \
+        .withColumn("_cell", F.explode(geo.neighbour_cells(F.col(f"lat_{coarse}"), F.col(f"lng_{coarse}"), radius)))
+    first = _survivors(large.join(st, ["band", "_cell"]).withColumn("_d", distance(coarse)).drop("_cell"),
+                       coarse_keys, slack[coarse], top_n).drop("least_detour", "most_detour")
+    small = u.groupBy(*fine_keys, *coarse_keys[3:]).agg(*detours)
+    second = _survivors(small.join(first, coarse_keys).withColumn("_d", distance(fine)), fine_keys, slack[fine], top_n)
+    near = second.drop(*coarse_keys[3:], "least_detour", "most_detour")
+    return u.drop(*coarse_keys[3:]).join(near, fine_keys)
+
+
 def recommend(users: DataFrame, stations: DataFrame, predictions: DataFrame | None = None,
-              top_n: int = 5, radius_km=None) -> DataFrame:
+              top_n: int = 5) -> DataFrame:
     """R-D for every user: detour filter (P-17), scores, top-N per user (O-02/W-06).
 
     ``users``: user_id, user_lat, user_lng, priority, connector_pref, max_detour_km.
-    The grid cell size is the largest detour present in ``users`` (a one-row
-    scalar subquery), so every user's radius is covered exactly.  Pair rows
+    Exact, without all user x station pairs (``candidate_pairs``).  Pair rows
     carry only (user, station, distance, composite) through the top-N sort;
     station details are joined back for the winners only.
     """
-    u = with_weights(users)
-    if "connector_pref" not in u.columns:
-        u = u.withColumn("connector_pref", F.lit(None).cast("string"))
-    u = u.select("user_id", "user_lat", "user_lng", "max_detour_km", "connector_pref", *WEIGHT_COLUMNS)
-    radius = radius_km if radius_km is not None else users.select(F.max("max_detour_km")).scalar()
+    u = users if "connector_pref" in users.columns else users.withColumn("connector_pref", F.lit(None).cast("string"))
     st = station_scores(attach_wait(stations, predictions))
-    slim = st.select("station_id", "lat", "lng", "_s_wait", "_s_avail", "_s_rel", "_s_traffic", "_power", "_conn_l")
-    pairs = geo.within_radius_pairs(u, slim, "user_lat", "user_lng", "lat", "lng", radius)
+    slim = st.select("station_id", "lat", "lng", "_s_wait", "_s_avail", "_s_rel", "_s_traffic", "_power", "_conn_l") \
+        .where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    pairs = candidate_pairs(u, slim, top_n).withColumn(
+        "distance_km", geo.haversine_km(F.col("user_lat"), F.col("user_lng"), F.col("lat"), F.col("lng")))
     pairs = pairs.where(F.col("distance_km") <= F.col("max_detour_km"))
     scored = pairs.select("user_id", "station_id", "distance_km",
-                          pair_composite(F.col("distance_km"), F.col("connector_pref")).alias("composite"))
+                          pair_composite(F.col("distance_km"), F.col("pref")).alias("composite"))
     w = Window.partitionBy("user_id").orderBy(F.col("composite").desc(), F.col("station_id").asc())
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    full = top.join(st.drop("lat", "lng").join(stations.select("station_id", "lat", "lng"), "station_id"),
-                    "station_id")
+    full = top.join(st, "station_id")
     full = full.withColumn("_s_dist", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance_km") / MAX_DIST_NORMALISE))
     return full.select("user_id", *score_record())
 
 
+def recommend_future(users: DataFrame, stations: DataFrame, target_hour: int, top_n: int = 5,
+                     model_pred: str | None = None) -> DataFrame:
+    """R-F: ranks by the wait predicted for ``target_hour`` with an empty queue and traffic .4.
+
+    ``model_pred`` names a station column with a fitted model's prediction for that hour; the
+    queue model alone does not depend on the hour.
+    """
+    ask = stations.withColumns({"queue_size": F.lit(0), "hour": F.lit(target_hour), "traffic_score": F.lit(0.4)})
+    answer = predict_table(ask, model_pred).select("station_id", F.col("predicted_wait_min").alias("wait_time_minutes"))
+    return recommend(users, stations.drop("wait_time_minutes").join(answer, "station_id"), None, top_n)
+
+
 def recommend_en_route(routes: DataFrame, stations: DataFrame, max_detour_km: float = 5.0,
                        top_n: int = 3, priority: str = "balanced", connector_pref: str | None = None) -> DataFrame:
     """R-E (J-06): stations whose nearest waypoint is within ``max_detour_km``;
@@ -186,10 +226,9 @@ def recommend_en_route(routes: DataFrame, stations: DataFrame, max_detour_km: fl
 
     ``routes``: route_id, wp_idx, wp_lat, wp_lng (one row per waypoint).
     """
-    st = attach_wait(stations, None)
+    st = station_scores(attach_wait(stations, None))
     near = (geo.within_radius_pairs(routes, st.select("station_id", "lat", "lng"),
                                     "wp_lat", "wp_lng", "lat", "lng", max_detour_km, "_d")
-            .where(F.col("_d") <= max_detour_km)
             .groupBy("route_id", "station_id").agg(F.min("_d").alias("_min_d")))
     first = (routes.groupBy("route_id")
              .agg(F.min_by(F.struct("wp_lat", "wp_lng"), "wp_idx").alias("_wp0"))
@@ -198,7 +237,8 @@ def recommend_en_route(routes: DataFrame, stations: DataFrame, max_detour_km: fl
     cand = with_weights(cand.withColumn("priority", F.lit(priority)))
     dist0 = geo.haversine_km(F.col("_lat0"), F.col("_lng0"), F.col("lat"), F.col("lng"))
     pref = F.lit(connector_pref).cast("string")
-    scored = cand.withColumn("distance_km", dist0).withColumns(score_columns(dist0, pref))
+    scored = cand.withColumns({"distance_km": dist0, "composite": pair_composite(dist0, pref),
+                               "_s_dist": F.greatest(F.lit(0.0), F.lit(1.0) - dist0 / MAX_DIST_NORMALISE)})
     w = Window.partitionBy("route_id").orderBy(F.col("composite").desc(), F.col("station_id").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return ranked.select("route_id", *score_record(distance=F.round("_min_d", 2)))

@@ -1,8 +1,7 @@
 """Network, quality and exploratory summaries (A-01..A-24, A-30..A-37, W-07, O-06).
 
 Every summary is one aggregate (partial aggregation before the shuffle) or a
-grouped aggregate; exact percentiles are used where the reference is exact,
-with a ``percentile_approx`` option for very large groups.
+grouped aggregate; exact percentiles come from range-partitioned value counts.
 """
 
 from __future__ import annotations
@@ -11,15 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiloqueue.functions.geo import haversine_km
+from kiloqueue.functions.ranked import cumulative_counts, quantiles, running_moments
 
 
-def _dec(col: str, scale: int = 4) -> Column:
-    return F.col(col).cast(f"decimal(18,{scale})")
-
-
-def exact_mean(col: str, scale: int = 4) -> Column:
-    """Mean as double(exact decimal sum) / count: order-independent."""
-    return F.try_divide(F.sum(_dec(col, scale)).cast("double"), F.count(col))
+def mean_9(col) -> Column:
+    """Mean, rounded to nine decimals (the order of summation shows only beyond them)."""
+    return F.round(F.avg(col), 9)
 
 
 def utilisation_summary(stations: DataFrame, wait_col: str = "wait_time_minutes") -> DataFrame:
@@ -33,15 +29,14 @@ def utilisation_summary(stations: DataFrame, wait_col: str = "wait_time_minutes"
         tp.alias("total_ports"), ta.alias("available_ports"), (tp - ta).alias("occupied_ports"),
         F.round((tp - ta) / F.greatest(tp, F.lit(1)) * 100.0, 1).alias("network_utilization_pct"),
         F.sum(F.coalesce("queue_size", F.lit(0))).cast("long").alias("total_vehicles_waiting"),
-        F.round(F.try_divide(F.sum(wait.cast("decimal(18,4)")).cast("double"), F.count(F.lit(1))), 1)
-        .alias("avg_predicted_wait_min"),
+        F.round(mean_9(wait), 1).alias("avg_predicted_wait_min"),
     )
 
 
 def live_summary(snapshot: DataFrame, wait_col: str = "wait_min") -> DataFrame:
     """A-02: mean / max / min wait, stations with and without free ports."""
     return snapshot.agg(
-        F.round(exact_mean(wait_col), 1).alias("avg_wait_min"),
+        F.round(mean_9(wait_col), 1).alias("avg_wait_min"),
         F.max(wait_col).alias("max_wait_min"), F.min(wait_col).alias("min_wait_min"),
         F.count_if(F.col("available_ports") > 0).alias("stations_available"),
         F.count_if(F.col("available_ports") == 0).alias("stations_full"),
@@ -49,11 +44,13 @@ def live_summary(snapshot: DataFrame, wait_col: str = "wait_min") -> DataFrame:
 
 
 def kpi_row(stations: DataFrame) -> DataFrame:
-    """A-03: sums, mean utilisation, exact status == 'Operational' count."""
+    """A-03: sums of ports and waiting vehicles, mean predicted wait, exact status == 'Operational' count."""
     return stations.agg(
         F.count(F.lit(1)).alias("stations"),
         F.sum("num_ports").cast("long").alias("total_ports"),
         F.sum("available_ports").cast("long").alias("available_ports"),
+        F.sum("queue_size").cast("long").alias("vehicles_waiting"),
+        mean_9("predicted_wait_min").alias("avg_predicted_wait_min"),
         F.count_if(F.col("status") == "Operational").alias("operational"),
     )
 
@@ -65,8 +62,7 @@ def client_stats(stations: DataFrame, wait_col: str = "wait_min", pred_col: str
     return stations.agg(
         F.count(F.lit(1)).alias("stations"),
         F.round(F.avg(util) * 100.0, 6).alias("avg_utilization_pct"),
-        F.round(F.try_divide(F.sum(w.cast("decimal(18,4)")).cast("double"), F.count(F.lit(1))), 6)
-        .alias("avg_wait_min"),
+        F.round(mean_9(w), 6).alias("avg_wait_min"),
     )
 
 
@@ -77,14 +73,13 @@ def mobile_summary(stations: DataFrame, lat: float, lng: float, wait_col: str =
     return stations.agg(
         F.min_by("station_id", d).alias("nearest_station_id"),
         F.count_if((F.col("status") == "Operational") & (F.col("available_ports") > 0)).alias("n_available"),
-        F.round(F.try_divide(F.sum(w.cast("decimal(18,4)")).cast("double"), F.count(F.lit(1))), 0)
-        .alias("mean_wait_rounded"),
+        F.round(mean_9(w), 0).alias("mean_wait_rounded"),
     )
 
 
 def wait_by(df: DataFrame, keys, target: str = "wait_time_minutes", with_std: bool = True) -> DataFrame:
     """A-06..A-08, A-10-style grouped mean (and sample std)."""
-    aggs = [exact_mean(target).alias("mean_wait"), F.count(target).alias("n")]
+    aggs = [mean_9(target).alias("mean_wait"), F.count(target).alias("n")]
     if with_std:
         aggs.append(F.round(F.stddev_samp(target), 9).alias("std_wait"))
     return df.groupBy(*keys).agg(*aggs)
@@ -93,43 +88,37 @@ def wait_by(df: DataFrame, keys, target: str = "wait_time_minutes", with_std: bo
 def station_profile(sessions: DataFrame) -> DataFrame:
     """A-10: per-station mean wait, session count, mean duration."""
     return sessions.groupBy("station_id").agg(
-        exact_mean("wait_time_minutes").alias("avg_wait"), F.count(F.lit(1)).alias("session_count"),
-        exact_mean("session_duration_min").alias("avg_duration"))
+        mean_9("wait_time_minutes").alias("avg_wait"), F.count(F.lit(1)).alias("session_count"),
+        mean_9("session_duration_min").alias("avg_duration"))
 
 
 def median_by(df: DataFrame, key: str, target: str = "wait_time_minutes") -> DataFrame:
     """A-11: exact median per group."""
-    return df.groupBy(key).agg(F.median(target).alias("median_wait"))
+    return quantiles(df, [target], [0.5], (key,)).select(key, F.col("q")[0].alias("median_wait"))
 
 
 def pivot_mean(df: DataFrame, row: str, col: str, values, target: str = "wait_time_minutes") -> DataFrame:
     """A-09 / A-12: row x col mean table; explicit pivot values avoid an extra job."""
-    dec = F.col(target).cast("decimal(18,4)")
-    sums = df.groupBy(row).pivot(col, list(values)).agg(F.sum(dec).alias("s"), F.count(dec).alias("n"))
-    out = [row]
-    for v in values:
-        out.append(F.try_divide(F.col(f"{v}_s").cast("double"), F.col(f"{v}_n")).alias(f"{col}_{v}"))
-    return sums.select(*out)
+    means = df.groupBy(row).pivot(col, list(values)).agg(mean_9(target))
+    return means.select(row, *[F.col(f"`{v}`").alias(f"{col}_{v}") for v in values])
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
     """A-13: count, mean, std, min, 25/50/75 %, max per column (exact, long format)."""
-    aggs = []
-    for c in cols:
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), F.count(c).cast("double").alias("count"),
-            exact_mean(c).alias("mean"), F.round(F.stddev_samp(c), 9).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.percentile(F.col(c), 0.25).alias("p25"), F.percentile(F.col(c), 0.5).alias("p50"),
-            F.percentile(F.col(c), 0.75).alias("p75"), F.max(c).cast("double").alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("d")).select("d.*")
+    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).cast("double").alias("count"), mean_9(c).alias("mean"),
+                     F.round(F.stddev_samp(c), 9).alias("std"), F.min(c).cast("double").alias("min"),
+                     F.max(c).cast("double").alias("max")).alias(c) for c in cols]
+    long = df.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in cols])))
+    q = quantiles(df, cols, [0.25, 0.5, 0.75])
+    return long.join(q, "column", "left").select(
+        "column", "count", "mean", "std", "min", *[F.col("q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def mean_median_p95(df: DataFrame, col: str) -> DataFrame:
     """A-14."""
-    return df.agg(exact_mean(col).alias("mean"), F.median(col).alias("median"),
-                  F.percentile(F.col(col), 0.95).alias("p95"))
+    q = quantiles(df, [col], [0.5, 0.95])
+    means = df.agg(mean_9(col).alias("mean")).withColumn("column", F.lit(col))
+    return means.join(q, "column", "left").select("mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
 def share_below(df: DataFrame, col: str, limits=(15, 30)) -> DataFrame:
@@ -145,7 +134,7 @@ def traffic_buckets(df: DataFrame, col: str = "traffic_score", target: str = "wa
          .when((x > 0.4) & (x <= 0.6), "(0.4, 0.6]").when((x > 0.6) & (x <= 0.8), "(0.6, 0.8]")
          .when((x > 0.8) & (x <= 1.0), "(0.8, 1.0]"))
     return (df.withColumn("traffic_bin", b).where(F.col("traffic_bin").isNotNull())
-            .groupBy("traffic_bin").agg(exact_mean(target).alias("mean_wait"),
+            .groupBy("traffic_bin").agg(mean_9(target).alias("mean_wait"),
                                         F.round(F.stddev_samp(target), 9).alias("std_wait"),
                                         F.count(F.lit(1)).alias("n")))
 
@@ -206,9 +195,8 @@ def largest_queue(df: DataFrame, order_col: str = "station_id") -> DataFrame:
 
 def running_mean(df: DataFrame, key: str, order_cols, target: str) -> DataFrame:
     """A-32 batch form: incremental mean = expanding average per key."""
-    w = Window.partitionBy(key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    dec = F.col(target).cast("decimal(18,4)")
-    return df.withColumn("running_mean", F.try_divide(F.sum(dec).over(w).cast("double"), F.count(dec).over(w)))
+    run = running_moments(df, key, order_cols, target)
+    return run.withColumn("running_mean", F.round("run_mean", 9)).drop("run_n", "run_mean", "run_std")
 
 
 def normalise_0_1(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -223,7 +211,7 @@ def hourly_traffic_profile(sessions: DataFrame) -> DataFrame:
     """A-36: date x hour mean traffic from observed sessions, with day of week."""
     return (sessions.withColumn("date", F.to_date("session_start"))
             .groupBy("date", F.hour("session_start").alias("hour"))
-            .agg(exact_mean("traffic_score").alias("traffic_score"))
+            .agg(mean_9("traffic_score").alias("traffic_score"))
             .withColumn("day_of_week", F.weekday("date")))
 
 
@@ -244,11 +232,30 @@ def hourly_demand_curve(sessions: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def empirical_cdf(df: DataFrame, col: str) -> DataFrame:
-    """W-07: ECDF value -> share of rows <= value.  Computed on the distinct
-    values with their counts (a grouped aggregate), then a running sum."""
-    g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(col, (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
+    """W-07: ECDF value -> share of rows <= value, on the distinct values with their cumulative counts."""
+    c = cumulative_counts(df, [col])
+    return c.select(F.col("value").alias(col), (F.col("upto") / F.col("total")).alias("cdf"))
+
+
+def first_k(df: DataFrame, k: int, order_cols) -> DataFrame:
+    """O-05: the first ``k`` rows in an order (a distributed top-k, no full sort)."""
+    return df.orderBy(*order_cols).limit(k)
+
+
+def naive_error_by_look_back(series: DataFrame, lengths=(6, 12, 18, 24, 36, 48), key: str = "station_id",
+                             val_ratio: float = 0.2) -> DataFrame:
+    """A-35: RMSE of "the next value is the last one" on the validation sequences, by look-back length.
+
+    A series of n points has n - L sequences of length L; the last ``val_ratio`` of them validate.
+    Only series longer than 2 L take part.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    errors = series.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
+                                 "_e": F.col("value") - F.lag("value", 1).over(w)})
+    each = errors.withColumn("seq_len", F.explode(F.array(*map(F.lit, lengths))))
+    train = F.floor((F.col("_n") - F.col("seq_len")) * (1.0 - val_ratio))
+    val = each.where((F.col("_n") > 2 * F.col("seq_len")) & (F.col("pos") - F.col("seq_len") >= train))
+    return val.groupBy("seq_len").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.col("_e") * F.col("_e"))), 9).alias("rmse"))
 
 
 def client_sort(df: DataFrame, by: str = "wait") -> DataFrame:
@@ -261,4 +268,4 @@ def client_sort(df: DataFrame, by: str = "wait") -> DataFrame:
         key = -F.coalesce(F.col("available_ports"), F.lit(0))
     else:
         key = F.col("name")
-    return df.withColumn("sort_wait" if by == "wait" else "sort_key", key).orderBy(key, "station_id")
+    return df.withColumn("sort_key", key).orderBy(key, "station_id")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiloqueue.functions import ranked
+
 
 def _w(key: str = "station_id", order: str = "pos") -> Window:
     return Window.partitionBy(key).orderBy(order)
@@ -19,12 +21,9 @@ def _w(key: str = "station_id", order: str = "pos") -> Window:
 def hourly_series(sessions: DataFrame, value: str = "wait_time_minutes", key: str = "station_id",
                   ts: str = "session_start") -> DataFrame:
     """T-01: hourly mean per key, on a continuous hourly calendar from the key's
-    first to last hour, gaps forward-filled (W-09); ``pos`` = hour index from 0.
-
-    The mean is double(exact decimal sum) / count (reproducible)."""
-    dec = F.col(value).cast("decimal(18,4)")
+    first to last hour, gaps forward-filled (W-09); ``pos`` = hour index from 0."""
     hourly = (sessions.groupBy(key, F.date_trunc("hour", ts).alias("hour_ts"))
-              .agg(F.try_divide(F.sum(dec).cast("double"), F.count(dec)).alias("_v")))
+              .agg(F.avg(value).alias("_v")))
     span = hourly.groupBy(key).agg(F.min("hour_ts").alias("_lo"), F.max("hour_ts").alias("_hi"))
     cal = span.select(key, F.posexplode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("pos", "hour_ts"))
     joined = cal.join(hourly, [key, "hour_ts"], "left")
@@ -36,9 +35,7 @@ def rolling_24(series: DataFrame, n: int = 24, key: str = "station_id") -> DataF
     """W-08: n-point rolling mean / std, null until n rows exist."""
     fr = _w(key).rowsBetween(-(n - 1), 0)
     full = F.count("value").over(fr) == n
-    dec = F.col("value").cast("decimal(18,4)")
-    mean = F.try_divide(F.sum(dec).over(fr).cast("double"), F.count(dec).over(fr))
-    return series.withColumns({"rolling_mean": F.when(full, mean),
+    return series.withColumns({"rolling_mean": F.when(full, F.avg("value").over(fr)),
                                "rolling_std": F.when(full, F.stddev_samp("value").over(fr))})
 
 
@@ -155,20 +152,22 @@ def sequence_windows(df: DataFrame, features, target: str, seq_len: int = 24, ke
                      order_cols=("session_start", "session_id")) -> DataFrame:
     """W-11: previous ``seq_len`` feature vectors -> X, current target -> y; the
     first ``seq_len`` rows of each key are dropped; nulls -> 0 (quirk K-09:
-    per key).  Columns are pruned to the features first."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
+    per key).  Columns are pruned to the features first; a key of any size is
+    spread over ranges that carry the ``seq_len`` rows before them."""
+    w = ranked.halo_window(key, order_cols)
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
     x = F.collect_list(vec).over(w.rowsBetween(-seq_len, -1))
-    out = df.select(key, *order_cols, x.alias("X"), F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("y"))
-    return out.where(F.size("X") == seq_len)
+    names = list(dict.fromkeys([key, *order_cols, *features, target]))
+    spread = ranked.with_halo(df.select(*names), key, order_cols, seq_len).withColumn("X", x)
+    out = ranked.without_halo(spread)
+    return out.where(F.size("X") == seq_len).select(key, *order_cols, "X", F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("y"))
 
 
 def temporal_split(df: DataFrame, val_ratio: float = 0.2, key: str = "station_id",
                    order_cols=("session_start", "session_id")) -> DataFrame:
     """W-12: per key, the first int(n*(1-v)) rows (in time order) are train, the rest validation."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn("is_train", F.row_number().over(w) <= F.floor(n * (1.0 - val_ratio)))
+    placed = ranked.row_positions(df, key, order_cols)
+    return placed.withColumn("is_train", F.col("row_pos") <= F.floor(F.col("key_rows") * (1.0 - val_ratio))).drop("row_pos", "key_rows")
 
 
 def sequence_counts(series: DataFrame, seq_len: int = 24, key: str = "station_id",

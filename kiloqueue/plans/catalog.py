@@ -14,6 +14,8 @@ MODULES = [
     "kiloqueue.plans.ts_queries",
     "kiloqueue.plans.stream_queries",
     "kiloqueue.plans.io_ml_queries",
+    "kiloqueue.plans.label_queries",
+    "kiloqueue.plans.pipeline_queries",
 ]
 
 for _m in MODULES:

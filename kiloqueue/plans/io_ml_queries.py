@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kiloqueue.operators import ml
@@ -14,6 +13,11 @@ from kiloqueue.sources import adapter as ad
 from kiloqueue.sources import io
 from kiloqueue.streaming.jobs import work_dir
 
+#: The forest (300 trees, depth 15) and boosting (200 rounds) queries run at the reference's settings.  Queries that
+#: are about something else than the fit (bands, folds, the sequence forecast, saving) use fewer trees or rounds; the
+#: operators' defaults are the reference's.
+BAND_TREES, FOLD_TREES, SEQUENCE_ROUNDS = 30, 20, 20
+
 # --- sources ------------------------------------------------------------------
 
 
@@ -62,8 +66,7 @@ def s_06_x_10_traffic_json(spark, sf_dir):
     payload = F.to_json(F.struct(flow.alias("flowSegmentData")))
     # every sixth reading arrives with no speeds at all: default current 0, free 50, score 0
     payload = F.when(sid % 6 == 0, F.lit("{}")).otherwise(payload)
-    out = st.select("station_id", *io.flatten_traffic(payload))
-    return out.withColumn("traffic_score", F.when(sid % 6 == 0, F.lit(0.0)).otherwise(F.col("traffic_score")))
+    return st.select("station_id", *io.flatten_traffic(payload))
 
 
 @register("s_09_n_02_forecast_explode", sql="""
@@ -91,27 +94,131 @@ def s_09_n_02_forecast_explode(spark, sf_dir):
 
 
 @register("s_03_s_11_csv_roundtrip", sql="""
-SELECT session_id, station_id, queue_size, wait_time_minutes FROM sessions""")
+SELECT session_id, station_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, session_duration_min, energy_kwh, queue_size,
+  available_ports, traffic_score, temperature_c, precipitation_mm, connector_type, wait_time_minutes FROM sessions""")
 def s_03_s_11_csv_roundtrip(spark, sf_dir):
     path = work_dir(spark, "csv")
-    src = ad.sessions(spark, sf_dir).select("session_id", "station_id", "queue_size", "wait_time_minutes")
+    src = ad.sessions(spark, sf_dir).withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     io.write_table(src, path, fmt="csv")
-    return io.read_csv(spark, path, "session_id long, station_id long, queue_size int, wait_time_minutes double")
+    return io.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in src.dtypes))
 
 
 @register("s_12_s_13_partitioned_sink", sql="""
-SELECT station_id, session_id, wait_time_minutes FROM sessions WHERE station_id % 10 = 3""")
+SELECT station_id, session_id, wait_time_minutes, cast(station_id % 10 AS int) AS shard FROM sessions""")
 def s_12_s_13_partitioned_sink(spark, sf_dir):
     path = work_dir(spark, "sink")
     src = ad.sessions(spark, sf_dir).select("station_id", "session_id", "wait_time_minutes",
-                                           (F.col("station_id") % 10).alias("shard"))
-    df = io.load_or_compute(spark, path, lambda: src)
-    io.write_table(src, path + "_p", partition_by=("shard",))
-    return spark.read.parquet(path + "_p").where(F.col("shard") == 3).select("station_id", "session_id",
-                                                                           "wait_time_minutes") if df is not None else df
-
-
-# --- models (invariant / rows-only checks) ---------------------------------------
+                                           (F.col("station_id") % 10).cast("int").alias("shard"))
+    io.write_table(src, path, partition_by=("shard",))
+
+    def never():
+        raise AssertionError("the table is there and must be read")
+
+    return io.load_or_compute(spark, path, never).select("station_id", "session_id", "wait_time_minutes", "shard")
+
+
+@register("s_01_landed_station_files", sql="""
+SELECT station_id, name, lat, lng, CASE WHEN station_id % 9 = 0 THEN 'Unknown' ELSE status END AS status, operator FROM stations""")
+def s_01_landed_station_files(spark, sf_dir):
+    path = work_dir(spark, "stations")
+    _station_payloads(spark, sf_dir).write.text(path)
+    return io.read_station_json(spark, path).select("station_id", "name", "lat", "lng", "status", "operator")
+
+
+@register("s_02_station_csv", sql="SELECT station_id, name, lat, lng, num_ports FROM stations")
+def s_02_station_csv(spark, sf_dir):
+    path = work_dir(spark, "kaggle")
+    st = ad.stations(spark, sf_dir).select(F.col("station_id").alias("ID"), F.col("name").alias("Name"), F.col("lat").alias("Latitude"),
+                                           F.col("lng").alias("Longitude"), "num_ports")
+    io.write_table(st, path, fmt="csv")
+    return io.read_csv(spark, path, "ID long, Name string, Latitude double, Longitude double, num_ports int", io.STATION_CSV_RENAMES)
+
+
+_ENERGY = "SELECT date_trunc('hour', session_start) AS t, round(sum(energy_kwh), 6) AS kwh FROM sessions GROUP BY 1"
+
+
+def _hourly_energy(spark, sf_dir):
+    s = ad.sessions(spark, sf_dir)
+    return s.groupBy(F.date_trunc("hour", "session_start").alias("t")).agg(F.round(F.sum("energy_kwh"), 6).alias("kwh"))
+
+
+@register("s_04_hourly_energy", sql=f"SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS hour, kwh FROM ({_ENERGY}) e")
+def s_04_hourly_energy(spark, sf_dir):
+    path = work_dir(spark, "energy")
+    io.write_table(_hourly_energy(spark, sf_dir).select(F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("Datetime"), "kwh"), path, fmt="csv")
+    out = io.read_hourly_energy(spark, path, "Datetime string, kwh double")
+    return out.select(F.date_format("Datetime", "yyyy-MM-dd HH:mm:ss").alias("hour"), "kwh")
+
+
+@register("s_05_demand_csv", sql="SELECT station_id, count(*) AS demand FROM sessions GROUP BY station_id")
+def s_05_demand_csv(spark, sf_dir):
+    path = work_dir(spark, "demand")
+    io.write_table(ad.sessions(spark, sf_dir).groupBy("station_id").agg(F.count("*").alias("demand")), path, fmt="csv")
+    return io.read_csv(spark, path, "station_id long, demand long")
+
+
+@register("s_07_station_traffic_files", sql="""
+SELECT station_id, 50e0 * (1e0 - traffic_score) AS current_speed_kmh, 50e0 AS free_flow_speed_kmh, 0.9e0 AS confidence,
+  round(greatest(0e0, least(1e0, 1e0 - 50e0 * (1e0 - traffic_score) / 50e0)), 4) AS traffic_score FROM stations""")
+def s_07_station_traffic_files(spark, sf_dir):
+    path = work_dir(spark, "traffic")
+    flow = F.struct((F.lit(50.0) * (F.lit(1.0) - F.col("traffic_score"))).alias("currentSpeed"), F.lit(50.0).alias("freeFlowSpeed"),
+                    F.lit(0.9).alias("confidence"))
+    ad.stations(spark, sf_dir).select("station_id", F.to_json(F.struct(flow.alias("flowSegmentData"))).alias("payload")).write.json(path)
+    return io.read_station_traffic(spark, path)
+
+
+@register("s_08_current_weather", sql="""
+SELECT city, CASE WHEN city % 3 = 0 THEN 20e0 ELSE cast(city AS double) END AS temperature_c, 20e0 AS feels_like_c, 50e0 AS humidity_pct,
+  CASE WHEN city % 2 = 0 THEN 1.5e0 ELSE 0e0 END AS precipitation_mm, cast(city AS double) / 4e0 AS wind_speed_ms,
+  CASE WHEN city % 2 = 0 THEN 'Rain' ELSE 'Clear' END AS weather_main
+FROM (SELECT cast(c_custkey AS bigint) AS city FROM customer) c""")
+def s_08_current_weather(spark, sf_dir):
+    path = work_dir(spark, "weather")
+    c = F.col("city")
+    wet = F.when(c % 2 == 0, F.struct(F.lit(1.5).alias("1h")))
+    doc = F.struct(F.when(c % 3 != 0, F.struct(c.cast("double").alias("temp"))).alias("main"), wet.alias("rain"),
+                   F.struct((c / 4.0).alias("speed")).alias("wind"),
+                   F.when(c % 2 == 0, F.array(F.struct(F.lit("Rain").alias("main")))).alias("weather"))
+    ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("city")).select(
+        "city", F.to_json(doc).alias("payload")).write.json(path)
+    return io.read_weather_json(spark, path)
+
+
+@register("s_10_load_raw", sql="""
+SELECT 'demand' AS name, count(*) AS n FROM (SELECT station_id FROM sessions GROUP BY 1) d
+UNION ALL SELECT 'stations', count(*) FROM stations""")
+def s_10_load_raw(spark, sf_dir):
+    root = work_dir(spark, "raw")
+    io.write_table(ad.stations(spark, sf_dir).select("station_id", "name"), f"{root}/stations", fmt="csv")
+    io.write_table(ad.sessions(spark, sf_dir).groupBy("station_id").agg(F.count("*").alias("demand")), f"{root}/demand", fmt="csv")
+    schemas = {"stations": "station_id long, name string", "demand": "station_id long, demand long", "weather": "city long"}
+    tables = io.load_raw(spark, {k: f"{root}/{k}" for k in schemas}, schemas)
+    counts = [df.agg(F.lit(k).alias("name"), F.count("*").alias("n")) for k, df in sorted(tables.items())]
+    return counts[0].unionByName(counts[1]) if len(counts) == 2 else None
+
+
+@register("s_14_metrics_json", sql="""
+SELECT hour_of_day, count(*) AS n, round(avg(wait_time_minutes), 9) AS mean_wait FROM (
+  SELECT cast(hour(session_start) AS int) AS hour_of_day, wait_time_minutes FROM sessions) s GROUP BY hour_of_day""")
+def s_14_metrics_json(spark, sf_dir):
+    path = work_dir(spark, "metrics")
+    s = add_temporal_features(ad.sessions(spark, sf_dir))
+    io.write_metrics(s.groupBy("hour_of_day").agg(F.count("*").alias("n"), F.round(F.avg("wait_time_minutes"), 9).alias("mean_wait")), path)
+    return io.read_metrics(spark, path, "hour_of_day int, n long, mean_wait double")
+
+
+@register("s_15_sessions_csv", sql="""
+SELECT session_id, CASE WHEN session_id % 9 <> 0 THEN strftime(session_start, '%Y-%m-%d %H:%M:%S') END AS start_time, wait_time_minutes FROM sessions""")
+def s_15_sessions_csv(spark, sf_dir):
+    path = work_dir(spark, "eda")
+    text = F.when(F.col("session_id") % 9 == 0, F.lit("?")).otherwise(F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
+    io.write_table(ad.sessions(spark, sf_dir).select("session_id", text.alias("start_time"), "wait_time_minutes"), path, fmt="csv")
+    out = io.read_sessions_csv(spark, path, "session_id long, start_time string, wait_time_minutes double")
+    return out.withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+# --- models: facts that SQL can state about models at the reference's settings ------------
 
 _FEATS = ["hour_of_day", "day_of_week", "is_weekend", "traffic_score", "queue_size", "available_ports",
           "temperature_c", "precipitation_mm", "hour_sin", "hour_cos"]
@@ -121,58 +228,82 @@ def _model_frame(spark, sf_dir):
     return add_temporal_features(ad.sessions(spark, sf_dir))
 
 
-@register("m_04_m_07_rf_importances")
-def m_04_m_07_rf_importances(spark, sf_dir):
-    model = ml.train_rf(_model_frame(spark, sf_dir), _FEATS, numTrees=20, maxDepth=8)
-    return ml.feature_importances(spark, model, _FEATS)
+@register("m_04_m_07_o_07_importances", sql="""
+SELECT cast(10 AS bigint) AS features, 1e0 AS total, true AS queue_first, true AS descending""")
+def m_04_m_07_o_07_importances(spark, sf_dir):
+    model = ml.train_rf(_model_frame(spark, sf_dir), _FEATS)
+    imp = ml.feature_importances(spark, model, _FEATS)
+    inorder = F.collect_list("importance")
+    return imp.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 9).alias("total"),
+                   (F.max_by("feature", "importance") == "queue_size").alias("queue_first"),
+                   (F.sort_array(inorder, asc=False) == inorder).alias("descending"))
 
 
-@register("m_08_m_09_rf_uncertainty")
+@register("m_08_m_09_rf_uncertainty", sql="SELECT session_id, true AS sound FROM sessions")
 def m_08_m_09_rf_uncertainty(spark, sf_dir):
     df = _model_frame(spark, sf_dir)
-    model = ml.train_rf(df, _FEATS, numTrees=10, maxDepth=6)
+    model = ml.train_rf(df, _FEATS, numTrees=BAND_TREES)
     out = ml.predict_with_uncertainty(model, df.select("session_id", *_FEATS), _FEATS)
-    return out.select("session_id", "mean", "std", "lower_95", "upper_95")
+    forest = ml.predict(model, df.select("session_id", *_FEATS), _FEATS).select("session_id", "rf_prediction")
+    sound = ((F.col("lower_95") >= 0) & (F.col("lower_95") <= F.col("mean")) & (F.col("mean") <= F.col("upper_95")) & (F.col("std") >= 0)
+             & (F.abs(F.col("mean") - F.col("rf_prediction")) < 1e-6))
+    return out.join(forest, "session_id").select("session_id", sound.alias("sound"))
 
 
-@register("m_06_cross_validate")
+@register("m_06_cross_validate", sql="SELECT cast(k AS int) AS fold, true AS good FROM range(0, 5) t(k)")
 def m_06_cross_validate(spark, sf_dir):
-    return ml.cross_validate(spark, _model_frame(spark, sf_dir), _FEATS, folds=3, numTrees=10, maxDepth=6)
+    folds = ml.cross_validate(spark, _model_frame(spark, sf_dir), _FEATS, numTrees=FOLD_TREES)
+    return folds.select("fold", ((F.col("r2") > 0.3) & (F.col("mae") <= F.col("rmse"))).alias("good"))
 
 
-@register("m_10_m_21_gbt_holdout")
+@register("m_05_tune", sql="SELECT cast(4 AS int) AS settings, true AS best_is_least")
+def m_05_tune(spark, sf_dir):
+    model = ml.tune_rf(_model_frame(spark, sf_dir), _FEATS, trees=(10, 20), depths=(5, 8), min_instances=(2,), folds=2)
+    rmse = model.avgMetrics
+    best = model.bestModel.stages[-1]
+    grid = [{x.name: v for x, v in p.items()} for p in model.getEstimatorParamMaps()]
+    least = grid[rmse.index(min(rmse))]
+    same = best.getNumTrees == least["numTrees"] and best.getMaxDepth() == least["maxDepth"]
+    # one row about the grid; the sessions are what it was fitted on
+    return ad.sessions(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(len(rmse)).alias("settings"), F.lit(same).alias("best_is_least"))
+
+
+@register("m_10_m_21_gbt_holdout", sql="""
+SELECT count(*) AS n_samples, true AS good FROM sessions WHERE (session_id * 7919) % 100 >= 80""")
 def m_10_m_21_gbt_holdout(spark, sf_dir):
     from kiloqueue.operators.clean import train_test_split
     from kiloqueue.operators.evaluate import compute_metrics
 
     tr, te = train_test_split(_model_frame(spark, sf_dir))
-    model = ml.train_gbt(tr, _FEATS, maxIter=20)
+    model = ml.train_gbt(tr, _FEATS)
     pred = model.transform(ml.prepare(te, _FEATS, None)).withColumn("p", F.greatest("rf_raw", F.lit(0.0)))
-    return compute_metrics(pred, "wait_time_minutes", "p", "gbt")
+    m = compute_metrics(pred, "wait_time_minutes", "p", "gbt")
+    return m.select("n_samples", ((F.col("r2") > 0.5) & (F.col("mae_min") <= F.col("rmse_min"))).alias("good"))
 
 
-@register("m_11_m_12_sequence_forecast")
+@register("m_11_m_12_sequence_forecast", sql="""
+SELECT station_id, cast(k AS int) AS step, true AS sound FROM (
+  SELECT station_id FROM (SELECT station_id, date_diff('hour', date_trunc('hour', min(session_start)), date_trunc('hour', max(session_start))) + 1 AS n
+    FROM sessions GROUP BY station_id) s WHERE n >= 24) t, range(0, 12) r(k)""")
 def m_11_m_12_sequence_forecast(spark, sf_dir):
-    series = ts.hourly_series(ad.sessions(spark, sf_dir))
-    seqs = ts.sequence_windows(series.withColumn("session_id", F.col("pos")), ["value"], "value", 24,
-                               order_cols=("pos",))
-    model = ml.train_sequence_model(seqs, maxIter=10)
-    from pyspark.sql import Window
-
+    series = ts.hourly_series(ad.sessions(spark, sf_dir)).withColumn("session_id", F.col("pos"))
+    seqs = ts.sequence_windows(series, ["value"], "value", 24, order_cols=("pos",))
+    model = ml.train_sequence_model(seqs, maxIter=SEQUENCE_ROUNDS)
     last = (series.withColumn("_rn", F.row_number().over(Window.partitionBy("station_id").orderBy(F.col("pos").desc())))
             .where(F.col("_rn") <= 24)
             .groupBy("station_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a"))
-            .select("station_id", F.transform("a", lambda e: F.array(e["value"])).alias("X")))
-    return ml.forecast_multistep(model, last, steps=12, checkpoint_every=4)
+            .select("station_id", F.transform("a", lambda e: F.array(e["value"])).alias("X")).where(F.size("X") == 24))
+    out = ml.forecast_multistep(model, last, steps=12, checkpoint_every=4)
+    return out.select("station_id", "step", F.col("predicted_wait_min").between(0, 90).alias("sound"))
 
 
-@register("s_17_model_save_load")
+@register("s_17_model_save_load", sql="SELECT session_id, true AS same FROM sessions")
 def s_17_model_save_load(spark, sf_dir):
     df = _model_frame(spark, sf_dir)
-    model = ml.train_rf(df, _FEATS, numTrees=5, maxDepth=4)
-    path = os.path.join(work_dir(spark, "model"), "rf")
+    model = ml.train_rf(df, _FEATS, numTrees=FOLD_TREES)
+    path = f"{work_dir(spark, 'model')}/rf"
     ml.save_model(model, path)
     again = ml.load_model(path)
     a = ml.predict(model, df.select("session_id", *_FEATS), _FEATS).select("session_id", F.col("rf_prediction").alias("a"))
     b = ml.predict(again, df.select("session_id", *_FEATS), _FEATS).select("session_id", F.col("rf_prediction").alias("b"))
-    return a.join(b, "session_id").where(F.col("a") == F.col("b"))
+    return a.join(b, "session_id").select("session_id", (F.col("a") == F.col("b")).alias("same"))

@@ -168,10 +168,9 @@ def rnd(x: str, d: int) -> str:
     return f"cast(round(cast(cast(({x}) AS varchar) AS decimal(38,18)), {d}) AS double)"
 
 
-def exact_avg(x: str, over: str = "", scale: int = 4) -> str:
-    """Mean as double(exact decimal sum) / count: bit-identical in both engines."""
-    return (f"(cast(sum(cast(({x}) AS decimal(18,{scale}))) {over} AS double)"
-            f" / nullif(count({x}) {over}, 0))")
+def avg_9(x: str, over: str = "") -> str:
+    """Mean rounded to nine decimals."""
+    return f"round(avg({x}) {over}, 9)"
 
 
 def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kiloqueue.functions.scalars import lenient_timestamp
 from kiloqueue.operators import clean as cl
 from kiloqueue.operators import features as fe
-from kiloqueue.plans.oracle_base import exact_avg, haversine_sql, rnd
+from kiloqueue.plans.oracle_base import avg_9, haversine_sql, rnd
 from kiloqueue.plans.registry import register
 from kiloqueue.sources import adapter as ad
 
@@ -165,18 +165,18 @@ def m_02_standard_scale(spark, sf_dir):
 # --- features ---------------------------------------------------------------------
 
 @register("x_02_06_temporal", sql="""
-SELECT session_id, hour(session_start) AS hour_of_day, cast(isodow(session_start) - 1 AS int) AS day_of_week,
-  month(session_start) AS month, day(session_start) AS day_of_month,
-  weekofyear(session_start) AS week_of_year,
+SELECT session_id, cast(hour(session_start) AS int) AS hour_of_day, cast(isodow(session_start) - 1 AS int) AS day_of_week,
+  cast(month(session_start) AS int) AS month, cast(day(session_start) AS int) AS day_of_month,
+  cast(weekofyear(session_start) AS int) AS week_of_year,
   cast(isodow(session_start) - 1 >= 5 AS int) AS is_weekend,
-  cast(hour(session_start) BETWEEN 7 AND 9 OR hour(session_start) BETWEEN 16 AND 19 AS int) AS is_rush_hour,
-  CASE WHEN hour(session_start) >= 5 AND hour(session_start) < 12 THEN 1
-    WHEN hour(session_start) >= 12 AND hour(session_start) < 17 THEN 2
-    WHEN hour(session_start) >= 17 AND hour(session_start) < 21 THEN 3 ELSE 0 END AS part_of_day,
-  sin(2e0*pi()*hour(session_start)/24e0) AS hour_sin, cos(2e0*pi()*hour(session_start)/24e0) AS hour_cos,
+  cast(hour(session_start) BETWEEN 7 AND 9 OR cast(hour(session_start) AS int) BETWEEN 16 AND 19 AS int) AS is_rush_hour,
+  CASE WHEN cast(hour(session_start) AS int) >= 5 AND cast(hour(session_start) AS int) < 12 THEN 1
+    WHEN cast(hour(session_start) AS int) >= 12 AND cast(hour(session_start) AS int) < 17 THEN 2
+    WHEN cast(hour(session_start) AS int) >= 17 AND cast(hour(session_start) AS int) < 21 THEN 3 ELSE 0 END AS part_of_day,
+  sin(2e0*pi()*cast(hour(session_start) AS int)/24e0) AS hour_sin, cos(2e0*pi()*cast(hour(session_start) AS int)/24e0) AS hour_cos,
   sin(2e0*pi()*(isodow(session_start) - 1)/7e0) AS day_sin,
   cos(2e0*pi()*(isodow(session_start) - 1)/7e0) AS day_cos,
-  sin(2e0*pi()*month(session_start)/12e0) AS month_sin, cos(2e0*pi()*month(session_start)/12e0) AS month_cos
+  sin(2e0*pi()*cast(month(session_start) AS int)/12e0) AS month_sin, cos(2e0*pi()*cast(month(session_start) AS int)/12e0) AS month_cos
 FROM sessions""")
 def x_02_06_temporal(spark, sf_dir):
     out = fe.add_temporal_features(ad.sessions(spark, sf_dir))
@@ -186,7 +186,7 @@ def x_02_06_temporal(spark, sf_dir):
 
 
 @register("x_07_08_traffic_features", sql="""
-SELECT session_id, traffic_score * hour(session_start) / 24e0 AS traffic_x_hour,
+SELECT session_id, traffic_score * cast(hour(session_start) AS int) / 24e0 AS traffic_x_hour,
   traffic_score * cast(isodow(session_start) >= 6 AS int) AS traffic_x_weekend,
   CASE WHEN traffic_score >= 0 AND traffic_score <= 0.33 THEN 0e0
     WHEN traffic_score > 0.33 AND traffic_score <= 0.66 THEN 1e0
@@ -251,7 +251,7 @@ _W = "OVER (PARTITION BY station_id ORDER BY session_start, session_id ROWS BETW
 
 def _roll_sql(n: int, label: str) -> str:
     w = _W.format(n=n)
-    return (f"{exact_avg('wait_time_minutes', w)} AS rolling_mean_{label},\n"
+    return (f"{avg_9('wait_time_minutes', w)} AS rolling_mean_{label},\n"
             f"  round(coalesce(stddev_samp(wait_time_minutes) {w}, 0e0), 9) AS rolling_std_{label}")
 
 
@@ -259,24 +259,20 @@ def _roll_sql(n: int, label: str) -> str:
 SELECT session_id, station_id, {_roll_sql(6, '1h')}, {_roll_sql(18, '3h')}, {_roll_sql(36, '6h')}
 FROM sessions""")
 def w_01_02_rolling(spark, sf_dir):
-    out = fe.add_rolling_features(ad.sessions(spark, sf_dir), decimal_scale=4)
-    cols = [c for c in out.columns if c.startswith("rolling_")]
-    return out.select("session_id", "station_id",
-                      *[(F.round(c, 9) if "std" in c else F.col(c)).alias(c) for c in cols])
+    out = fe.add_rolling_features(ad.sessions(spark, sf_dir))
+    return out.select("session_id", "station_id", *[F.round(c, 9).alias(c) for c in out.columns if c.startswith("rolling_")])
 
 
 _E = "OVER (PARTITION BY station_id ORDER BY session_start, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
 @register("w_03_expanding", sql=f"""
-SELECT session_id, {exact_avg('wait_time_minutes', _E)} AS expanding_mean,
+SELECT session_id, {avg_9('wait_time_minutes', _E)} AS expanding_mean,
   round(coalesce(stddev_samp(wait_time_minutes) {_E}, 0e0), 9) AS expanding_std
 FROM sessions""")
 def w_03_expanding(spark, sf_dir):
-    cols = fe.expanding_columns(decimal_scale=4)
-    return ad.sessions(spark, sf_dir).select(
-        "session_id", cols["rolling_mean_1h"].alias("expanding_mean"),
-        F.round(cols["rolling_std_1h"], 9).alias("expanding_std"))
+    return fe.add_expanding_features(ad.sessions(spark, sf_dir)).select(
+        "session_id", F.round("rolling_mean_1h", 9).alias("expanding_mean"), F.round("rolling_std_1h", 9).alias("expanding_std"))
 
 
 _L = "OVER (PARTITION BY station_id ORDER BY session_start, session_id)"
@@ -289,17 +285,22 @@ def w_04_lags(spark, sf_dir):
     return out.select("session_id", *[f"lag_{k}" for k in fe.LAGS])
 
 
-@register("p_22_median_fill", sql="""
-WITH f AS (
-  SELECT session_id, lag(wait_time_minutes, 1) OVER (PARTITION BY station_id ORDER BY session_start, session_id)
-    AS lag_1,
-    lag(wait_time_minutes, 24) OVER (PARTITION BY station_id ORDER BY session_start, session_id) AS lag_24
-  FROM sessions)
-SELECT session_id, coalesce(lag_1, (SELECT coalesce(median(lag_1), 0e0) FROM f)) AS lag_1,
-  coalesce(lag_24, (SELECT coalesce(median(lag_24), 0e0) FROM f)) AS lag_24 FROM f""")
+@register("w_05_global_lags", sql="SELECT session_id, " + ", ".join(
+    f"lag(wait_time_minutes, {k}) OVER (ORDER BY session_start, session_id) AS lag_{k}" for k in fe.LAGS) + " FROM sessions")
+def w_05_global_lags(spark, sf_dir):
+    out = fe.add_lag_features(ad.sessions(spark, sf_dir).drop("station_id"))
+    return out.select("session_id", *[f"lag_{k}" for k in fe.LAGS])
+
+
+_FILL = ["queue_size", "energy_kwh", "traffic_score", *(f"lag_{k}" for k in fe.LAGS)]
+
+
+@register("p_22_median_fill", sql="WITH f AS (SELECT session_id, queue_size, energy_kwh, traffic_score, " + ", ".join(
+    f"lag(wait_time_minutes, {k}) {_L} AS lag_{k}" for k in fe.LAGS) + " FROM sessions) SELECT session_id, " + ", ".join(
+    f"cast(coalesce({c}, (SELECT coalesce(median({c}), 0e0) FROM f)) AS double) AS {c}" for c in _FILL) + " FROM f")
 def p_22_median_fill(spark, sf_dir):
-    out = fe.add_lag_features(ad.sessions(spark, sf_dir), lags=[1, 24]).select("session_id", "lag_1", "lag_24")
-    return fe.fill_numeric_medians(out, ["lag_1", "lag_24"])
+    out = fe.add_lag_features(ad.sessions(spark, sf_dir)).select("session_id", *_FILL)
+    return fe.fill_numeric_medians(out, cl.numeric_columns(out, exclude=("session_id",)))
 
 
 _WB = ("OVER (PARTITION BY station_id ORDER BY session_start, l_orderkey, l_linenumber, l_partkey "
@@ -309,18 +310,14 @@ _LB = "OVER (PARTITION BY station_id ORDER BY session_start, l_orderkey, l_linen
 
 @register("w_01_04_rolling_lags_big", sql=f"""
 SELECT l_orderkey, l_linenumber, l_partkey, station_id,
-  {exact_avg('session_duration_min', _WB.format(n=6))} AS rolling_mean_1h,
+  {avg_9('session_duration_min', _WB.format(n=6))} AS rolling_mean_1h,
   round(coalesce(stddev_samp(session_duration_min) {_WB.format(n=6)}, 0e0), 9) AS rolling_std_1h,
-  {exact_avg('session_duration_min', _WB.format(n=36))} AS rolling_mean_6h,
+  {avg_9('session_duration_min', _WB.format(n=36))} AS rolling_mean_6h,
   lag(session_duration_min, 1) {_LB} AS lag_1, lag(session_duration_min, 24) {_LB} AS lag_24
 FROM sessions_big""")
 def w_01_04_rolling_lags_big(spark, sf_dir):
     order = ("session_start", "l_orderkey", "l_linenumber", "l_partkey")
-    s = ad.sessions_big(spark, sf_dir)
-    roll = fe.rolling_columns("session_duration_min", "station_id", order, {"1h": 6, "6h": 36}, decimal_scale=4)
-    lags = fe.lag_columns("session_duration_min", "station_id", order, [1, 24])
-    return s.select("l_orderkey", "l_linenumber", "l_partkey", "station_id",
-                    roll["rolling_mean_1h"].alias("rolling_mean_1h"),
-                    F.round(roll["rolling_std_1h"], 9).alias("rolling_std_1h"),
-                    roll["rolling_mean_6h"].alias("rolling_mean_6h"),
-                    lags["lag_1"].alias("lag_1"), lags["lag_24"].alias("lag_24"))
+    s = ad.sessions_big(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "station_id", "session_start", "session_duration_min")
+    out = fe.add_history_features(s, "session_duration_min", "station_id", order, {"1h": 6, "6h": 36}, [1, 24])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "station_id",
+                      *[F.round(c, 9).alias(c) for c in ("rolling_mean_1h", "rolling_std_1h", "rolling_mean_6h")], "lag_1", "lag_24")

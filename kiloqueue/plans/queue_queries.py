@@ -63,7 +63,7 @@ def a_28_arrival_rate(spark, sf_dir):
 
 
 @register("a_28_arrival_rate_by_hour_dow", sql="""
-SELECT station_id, hour(session_start) AS hour_of_day, isodow(session_start) - 1 AS day_of_week,
+SELECT station_id, cast(hour(session_start) AS int) AS hour_of_day, isodow(session_start) - 1 AS day_of_week,
   count(*) AS n_sessions,
   CASE WHEN count(*) < 10 THEN 8e0 ELSE round(greatest(0.1e0, count(*) /
     greatest(1e0, (epoch_us(max(session_start)) - epoch_us(min(session_start))) / 3.6e9)), 3) END
@@ -93,7 +93,7 @@ def a_29_service_rate_all(spark, sf_dir):
 SELECT {_queue_select(*_G, '0', 'name', '0')}
 FROM rates""", ctes=_RATES_CTE.replace(
     "FROM sessions GROUP BY station_id),\nmu",
-    "FROM sessions WHERE hour(session_start) = 18 GROUP BY station_id),\nmu"))
+    "FROM sessions WHERE cast(hour(session_start) AS int) = 18 GROUP BY station_id),\nmu"))
 def q_g_network_queue_hour18(spark, sf_dir):
     s = ad.sessions(spark, sf_dir).withColumn("hour_of_day", F.hour("session_start"))
     return qm.analyze_network(ad.stations(spark, sf_dir), s, hour_of_day=18, unstable_wait=None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kiloqueue.functions import geo
@@ -111,11 +112,7 @@ _FUTURE_WAIT = queue_wait_sql("greatest(1, num_ports)", "1e0", "3e0", "0")
 stations_w AS (SELECT s.*, CASE WHEN {_FUTURE_WAIT} IS NULL THEN NULL
   ELSE greatest(0e0, {rnd(_FUTURE_WAIT, 1)}) END AS fw FROM stations s)""")
 def r_f_recommend_future(spark, sf_dir):
-    st = ad.stations(spark, sf_dir)
-    req = st.select("*", F.lit(0).alias("_q0"))
-    fut = pr.predict_table(req.drop("queue_size").withColumnRenamed("_q0", "queue_size"))
-    fut = fut.select(*st.columns, F.col("predicted_wait_min").alias("wait_time_minutes"))
-    return rc.recommend(ad.users(spark, sf_dir), fut, None)
+    return rc.recommend_future(ad.users(spark, sf_dir), ad.stations(spark, sf_dir), 18)
 
 
 @register("r_e_en_route", sql=f"""
@@ -134,7 +131,20 @@ def r_e_en_route(spark, sf_dir):
     return rc.recommend_en_route(ad.routes(spark, sf_dir), ad.stations(spark, sf_dir), 5.0, 3)
 
 
-@register("r_h_diversify")
+_RECS = _recommend_sql("users", "coalesce(pw_pred, 20e0)")
+
+
+@register("r_h_diversify", sql=f"""
+WITH RECURSIVE recs AS (SELECT user_id, rank, station_id, lat, lng FROM ({_RECS}) r),
+walk(user_id, k, kept) AS (
+  SELECT DISTINCT user_id, 0, cast([] AS STRUCT(rank INT, station_id BIGINT, lat DOUBLE, lng DOUBLE)[]) FROM recs
+  UNION ALL
+  SELECT w.user_id, w.k + 1, CASE WHEN r.station_id IS NULL OR len(list_filter(w.kept,
+      lambda x: sqrt(pow(r.lat - x.lat, 2) + pow(r.lng - x.lng, 2)) * 111e0 < 1e0)) > 0 THEN w.kept
+    ELSE list_append(w.kept, {{'rank': cast(r.rank AS int), 'station_id': r.station_id, 'lat': r.lat, 'lng': r.lng}}) END
+  FROM walk w LEFT JOIN recs r ON r.user_id = w.user_id AND r.rank = w.k + 1 WHERE w.k < 5)
+SELECT user_id, x.rank AS rank, x.station_id AS station_id, x.lat AS lat, x.lng AS lng
+FROM (SELECT user_id, unnest(kept) AS x FROM walk WHERE k = 5) u""", ctes=_WEIGHTS_SQL + "," + _STATIONS_W_PRED)
 def r_h_diversify(spark, sf_dir):
     recs = rc.recommend(ad.users(spark, sf_dir), ad.stations(spark, sf_dir), ad.predictions(spark, sf_dir))
     return rc.diversify(recs.select("user_id", "rank", "station_id", "lat", "lng"), 1.0)
@@ -186,15 +196,35 @@ def p_16_availability_name_filter(spark, sf_dir):
             .where((F.col("availability") == "Busy") & F.lower("name").contains("00")))
 
 
-@register("o_06_client_sort", sql="""
-SELECT station_id, coalesce(nullif(w, 0), 99e0) AS sort_wait
-FROM (SELECT station_id, arg_max(predicted_wait_min, seq) AS w FROM predictions GROUP BY station_id) p
-ORDER BY sort_wait, station_id""")
-def o_06_client_sort(spark, sf_dir):
-    from kiloqueue.operators.summary import client_sort
+_SORT = """
+cs AS (SELECT s.station_id, s.name, nullif(s.available_ports, 3) AS available_ports, p.w AS wait_min,
+  CASE WHEN s.station_id % 7 > 0 THEN DIST END AS distance_km FROM stations s LEFT JOIN (
+  SELECT station_id, arg_max(predicted_wait_min, seq) AS w FROM predictions GROUP BY station_id) p USING (station_id))""".replace(
+    "DIST", _asin_dist("37.78e0", "-122.41e0", "s.lat", "s.lng"))
+
 
+def _sortable(spark, sf_dir):
+    """Stations as a client lists them: some without a distance or a count of free ports."""
     p = rc.latest_predictions(ad.predictions(spark, sf_dir)).withColumnRenamed("predicted_wait_min", "wait_min")
-    return client_sort(p, "wait").select("station_id", "sort_wait")
+    d = geo.haversine_km(F.lit(37.78), F.lit(-122.41), F.col("lat"), F.col("lng"))
+    return ad.stations(spark, sf_dir).join(p, "station_id", "left").select(
+        "station_id", "name", F.nullif("available_ports", F.lit(3)).alias("available_ports"), "wait_min",
+        F.when(F.col("station_id") % 7 > 0, d).alias("distance_km"))
+
+
+def _register_sort(by: str, key: str) -> None:
+    from kiloqueue.operators.summary import client_sort
+
+    @register(f"o_06_client_sort_{by}", sql=f"""
+SELECT station_id, cast(row_number() OVER (ORDER BY {key}, station_id) AS int) AS place FROM cs""", ctes=_SORT)
+    def query(spark, sf_dir):
+        ordered = client_sort(_sortable(spark, sf_dir), by)
+        return ordered.select("station_id", F.row_number().over(Window.orderBy("sort_key", "station_id")).alias("place"))
+
+
+for _by, _key in (("wait", "coalesce(nullif(wait_min, 0), 99e0)"), ("distance", "coalesce(distance_km, 99e0)"),
+                  ("availability", "-coalesce(available_ports, 0)"), ("name", "name")):
+    _register_sort(_by, _key)
 
 
 @register("o_08_radius_search", sql=f"""
@@ -208,7 +238,7 @@ def o_08_radius_search(spark, sf_dir):
 
 @register("o_09_a_05_nearest_summary", sql=f"""
 SELECT arg_min(station_id, {_asin_dist('37.7749e0', '-122.4194e0', 'lat', 'lng')}) AS nearest_station_id,
-  count_if(status = 'Operational' AND available_ports > 0) AS n_available,
+  cast(count_if(status = 'Operational' AND available_ports > 0) AS bigint) AS n_available,
   round(avg(CASE WHEN coalesce(pw, 0) = 0 THEN 10e0 ELSE pw END)) AS mean_wait_rounded
 FROM stations_w""", ctes=_STATIONS_W_PRED.replace("pw_pred", "pw"))
 def o_09_a_05_nearest_summary(spark, sf_dir):
@@ -255,42 +285,99 @@ req AS (
   SELECT s.session_id, s.station_id, st.num_ports, s.available_ports, s.queue_size,
     hour(s.session_start) AS hour, cast(isodow(s.session_start) - 1 AS int) AS day_of_week,
     s.traffic_score, s.temperature_c, s.precipitation_mm
-  FROM sessions s JOIN stations st USING (station_id))"""
+  FROM sessions s JOIN stations st USING (station_id)),
+bad AS (SELECT *, nullif(concat_ws('; ', {rules}), '') AS error FROM ({spoilt}) x)""".format(
+    rules=", ".join(f"CASE WHEN NOT coalesce({cond}, false) THEN '{text}' END" for cond, text in (
+        ("num_ports BETWEEN 1 AND 100", "num_ports between 1 and 100"),
+        ("available_ports BETWEEN 0 AND 100", "available_ports between 0 and 100"),
+        ("available_ports <= num_ports", "available_ports must not exceed num_ports"),
+        ("queue_size BETWEEN 0 AND 200", "queue_size between 0 and 200"),
+        ("hour BETWEEN 0 AND 23", "hour between 0 and 23"), ("day_of_week BETWEEN 0 AND 6", "day_of_week between 0 and 6"),
+        ("traffic_score BETWEEN 0 AND 1", "traffic_score between 0 and 1"),
+        ("precipitation_mm >= 0", "precipitation_mm must be >= 0"))),
+    spoilt="""SELECT session_id, station_id, CASE WHEN session_id % 31 = 0 THEN 101 ELSE num_ports END AS num_ports,
+      CASE WHEN session_id % 37 = 0 THEN -1 ELSE available_ports END AS available_ports,
+      CASE WHEN session_id % 41 = 0 THEN 201 ELSE queue_size END AS queue_size,
+      CASE WHEN session_id % 43 = 0 THEN 24 ELSE hour END AS hour,
+      CASE WHEN session_id % 47 = 0 THEN 7 ELSE day_of_week END AS day_of_week,
+      CASE WHEN session_id % 53 = 0 THEN 1.5e0 WHEN session_id % 59 = 0 THEN NULL ELSE traffic_score END AS traffic_score,
+      temperature_c, CASE WHEN session_id % 61 = 0 THEN -1e0 ELSE precipitation_mm END AS precipitation_mm FROM req""")
+
+
+def _requests(spark, sf_dir):
+    """Session readings as prediction requests, some of them spoilt so that every rule is broken."""
+    ses = add_temporal_features(ad.sessions(spark, sf_dir))
+    st = ad.stations(spark, sf_dir).select("station_id", "num_ports")
+    sid = F.col("session_id")
+    spoil = lambda m, bad, c: F.when(sid % m == 0, bad).otherwise(F.col(c)).alias(c)
+    return ses.withColumn("hour", F.col("hour_of_day")).join(st, "station_id").select(
+        "session_id", "station_id", spoil(31, F.lit(101), "num_ports"), spoil(37, F.lit(-1), "available_ports"),
+        spoil(41, F.lit(201), "queue_size"), spoil(43, F.lit(24), "hour"), spoil(47, F.lit(7), "day_of_week"),
+        F.when(sid % 53 == 0, 1.5).when(sid % 59 == 0, F.lit(None)).otherwise(F.col("traffic_score")).alias("traffic_score"),
+        "temperature_c", spoil(61, F.lit(-1.0), "precipitation_mm"))
 
 
 @register("m_16_predict_requests", sql=f"""
-SELECT * FROM ({_pred_sql("req WHERE available_ports <= num_ports AND num_ports BETWEEN 1 AND 100 "
-                          "AND available_ports BETWEEN 0 AND 100 AND queue_size BETWEEN 0 AND 200",
-                          "num_ports", "available_ports", "queue_size", "session_id, NULL::varchar AS error,")}) ok
+SELECT * FROM ({_pred_sql("bad WHERE error IS NULL", "num_ports", "available_ports", "queue_size", "session_id, error,")}) ok
 UNION ALL
-SELECT session_id, NULL::varchar AS error, station_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-FROM req WHERE NOT (available_ports <= num_ports AND num_ports BETWEEN 1 AND 100
-  AND available_ports BETWEEN 0 AND 100 AND queue_size BETWEEN 0 AND 200)""", ctes=_REQ_SQL)
+SELECT session_id, error, station_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM bad WHERE error IS NOT NULL""", ctes=_REQ_SQL)
 def m_16_predict_requests(spark, sf_dir):
-    ses = add_temporal_features(ad.sessions(spark, sf_dir))
-    st = ad.stations(spark, sf_dir).select("station_id", "num_ports")
-    req = ses.join(st, "station_id").select(
-        "session_id", "station_id", "num_ports", "available_ports", "queue_size",
-        F.col("hour_of_day").alias("hour"), "day_of_week", "traffic_score", "temperature_c", "precipitation_mm")
-    out = pr.predict_requests(req, unstable_wait=None)
-    # the oracle reports only *that* a row was rejected: messages are checked by m_16_rejected_requests
-    return out.select("session_id", F.lit(None).cast("string").alias("error"), "station_id", "predicted_wait_min", "rf_prediction", "queue_prediction",
+    out = pr.predict_requests(_requests(spark, sf_dir), unstable_wait=None)
+    return out.select("session_id", "error", "station_id", "predicted_wait_min", "rf_prediction", "queue_prediction",
                       "confidence_level", "queue_stable", "utilization_pct", "recommendation")
 
 
-@register("m_16_rejected_requests", sql="""
-SELECT session_id, station_id, 'available_ports must not exceed num_ports' AS error
-FROM req WHERE available_ports > num_ports""", ctes=_REQ_SQL)
+@register("m_16_rejected_requests", sql="SELECT session_id, station_id, error FROM bad WHERE error IS NOT NULL", ctes=_REQ_SQL)
 def m_16_rejected_requests(spark, sf_dir):
-    ses = add_temporal_features(ad.sessions(spark, sf_dir))
-    st = ad.stations(spark, sf_dir).select("station_id", "num_ports")
-    req = ses.join(st, "station_id").select("session_id", "station_id", "num_ports", "available_ports",
-                                            "queue_size", F.col("hour_of_day").alias("hour"), "day_of_week",
-                                            "traffic_score", "precipitation_mm")
-    _, rejected = qa.validate(req)
+    _, rejected = qa.validate(_requests(spark, sf_dir))
     return rejected.select("session_id", "station_id", F.concat_ws("; ", "errors").alias("error"))
 
 
+@register("p_24_recommend_rules", sql="""
+SELECT user_id, nullif(concat_ws('; ', CASE WHEN NOT max_detour_km BETWEEN 0.5 AND 100 THEN 'max_detour_km between 0.5 and 100' END,
+  CASE WHEN NOT top_n BETWEEN 1 AND 20 THEN 'top_n between 1 and 20' END), '') AS error FROM (
+  SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 0.1e0 ELSE max_detour_km END AS max_detour_km, user_id % 23 AS top_n FROM users) x""")
+def p_24_recommend_rules(spark, sf_dir):
+    u = ad.users(spark, sf_dir)
+    ask = u.select("user_id", F.when(F.col("user_id") % 5 == 0, 0.1).otherwise(F.col("max_detour_km")).alias("max_detour_km"),
+                   (F.col("user_id") % 23).alias("top_n"))
+    errors = qa.violations(ask, qa.RECOMMEND_RULES)
+    return ask.select("user_id", F.nullif(F.concat_ws("; ", errors), F.lit("")).alias("error"))
+
+
+_ENSEMBLE = """
+mp AS (SELECT s.*, cast((station_id * 17) % 61 AS double) + 0.25e0 AS rf FROM stations s WHERE station_id % 13 <> 5
+  UNION ALL SELECT s.*, NULL FROM stations s WHERE station_id % 13 = 5)"""
+
+
+def _with_model(spark, sf_dir):
+    """Stations with a stored model prediction (some without)."""
+    k = F.col("station_id")
+    return ad.stations(spark, sf_dir).withColumn("rf", F.when(k % 13 != 5, ((k * 17) % 61).cast("double") + 0.25))
+
+
+@register("m_14_ensemble", sql=f"""
+SELECT station_id, {rnd('rf', 1)} AS rf_prediction, p AS predicted_wait_min, 'high' AS confidence_level,
+  CASE WHEN p <= 5 AND available_ports > 0 THEN 'GO_NOW' WHEN p <= 15 THEN 'GOOD_TIME' WHEN p <= 30 THEN 'MODERATE_WAIT'
+    WHEN p <= 60 THEN 'LONG_WAIT' ELSE 'AVOID' END AS recommendation
+FROM (SELECT *, greatest(0e0, {rnd("0.4e0 * rf + 0.15e0 * w", 1)}) AS p FROM (
+  SELECT *, {queue_wait_sql("greatest(1, num_ports)", "greatest(0.1e0, queue_size + 1e0)", "3e0", "queue_size")} AS w
+  FROM mp WHERE rf IS NOT NULL) x WHERE w IS NOT NULL) y""", ctes=_ENSEMBLE)
+def m_14_ensemble(spark, sf_dir):
+    out = pr.predict_table(_with_model(spark, sf_dir).where("rf is not null"), "rf").where("queue_stable")
+    return out.select("station_id", "rf_prediction", "predicted_wait_min", "confidence_level", "recommendation")
+
+
+@register("m_15_predict_batch_model", sql="""
+SELECT station_id, rf AS rf_prediction, coalesce(rf, 15e0) AS predicted_wait_min,
+  CASE WHEN coalesce(rf, 15e0) <= 5 AND available_ports > 0 THEN 'GO_NOW' WHEN coalesce(rf, 15e0) <= 15 THEN 'GOOD_TIME'
+    WHEN coalesce(rf, 15e0) <= 30 THEN 'MODERATE_WAIT' WHEN coalesce(rf, 15e0) <= 60 THEN 'LONG_WAIT' ELSE 'AVOID' END AS recommendation
+FROM mp""", ctes=_ENSEMBLE)
+def m_15_predict_batch_model(spark, sf_dir):
+    return pr.predict_batch(_with_model(spark, sf_dir), "rf").select("station_id", "rf_prediction", "predicted_wait_min", "recommendation")
+
+
 @register("m_17_demand_curve", sql=f"""
 SELECT station_id, cast(h AS int) AS hour, lpad(cast(h AS varchar), 2, '0') || ':00' AS label,
   predicted_wait_min, recommendation
@@ -416,10 +503,22 @@ def p_27_l_03_threshold_alerts(spark, sf_dir):
         "session_id", "station_id", "alert")
 
 
-@register("n_06_webhook_payload")
+_PAGES = """
+pg AS (SELECT *, (row_number() OVER (PARTITION BY severity ORDER BY station_id, rule_order) - 1) // 10 AS page FROM (""" + _alert_sql("sp") + """) a)"""
+
+
+@register("n_06_webhook_payload", sql="""
+SELECT severity, cast(page AS int) AS page, cast(count(*) AS int) AS count,
+  string_agg('[' || severity || '] ' || station_name || ': ' || message, chr(10) ORDER BY station_id, rule_order) AS blocks,
+  string_agg(coalesce(cast(round(CASE WHEN alert_type = 'HIGH_WAIT_TIME' THEN metric END, 6) AS varchar), '-'), ',' ORDER BY station_id, rule_order) AS waits
+FROM pg GROUP BY severity, page""", ctes=_SP + "," + _PAGES)
 def n_06_webhook_payload(spark, sf_dir):
     a = al.evaluate_network(ad.stations(spark, sf_dir), ad.predictions(spark, sf_dir))
-    return al.webhook_payload(a, as_of="2024-01-31T00:00:00", group_cols=("severity",))
+    out = al.webhook_payload(a, as_of="2024-01-31T00:00:00")
+    sent = F.from_json("payload", "alerts array<struct<data: struct<predicted_wait_min: double>>>, count int")
+    waits = F.transform(sent["alerts"], lambda x: F.coalesce(F.round(x["data"]["predicted_wait_min"], 6).cast("string"), F.lit("-")))
+    return out.select("severity", "page", sent["count"].alias("count"), F.array_join("blocks", "\n").alias("blocks"),
+                      F.array_join(waits, ",").alias("waits"))
 
 
 @register("l_02_latest_state", sql="""

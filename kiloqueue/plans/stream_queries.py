@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kiloqueue.plans.oracle_base import exact_avg, queue_wait_sql, rnd
+from kiloqueue.plans.oracle_base import avg_9, queue_wait_sql, rnd
 from kiloqueue.plans.registry import register
 from kiloqueue.sources import adapter as ad
 from kiloqueue.streaming import jobs
@@ -43,22 +43,28 @@ def l_02_stream_latest_state(spark, sf_dir):
 
 
 @register("l_03_l_07_stream_threshold", sql="""
-SELECT session_id, station_id, true AS alert FROM sessions WHERE wait_time_minutes >= 30 AND station_id = 7""")
+SELECT session_id, station_id, true AS alert FROM sessions WHERE wait_time_minutes >= 30""")
 def l_03_l_07_stream_threshold(spark, sf_dir):
+    return jobs.threshold_stream(spark, sf_dir, 30.0)
+
+
+@register("l_07_stream_one_station", sql="""
+SELECT session_id, station_id, true AS alert FROM sessions WHERE wait_time_minutes >= 30 AND station_id = 7""")
+def l_07_stream_one_station(spark, sf_dir):
     return jobs.threshold_stream(spark, sf_dir, 30.0, station_id=7)
 
 
 @register("l_08_stream_hourly_mean", sql=f"""
 SELECT station_id, strftime(date_trunc('hour', session_start), '%Y-%m-%d %H:%M:%S') AS hour_ts,
-  {exact_avg('wait_time_minutes')} AS value FROM sessions GROUP BY ALL""")
+  {avg_9('wait_time_minutes')} AS value FROM sessions GROUP BY ALL""")
 def l_08_stream_hourly_mean(spark, sf_dir):
-    return jobs.hourly_means(spark, sf_dir)
+    return jobs.hourly_means(spark, sf_dir).withColumn("value", F.round("value", 9))
 
 
 @register("l_09_a_32_stream_running_mean", sql=f"""
-SELECT station_id, {exact_avg('wait_time_minutes')} AS running_mean, count(*) AS n FROM sessions GROUP BY 1""")
+SELECT station_id, {avg_9('wait_time_minutes')} AS running_mean, count(*) AS n FROM sessions GROUP BY 1""")
 def l_09_a_32_stream_running_mean(spark, sf_dir):
-    return jobs.running_means(spark, sf_dir)
+    return jobs.running_means(spark, sf_dir).withColumn("running_mean", F.round("running_mean", 9))
 
 
 @register("l_05_stream_cooldown", sql="""
@@ -83,9 +89,13 @@ def l_05_stream_cooldown(spark, sf_dir):
                       F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"))
 
 
-@register("l_10_stream_freshness")
+@register("l_10_stream_freshness", sql="""
+SELECT station_id, strftime(max(session_start), '%Y-%m-%d %H:%M:%S.%f') AS reading_time,
+  arg_max(traffic_score, struct_pack(t := session_start, s := session_id)) AS traffic_score
+FROM sessions WHERE session_start > (SELECT max(session_start) FROM sessions) - INTERVAL 300 SECOND GROUP BY station_id""")
 def l_10_stream_freshness(spark, sf_dir):
-    return jobs.freshness_stream(spark, sf_dir, 300.0)
+    return jobs.freshness_stream(spark, sf_dir, 300.0).select(
+        "station_id", F.date_format("reading_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("reading_time"), "traffic_score")
 
 
 @register("s_16_fresh_readings", sql="""

@@ -10,7 +10,7 @@ from kiloqueue.operators import summary as sm
 from kiloqueue.operators.clean import heuristic_wait
 from kiloqueue.operators.features import add_temporal_features
 from kiloqueue.operators.quality import duplicate_count, missing_report
-from kiloqueue.plans.oracle_base import exact_avg, rnd
+from kiloqueue.plans.oracle_base import avg_9, rnd
 from kiloqueue.plans.registry import register
 from kiloqueue.sources import adapter as ad
 
@@ -20,8 +20,8 @@ def _ses(spark, sf_dir):
 
 
 _T = """
-ts AS (SELECT *, hour(session_start) AS hour_of_day, cast(isodow(session_start) - 1 AS int) AS day_of_week,
-  month(session_start) AS month, cast(isodow(session_start) >= 6 AS int) AS is_weekend FROM sessions)"""
+ts AS (SELECT *, cast(hour(session_start) AS int) AS hour_of_day, cast(isodow(session_start) - 1 AS int) AS day_of_week,
+  cast(month(session_start) AS int) AS month, cast(isodow(session_start) >= 6 AS int) AS is_weekend FROM sessions)"""
 
 _SW = """
 sw AS (SELECT s.*, coalesce(p.w, 20e0) AS wait_min, p.w AS predicted_wait_min FROM stations s LEFT JOIN (
@@ -35,76 +35,78 @@ def _stations_wait(spark, sf_dir):
 
 
 @register("a_01_utilisation_summary", sql=f"""
-SELECT count(*) AS total_stations, count_if(contains(status, 'Operational')) AS operational_stations,
+SELECT count(*) AS total_stations, cast(count_if(contains(status, 'Operational')) AS bigint) AS operational_stations,
   cast(sum(num_ports) AS bigint) AS total_ports, cast(sum(available_ports) AS bigint) AS available_ports,
   cast(sum(num_ports) - sum(available_ports) AS bigint) AS occupied_ports,
   {rnd("(sum(num_ports) - sum(available_ports)) / greatest(sum(num_ports), 1) * 100e0", 1)}
     AS network_utilization_pct,
   cast(sum(queue_size) AS bigint) AS total_vehicles_waiting,
-  {rnd(exact_avg("wait_min"), 1)} AS avg_predicted_wait_min
+  {rnd(avg_9("wait_min"), 1)} AS avg_predicted_wait_min
 FROM sw""", ctes=_SW)
 def a_01_utilisation_summary(spark, sf_dir):
     return sm.utilisation_summary(_stations_wait(spark, sf_dir), "wait_min")
 
 
 @register("a_02_live_summary", sql=f"""
-SELECT {rnd(exact_avg("wait_min"), 1)} AS avg_wait_min, max(wait_min) AS max_wait_min,
-  min(wait_min) AS min_wait_min, count_if(available_ports > 0) AS stations_available,
-  count_if(available_ports = 0) AS stations_full FROM sw""", ctes=_SW)
+SELECT {rnd(avg_9("wait_min"), 1)} AS avg_wait_min, max(wait_min) AS max_wait_min,
+  min(wait_min) AS min_wait_min, cast(count_if(available_ports > 0) AS bigint) AS stations_available,
+  cast(count_if(available_ports = 0) AS bigint) AS stations_full FROM sw""", ctes=_SW)
 def a_02_live_summary(spark, sf_dir):
     return sm.live_summary(_stations_wait(spark, sf_dir), "wait_min")
 
 
 @register("a_03_kpi_row", sql="""
 SELECT count(*) AS stations, cast(sum(num_ports) AS bigint) AS total_ports,
-  cast(sum(available_ports) AS bigint) AS available_ports, count_if(status = 'Operational') AS operational
-FROM stations""")
+  cast(sum(available_ports) AS bigint) AS available_ports, cast(sum(queue_size) AS bigint) AS vehicles_waiting,
+  round(avg(predicted_wait_min), 9) AS avg_predicted_wait_min, cast(count_if(status = 'Operational') AS bigint) AS operational
+FROM sw""", ctes=_SW)
 def a_03_kpi_row(spark, sf_dir):
-    return sm.kpi_row(ad.stations(spark, sf_dir))
+    return sm.kpi_row(_stations_wait(spark, sf_dir))
 
 
 @register("a_04_client_stats", sql=f"""
 SELECT count(*) AS stations,
   round(avg((num_ports - available_ports) / greatest(num_ports, 1)) * 100e0, 6) AS avg_utilization_pct,
-  {rnd(exact_avg("coalesce(nullif(0e0, 0e0), nullif(predicted_wait_min, 0e0), 0e0)"), 6)} AS avg_wait_min
+  {rnd(avg_9("coalesce(nullif(CASE WHEN station_id % 2 = 0 THEN wait_min END, 0e0), nullif(predicted_wait_min, 0e0), 0e0)"), 6)} AS avg_wait_min
 FROM sw""", ctes=_SW)
 def a_04_client_stats(spark, sf_dir):
-    st = _stations_wait(spark, sf_dir).withColumn("wait_min", F.lit(0.0))
+    # odd stations have no wait of their own and fall through to the prediction
+    st = _stations_wait(spark, sf_dir).withColumn("wait_min", F.when(F.col("station_id") % 2 == 0, F.col("wait_min")))
     return sm.client_stats(st, "wait_min", "predicted_wait_min")
 
 
 @register("a_06_wait_by_hour", sql=f"""
-SELECT hour_of_day, {exact_avg('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n,
+SELECT hour_of_day, {avg_9('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n,
   round(stddev_samp(wait_time_minutes), 9) AS std_wait FROM ts GROUP BY hour_of_day""", ctes=_T)
 def a_06_wait_by_hour(spark, sf_dir):
     return sm.wait_by(_ses(spark, sf_dir), ["hour_of_day"])
 
 
 @register("a_07_wait_by_dow", sql=f"""
-SELECT day_of_week, {exact_avg('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n
+SELECT day_of_week, {avg_9('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n
 FROM ts GROUP BY day_of_week""", ctes=_T)
 def a_07_wait_by_dow(spark, sf_dir):
     return sm.wait_by(_ses(spark, sf_dir), ["day_of_week"], with_std=False)
 
 
 @register("a_08_wait_by_month", sql=f"""
-SELECT month, {exact_avg('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n
+SELECT month, {avg_9('wait_time_minutes')} AS mean_wait, count(wait_time_minutes) AS n
 FROM ts GROUP BY month""", ctes=_T)
 def a_08_wait_by_month(spark, sf_dir):
     return sm.wait_by(_ses(spark, sf_dir), ["month"], with_std=False)
 
 
 @register("a_09_weekend_hour_pivot", sql=f"""
-SELECT hour_of_day, {exact_avg('CASE WHEN is_weekend = 0 THEN wait_time_minutes END')} AS is_weekend_0,
-  {exact_avg('CASE WHEN is_weekend = 1 THEN wait_time_minutes END')} AS is_weekend_1
+SELECT hour_of_day, {avg_9('CASE WHEN is_weekend = 0 THEN wait_time_minutes END')} AS is_weekend_0,
+  {avg_9('CASE WHEN is_weekend = 1 THEN wait_time_minutes END')} AS is_weekend_1
 FROM ts GROUP BY hour_of_day""", ctes=_T)
 def a_09_weekend_hour_pivot(spark, sf_dir):
     return sm.pivot_mean(_ses(spark, sf_dir), "hour_of_day", "is_weekend", [0, 1])
 
 
 @register("a_10_station_profile", sql=f"""
-SELECT station_id, {exact_avg('wait_time_minutes')} AS avg_wait, count(*) AS session_count,
-  {exact_avg('session_duration_min')} AS avg_duration FROM sessions GROUP BY station_id""")
+SELECT station_id, {avg_9('wait_time_minutes')} AS avg_wait, count(*) AS session_count,
+  {avg_9('session_duration_min')} AS avg_duration FROM sessions GROUP BY station_id""")
 def a_10_station_profile(spark, sf_dir):
     return sm.station_profile(ad.sessions(spark, sf_dir))
 
@@ -116,40 +118,42 @@ def a_11_median_by_hour(spark, sf_dir):
 
 
 @register("a_12_day_hour_pivot", sql="SELECT day_of_week, " + ", ".join(
-    f"{exact_avg(f'CASE WHEN hour_of_day = {h} THEN wait_time_minutes END')} AS hour_of_day_{h}"
+    f"{avg_9(f'CASE WHEN hour_of_day = {h} THEN wait_time_minutes END')} AS hour_of_day_{h}"
     for h in range(24)) + " FROM ts GROUP BY day_of_week", ctes=_T)
 def a_12_day_hour_pivot(spark, sf_dir):
     return sm.pivot_mean(_ses(spark, sf_dir), "day_of_week", "hour_of_day", range(24))
 
 
-_DESCRIBE_COLS = ["wait_time_minutes", "session_duration_min", "energy_kwh"]
+_ALL_COLS = ["session_id", "station_id", "session_start", "session_duration_min", "energy_kwh", "queue_size", "available_ports",
+             "traffic_score", "temperature_c", "precipitation_mm", "connector_type", "wait_time_minutes"]
+_DESCRIBE_COLS = [c for c in _ALL_COLS if c not in ("session_start", "connector_type")]
 
 
 @register("a_13_describe", sql=" UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", cast(count({c}) AS double) AS count, {exact_avg(c)} AS mean,
-  round(stddev_samp({c}), 9) AS std, cast(min({c}) AS double) AS min, quantile_cont({c}, 0.25) AS p25,
-  quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, cast(max({c}) AS double) AS max
+    f"""SELECT '{c}' AS "column", cast(count({c}) AS double) AS count, {avg_9(c)} AS mean,
+  round(stddev_samp({c}), 9) AS std, cast(min({c}) AS double) AS min, quantile_cont(cast({c} AS double), 0.25) AS p25,
+  quantile_cont(cast({c} AS double), 0.5) AS p50, quantile_cont(cast({c} AS double), 0.75) AS p75, cast(max({c}) AS double) AS max
   FROM sessions""" for c in _DESCRIBE_COLS))
 def a_13_describe(spark, sf_dir):
     return sm.describe(ad.sessions(spark, sf_dir), _DESCRIBE_COLS)
 
 
 @register("a_14_mean_median_p95", sql=f"""
-SELECT {exact_avg('wait_time_minutes')} AS mean, median(wait_time_minutes) AS median,
+SELECT {avg_9('wait_time_minutes')} AS mean, median(wait_time_minutes) AS median,
   quantile_cont(wait_time_minutes, 0.95) AS p95 FROM sessions""")
 def a_14_mean_median_p95(spark, sf_dir):
     return sm.mean_median_p95(ad.sessions(spark, sf_dir), "wait_time_minutes")
 
 
 @register("a_15_share_below", sql="""
-SELECT count_if(wait_time_minutes < 15) / count(*) * 100e0 AS pct_under_15,
-  count_if(wait_time_minutes < 30) / count(*) * 100e0 AS pct_under_30 FROM sessions""")
+SELECT cast(count_if(wait_time_minutes < 15) AS bigint) / count(*) * 100e0 AS pct_under_15,
+  cast(count_if(wait_time_minutes < 30) AS bigint) / count(*) * 100e0 AS pct_under_30 FROM sessions""")
 def a_15_share_below(spark, sf_dir):
     return sm.share_below(ad.sessions(spark, sf_dir), "wait_time_minutes")
 
 
 @register("a_16_traffic_buckets", sql=f"""
-SELECT traffic_bin, {exact_avg('wait_time_minutes')} AS mean_wait,
+SELECT traffic_bin, {avg_9('wait_time_minutes')} AS mean_wait,
   round(stddev_samp(wait_time_minutes), 9) AS std_wait, count(*) AS n FROM (
   SELECT *, CASE WHEN traffic_score > 0 AND traffic_score <= 0.2 THEN '(0.0, 0.2]'
     WHEN traffic_score > 0.2 AND traffic_score <= 0.4 THEN '(0.2, 0.4]'
@@ -179,24 +183,27 @@ def a_18_a_34_frequency(spark, sf_dir):
     return sm.frequency(ad.sessions(spark, sf_dir), "queue_size")
 
 
-@register("a_19_duplicate_rows", sql="""
+_TWICE = "(SELECT * FROM sessions UNION ALL SELECT * FROM sessions WHERE session_id % 11 = 0)"
+
+
+@register("a_19_duplicate_rows", sql=f"""
 SELECT cast(coalesce(sum(n - 1), 0) AS bigint) AS duplicate_rows FROM (
-  SELECT count(*) AS n FROM sessions GROUP BY station_id, queue_size, available_ports) g""")
+  SELECT count(*) AS n FROM {_TWICE} t GROUP BY {", ".join(_ALL_COLS)}) g""")
 def a_19_duplicate_rows(spark, sf_dir):
-    return duplicate_count(ad.sessions(spark, sf_dir), ["station_id", "queue_size", "available_ports"])
+    s = ad.sessions(spark, sf_dir)
+    return duplicate_count(s.unionByName(s.where(F.col("session_id") % 11 == 0)))
 
 
-@register("a_20_missing_report", sql="""
-SELECT "column", cast(missing AS bigint) AS missing, round(missing / n * 100e0, 2) AS missing_pct FROM (
-  SELECT 'connector_type' AS "column", count_if(connector_type IS NULL) AS missing, count(*) AS n FROM sessions
-  UNION ALL SELECT 'wait_time_minutes', count_if(wait_time_minutes IS NULL), count(*) FROM sessions
-  UNION ALL SELECT 'energy_kwh', count_if(energy_kwh IS NULL), count(*) FROM sessions) x
-WHERE missing > 0 ORDER BY missing DESC""")
+@register("a_20_missing_report", sql="SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", cast(count_if({c} IS NULL) AS bigint) AS missing,
+  round(count_if({c} IS NULL) / count(*) * 100e0, 2) AS missing_pct FROM raw_stations"""
+    for c in ("station_id", "name", "lat", "lng", "num_ports", "available_ports", "queue_size", "power_kw", "connector_type", "status",
+              "operator", "traffic_score")) + ") x WHERE missing > 0")
 def a_20_missing_report(spark, sf_dir):
-    return missing_report(ad.sessions(spark, sf_dir), ["connector_type", "wait_time_minutes", "energy_kwh"])
+    return missing_report(ad.raw_stations(spark, sf_dir))
 
 
-_CORR = ["wait_time_minutes", "queue_size", "available_ports", "traffic_score", "temperature_c"]
+_CORR = ["wait_time_minutes", *(c for c in _DESCRIBE_COLS if c not in ("wait_time_minutes", "session_id", "station_id"))]
 
 
 @register("a_21_correlation_matrix", sql=" UNION ALL ".join(
@@ -241,13 +248,19 @@ def a_31_alert_count(spark, sf_dir):
 
 
 @register("a_32_running_mean", sql=f"""
-SELECT session_id, {exact_avg('wait_time_minutes', 'OVER (PARTITION BY station_id ORDER BY session_start, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS running_mean
+SELECT session_id, {avg_9('wait_time_minutes', 'OVER (PARTITION BY station_id ORDER BY session_start, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS running_mean
 FROM sessions""")
 def a_32_running_mean(spark, sf_dir):
     return sm.running_mean(ad.sessions(spark, sf_dir), "station_id", ["session_start", "session_id"],
                            "wait_time_minutes").select("session_id", "running_mean")
 
 
+@register("o_05_first_k", sql="""
+SELECT station_id, name FROM stations ORDER BY queue_size DESC, station_id LIMIT 8""")
+def o_05_first_k(spark, sf_dir):
+    return sm.first_k(ad.stations(spark, sf_dir), 8, [F.col("queue_size").desc(), "station_id"]).select("station_id", "name")
+
+
 @register("a_33_normalise", sql="""
 SELECT session_id, CASE WHEN hi = lo THEN 0e0 ELSE (energy_kwh - lo) / (hi - lo) END AS energy_kwh_norm
 FROM sessions, (SELECT min(energy_kwh) AS lo, max(energy_kwh) AS hi FROM sessions) m""")
@@ -269,8 +282,8 @@ def a_34_availability_share(spark, sf_dir):
 
 
 @register("a_36_traffic_profile", sql=f"""
-SELECT cast(session_start AS date) AS date, hour(session_start) AS hour,
-  {exact_avg('traffic_score')} AS traffic_score, cast(isodow(cast(session_start AS date)) - 1 AS int) AS day_of_week
+SELECT strftime(cast(session_start AS date), '%Y-%m-%d') AS date, cast(hour(session_start) AS int) AS hour,
+  {avg_9('traffic_score')} AS traffic_score, cast(isodow(cast(session_start AS date)) - 1 AS int) AS day_of_week
 FROM sessions GROUP BY ALL""")
 def a_36_traffic_profile(spark, sf_dir):
     return sm.hourly_traffic_profile(ad.sessions(spark, sf_dir)).select(
@@ -280,7 +293,7 @@ def a_36_traffic_profile(spark, sf_dir):
 @register("a_37_hourly_demand", sql="""
 SELECT s.station_id, h.hour, round(h.n / max(h.n) OVER (), 9) AS demand,
   cast(floor(s.num_ports * (1e0 - h.n / max(h.n) OVER ())) AS int) AS free_ports
-FROM stations s, (SELECT hour(session_start) AS hour, count(*) AS n FROM sessions GROUP BY 1) h""")
+FROM stations s, (SELECT cast(hour(session_start) AS int) AS hour, count(*) AS n FROM sessions GROUP BY 1) h""")
 def a_37_hourly_demand(spark, sf_dir):
     return sm.hourly_demand_curve(ad.sessions(spark, sf_dir), ad.stations(spark, sf_dir))
 
@@ -295,7 +308,7 @@ def w_07_empirical_cdf(spark, sf_dir):
 # --- evaluation -------------------------------------------------------------------------
 
 _PRED = f"""
-ev AS (SELECT *, hour(session_start) AS hour_of_day,
+ev AS (SELECT *, cast(hour(session_start) AS int) AS hour_of_day,
   {rnd("least(greatest((cast(queue_size AS double) / (available_ports + 1e0)) * session_duration_min"
        " + traffic_score * 5e0, 0e0), 120e0)", 1)} AS y_pred FROM sessions)"""
 
@@ -310,7 +323,7 @@ def _metrics_sql(model: str, pred: str) -> str:
     e = f"(wait_time_minutes - {p})"
     return f"""
 SELECT '{model}' AS model, count(*) AS n_samples, {rnd(f"sqrt(sum({e}*{e}) / count(*))", 3)} AS rmse_min,
-  {rnd(exact_avg(f"abs({e})"), 3)} AS mae_min,
+  {rnd(avg_9(f"abs({e})"), 3)} AS mae_min,
   {rnd(f"1e0 - sum({e}*{e}) / (var_pop(wait_time_minutes) * count(*))", 4)} AS r2,
   {rnd(f"avg(CASE WHEN wait_time_minutes <> 0 THEN abs({e} / wait_time_minutes) END) * 100e0", 2)} AS mape_pct,
   {rnd(f"avg(CASE WHEN (abs(wait_time_minutes) + abs({p})) / 2e0 <> 0 THEN abs({e}) / ((abs(wait_time_minutes) + abs({p})) / 2e0) END) * 100e0", 2)} AS smape_pct,
@@ -337,7 +350,7 @@ def a_27_compare_models(spark, sf_dir):
 @register("a_25_segment_errors", sql=f"""
 SELECT hour_of_day, count(*) AS n,
   {rnd("sqrt(avg((wait_time_minutes - y_pred)*(wait_time_minutes - y_pred)))", 3)} AS rmse,
-  {rnd(exact_avg("abs(wait_time_minutes - y_pred)"), 3)} AS mae
+  {rnd(avg_9("abs(wait_time_minutes - y_pred)"), 3)} AS mae
 FROM ev GROUP BY hour_of_day""", ctes=_PRED)
 def a_25_segment_errors(spark, sf_dir):
     return ev.segment_analysis(_eval_frame(spark, sf_dir), "wait_time_minutes", "y_pred")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiloqueue.operators import timeseries as ts
-from kiloqueue.plans.oracle_base import exact_avg
+from kiloqueue.plans.oracle_base import avg_9
 from kiloqueue.plans.registry import register
 from kiloqueue.sources import adapter as ad
 
 _SER = f"""
 hourly AS (SELECT station_id, date_trunc('hour', session_start) AS hour_ts,
-  {exact_avg('wait_time_minutes')} AS v FROM sessions GROUP BY ALL),
+  avg(wait_time_minutes) AS v FROM sessions GROUP BY ALL),
 span AS (SELECT station_id, min(hour_ts) AS lo, max(hour_ts) AS hi FROM hourly GROUP BY 1),
 cal AS (SELECT station_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_ts FROM span),
 ser AS (SELECT c.station_id, cast(row_number() OVER (PARTITION BY c.station_id ORDER BY c.hour_ts) - 1 AS int) AS pos,
@@ -27,17 +27,17 @@ def _series(spark, sf_dir):
 
 
 @register("t_01_w_09_hourly_series", sql="""
-SELECT station_id, pos, strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_ts, value, filled FROM ser""", ctes=_SER)
+SELECT station_id, pos, strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_ts, round(value, 9) AS value, filled FROM ser""", ctes=_SER)
 def t_01_w_09_hourly_series(spark, sf_dir):
     s = _series(spark, sf_dir)
     return s.select("station_id", "pos", F.date_format("hour_ts", "yyyy-MM-dd HH:mm:ss").alias("hour_ts"),
-                    "value", "filled")
+                    F.round("value", 9).alias("value"), "filled")
 
 
 @register("w_08_rolling_24", sql=f"""
 SELECT station_id, pos,
   CASE WHEN count(value) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
-    THEN {exact_avg('value', 'OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)')}
+    THEN {avg_9('value', 'OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)')}
     END AS rolling_mean,
   CASE WHEN count(value) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
     THEN round(stddev_samp(value) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 9)
@@ -45,15 +45,16 @@ SELECT station_id, pos,
 FROM ser""", ctes=_SER)
 def w_08_rolling_24(spark, sf_dir):
     r = ts.rolling_24(_series(spark, sf_dir))
-    return r.select("station_id", "pos", "rolling_mean", F.round("rolling_std", 9).alias("rolling_std"))
+    return r.select("station_id", "pos", F.round("rolling_mean", 9).alias("rolling_mean"), F.round("rolling_std", 9).alias("rolling_std"))
 
 
 @register("w_10_lag_pairs", sql=f"""
-SELECT station_id, pos, value, next_value FROM (
+SELECT station_id, pos, round(value, 9) AS value, round(next_value, 9) AS next_value FROM (
   SELECT station_id, pos, value, lead(value, 1) {_WP} AS next_value FROM ser) x WHERE next_value IS NOT NULL""",
           ctes=_SER)
 def w_10_lag_pairs(spark, sf_dir):
-    return ts.lag_pairs(_series(spark, sf_dir))
+    p = ts.lag_pairs(_series(spark, sf_dir))
+    return p.select("station_id", "pos", F.round("value", 9).alias("value"), F.round("next_value", 9).alias("next_value"))
 
 
 @register("t_02_decomposition", sql=f"""
@@ -75,7 +76,7 @@ def t_02_decomposition(spark, sf_dir):
 
 @register("t_03_dickey_fuller", sql=f"""
 SELECT station_id, n, round(slope, 9) AS slope, round(adf, 6) AS adf_stat, adf < -2.86 AS stationary_5pct FROM (
-  SELECT station_id, regr_count(dy, yl) AS n, regr_slope(dy, yl) AS slope,
+  SELECT station_id, cast(regr_count(dy, yl) AS bigint) AS n, regr_slope(dy, yl) AS slope,
     regr_slope(dy, yl) / sqrt((regr_syy(dy, yl) - regr_sxy(dy, yl) * regr_sxy(dy, yl) / regr_sxx(dy, yl))
       / (regr_count(dy, yl) - 2) / regr_sxx(dy, yl)) AS adf
   FROM (SELECT station_id, value - lag(value, 1) {_WP} AS dy, lag(value, 1) {_WP} AS yl FROM ser) x
@@ -169,3 +170,15 @@ def m_13_forecast_band(spark, sf_dir):
     return g.select("station_id", "step", F.round("value", 9).alias("forecast"),
                     F.round(F.greatest(F.col("value") - band, F.lit(0.0)), 9).alias("lower"),
                     F.round(F.col("value") + band, 9).alias("upper"))
+
+
+@register("a_35_look_back_error", sql=f"""
+SELECT seq_len, count(*) AS n, round(sqrt(avg(e * e)), 9) AS rmse FROM (
+  SELECT cast(l AS int) AS seq_len, e FROM (
+    SELECT station_id, pos, count(*) OVER (PARTITION BY station_id) AS n, value - lag(value, 1) {_WP} AS e FROM ser) x,
+    (VALUES (6), (12), (18), (24), (36), (48)) t(l)
+  WHERE n > 2 * l AND pos - l >= floor((n - l) * 0.8e0)) y GROUP BY seq_len""", ctes=_SER)
+def a_35_look_back_error(spark, sf_dir):
+    from kiloqueue.operators.summary import naive_error_by_look_back
+
+    return naive_error_by_look_back(_series(spark, sf_dir))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -47,20 +48,37 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is used as is.  Only when it is unset (local tests) a scratch
-    folder is created.
+    Only a local session (driver and executors in one process, as in tests) may
+    leave it unset; it gets a scratch folder.  On a cluster an unset folder is an
+    error: a machine-local one would lose files with an executor.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    current = sc.getCheckpointDir()
     if current:
         return current
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    local = tempfile.mkdtemp(prefix="kq-ckpt-", dir=os.environ.get("KQ_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="kq-ckpt-", dir=os.environ.get("KQ_SCRATCH", tempfile.gettempdir()))
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder path below the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

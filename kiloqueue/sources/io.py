@@ -50,10 +50,10 @@ def _title(c: Column, default: str) -> Column:
     return F.coalesce(c.getField("Title"), F.lit(default))
 
 
-def flatten_stations(payload: Column) -> list[Column]:
-    """S-01 / N-01: station payload -> flat columns.  A missing connection list
+def flatten_stations(payload: Column, parsed: bool = False) -> list[Column]:
+    """S-01 / N-01: station payload (JSON text, or a struct if ``parsed``) -> flat columns.  A missing connection list
     counts as one empty connection; an empty list as zero ports."""
-    p = F.from_json(payload, STATION_JSON_SCHEMA) if not isinstance(payload, str) else F.col(payload)
+    p = payload if parsed else F.from_json(payload, STATION_JSON_SCHEMA)
     addr = p.getField("AddressInfo")
     conns = p.getField("Connections")
     first = F.get(conns, 0)
@@ -77,7 +77,7 @@ def flatten_stations(payload: Column) -> list[Column]:
 def read_station_json(spark: SparkSession, path: str) -> DataFrame:
     """S-01 from landed files (one JSON document per line), explicit schema."""
     raw = spark.read.schema(STATION_JSON_SCHEMA).json(path)
-    return raw.select(*flatten_stations(F.struct(*[F.col(c) for c in raw.columns])))
+    return raw.select(*flatten_stations(F.struct(*[F.col(c) for c in raw.columns]), parsed=True))
 
 
 def flatten_traffic(payload: Column) -> list[Column]:
@@ -128,19 +128,38 @@ def read_hourly_energy(spark: SparkSession, path: str, schema: str) -> DataFrame
     return df.withColumn("Datetime", F.try_to_timestamp(F.col("Datetime").cast("string")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def load_raw(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """S-10: read the raw tables that exist, skip the absent ones."""
-    from pyspark.errors import AnalysisException
+    """S-10: read the raw tables that exist, skip the absent ones (any other fault is raised)."""
+    return {name: read_csv(spark, p, schemas[name]) for name, p in paths.items() if path_exists(spark, p)}
+
+
+def read_station_traffic(spark: SparkSession, path: str) -> DataFrame:
+    """S-07: landed traffic answers of many stations, one line {station_id, payload} each -> one row per station."""
+    raw = spark.read.schema("station_id long, payload string").json(path)
+    return raw.select("station_id", *flatten_traffic(F.col("payload")))
+
 
-    out = {}
-    for name, p in paths.items():
-        try:
-            df = read_csv(spark, p, schemas[name])
-            df.limit(0).collect()  # resolves the path: absent files raise here
-            out[name] = df
-        except AnalysisException:
-            continue
-    return out
+def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
+    """S-08: landed current-weather answers, one line {city, payload} each."""
+    raw = spark.read.schema("city long, payload string").json(path)
+    return raw.select("city", *flatten_weather(F.col("payload")))
+
+
+def read_sessions_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S-15: sessions CSV with ``start_time`` parsed leniently."""
+    df = read_csv(spark, path, schema)
+    return df.withColumn("start_time", F.try_to_timestamp(F.col("start_time").cast("string")))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite") -> None:
@@ -154,14 +173,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
 
 
 def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
-    """S-13: read the stored table if present, else compute, store and read it back."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - AnalysisException when the path is absent
-        write_table(compute(), path)
-        return spark.read.parquet(path)
+    """S-13: read the stored table if present, else compute, store and read it back.
+
+    A table that is there but can't be read is an error, never a reason to write over it.
+    """
+    if not path_exists(spark, path):
+        write_table(compute(), path, mode="errorifexists")
+    return spark.read.parquet(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
     """S-14: metrics rows as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S-14: metrics rows read back with their schema."""
+    return spark.read.schema(schema).json(path)
