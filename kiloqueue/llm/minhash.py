@@ -8,7 +8,10 @@ drawn anew for each band, so a text meets several centres of its group.  Pairs
 whose signatures agree in too few bins (``LIKELY``, over four standard
 deviations below the threshold) go, the others are confirmed on the full shingle
 sets.  Buckets that still hold texts of different components get ``CENTRES`` new
-centres each, until a round finds no new link.
+centres each, in at most ``ROUNDS`` further rounds, fewer if one finds no link.
+A link can be missed if its two texts share no bucket (at the threshold 3 in a
+million) or, in a group that is only partly linked, if neither they nor others
+that connect them ever meet as centre and member.
 
 Equal sets collapse to one class before any bucket is formed, counts and minima
 are aggregated before the shuffle, and components come from large-star /
@@ -38,8 +41,8 @@ ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 #: percent of the union that the intersection must have
 PERCENT = 80
-#: new centres of a bucket in each later round
-CENTRES = 8
+#: new centres of a bucket in each later round, and the number of such rounds
+CENTRES, ROUNDS = 2, 2
 #: percent of equal bins below which a pair is not confirmed on its sets
 LIKELY = PERCENT - 12
 _U = np.uint64
@@ -165,19 +168,20 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         moved = both.join(least, "a")
         if larger:
-            return moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            return moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.filter("a <> m").select("a", F.col("m").alias("b"))
         return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
 
-    state, edges, step = None, links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
+    edges, step = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
     while True:
         edges = tmp.keep(star(star(edges, True), False), f"{name}-{step}")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if step:
             tmp.drop(f"{name}-{step - 1}")
-        if now == state:
+        # stars around least nodes: each node has one edge, and no centre has an edge to a smaller one
+        twice = edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo < hi")
+        if twice.isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        state, step = now, step + 1
+        step += 1
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
@@ -209,18 +213,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     # first each node's most promising pair, then those between different components, then new centres
     best = pairs.groupBy(F.col("b").alias("n")).agg(F.max_by("a", "shared").alias("a")).select("a", F.col("n").alias("b"))
     links = tmp.keep(confirm(likely(best, wanted, LIKELY), sets, percent), "links0")
-    found, step = tmp.keep(components(links, tmp, "star0"), "found0"), 0
-    open_pairs = pairs.select("a", "b")
-    while True:
-        step += 1
+    found = tmp.keep(components(links, tmp, "star0"), "found0")
+    open_pairs, members = pairs.select("a", "b"), buckets.join(wanted.select("node"), "node", "left_semi")
+    for step in range(1, ROUNDS + 2):
         tried = tmp.keep(likely(_across(open_pairs, found), wanted, LIKELY), f"likely{step}")
         links = tmp.keep(confirm(tried, sets, percent), f"links{step}")
         if not links.isEmpty():
             found = tmp.keep(_merged(found, links, tmp, f"star{step}"), f"found{step}")
         elif step > 1:
             break
-        mixed = tmp.keep(_mixed(buckets, wanted, found), f"mixed{step}")
-        open_pairs = star_pairs(mixed, range(CENTRES * step, CENTRES * step + CENTRES)).distinct()
+        if step <= ROUNDS:
+            members = tmp.keep(_mixed(members, found), f"mixed{step}")
+            open_pairs = star_pairs(members, range(CENTRES * step, CENTRES * step + CENTRES)).distinct()
 
     label = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "class").join(label, "class", "left")
@@ -248,12 +252,11 @@ def _merged(found: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> Data
     return old.unionByName(new.select(F.col("component").alias("node"), F.col("to").alias("component")))
 
 
-def _mixed(buckets: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets of the nodes with candidates that hold more than one component."""
-    members = buckets.join(wanted.select("node"), "node", "left_semi").join(found, "node", "left") \
-        .select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    several = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    return members.join(several, "bucket", "left_semi").select("node", "bucket")
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (node, bucket) of buckets that hold more than one component."""
+    labelled = members.join(found, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    return labelled.join(several, "bucket", "left_semi").select("node", "bucket")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
