@@ -122,7 +122,7 @@ def apply_cooldown(alerts: DataFrame, time_col: str = "event_time", cooldown_s:
     part = ranked.PART
     key_schema = ", ".join(f"{c} {t}" for c, t in spread.select(*keys).dtypes)
 
-    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["_us"].to_numpy(np.int64))
         reach = int(np.searchsorted(t, t[0] + gap)) + 1  # no earlier alert blocks longer
         ends = t[_chain_ends(t, gap)][:reach] + gap
@@ -132,7 +132,7 @@ def apply_cooldown(alerts: DataFrame, time_col: str = "event_time", cooldown_s:
             out[c] = v
         return out[[*keys, part, "upto", "exit"]]
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         free, out = np.iinfo(np.int64).min, []
         for p, own in pdf.sort_values([part, "upto"]).groupby(part, sort=True):
             out.append((p, free))

@@ -166,9 +166,7 @@ def candidate_pairs(users: DataFrame, stations: DataFrame, top_n: int) -> DataFr
     slack = {k: geo.EARTH_RADIUS_KM * math.radians(s) + 1e-6 for k, s in CELL_DEGREES.items()}  # half a cell north plus half a cell east
     distance = lambda s: geo.haversine_km(F.col(f"lat_{s}"), F.col(f"lng_{s}"), F.col("lat"), F.col("lng"))
 
-    bands = [r["band"] for r in u.select("band").distinct().collect()]  # powers of two of kilometres: a few
-    if not bands:
-        return u.limit(0).join(stations, F.lit(False))
+    bands = [r["band"] for r in u.select("band").distinct().collect()] or [0]  # powers of two of kilometres: a few
     radius = F.pow(F.lit(2.0), F.col("band")) + slack[coarse]
     st = stations.withColumn("band", F.explode(F.array(*map(F.lit, bands)))) \
         .withColumn("_cell", geo.own_cell("lat", "lng", radius))
