@@ -33,8 +33,8 @@ FURNITURE_TAGS = set("nav footer aside form button fieldset dialog menu head inp
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
-    r"sidebar|sidenav|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|topbar|cookie|cookies|consent|gdpr|"
-    r"notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|"
+    r"sidebar|sidenav|nav|navbar|topnav|navigation|menu|mainmenu|breadcrumb|breadcrumbs|footer|masthead|topbar|cookie|cookies|cookiebar|consent|gdpr|"
+    r"notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|"
     r"recommendations|comment|comments|commentlist|disqus|reply|replies|respond|widget|pager|pagination|toolbar|login|search|"
     r"copyright|disclaimer|skip|byline-share|outbrain|taboola)(?:$|[\s_-]|\d)", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
@@ -52,26 +52,48 @@ ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?
 SPACE = re.compile(r"\s+")
 
 
-def _furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS or tag == "header" and not in_article:
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main") and not FURNITURE_NAMES.search(attrs.get("class", "")):
-        return False
+#: a named part with more of the page's text than this is the page's frame, whatever its name
+FRAME_SHARE = 0.7
+
+
+def _by_tag(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Furniture by element, role or being hidden."""
+    return (tag in FURNITURE_TAGS or tag == "header" and not in_article or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+            or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in FURNITURE_ROLES)
+
+
+def _by_name(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Furniture by class or id."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return (attrs.get("role", "").lower() in FURNITURE_ROLES or bool(FURNITURE_NAMES.search(names))
-            or not in_article and bool(HEADER_NAMES.search(names)))
+    return tag not in ("html", "body", "main") and (bool(FURNITURE_NAMES.search(names)) or not in_article and bool(HEADER_NAMES.search(names)))
 
 
 class _Tree:
     """Elements in page order (a child has a higher number than its parent) and pieces of text."""
 
     def __init__(self, page: str):
-        self.tag, self.up, self.skip, self.good = ["#"], [-1], [False], [False]
+        self.tag, self.up, self.good = ["#"], [-1], [False]
+        self.by_tag, self.by_name = [False], [False]
         self.inside = [False]  # an article or main element
         self.pieces: list[tuple[int, int, str]] = []  # element, number of its block, text
         self._read(page)
+        self.skip = self._skipped()
+
+    def _skipped(self) -> list[bool]:
+        """Furniture and all in it.  A name makes no furniture of what holds an article or nearly all text."""
+        n = len(self.tag)
+        size, holds = [0] * n, [False] * n
+        for element, _, text in self.pieces:
+            size[element] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            up = self.up[i]
+            size[up] += 0 if self.by_tag[i] else size[i]
+            holds[up] = holds[up] or holds[i] or self.tag[i] in ("article", "main") and not self.by_name[i] and not self.by_tag[i]
+        skip = [False] * n
+        for i in range(1, n):
+            named = self.by_name[i] and not holds[i] and (self.tag[i] == "article" or size[i] <= FRAME_SHARE * size[0])
+            skip[i] = skip[self.up[i]] or self.by_tag[i] or named
+        return skip
 
     def _read(self, page: str) -> None:
         stack, block, at, end = [0], 0, 0, len(page)
@@ -103,7 +125,8 @@ class _Tree:
             self.tag.append(tag)
             self.up.append(top)
             self.inside.append(self.inside[top] or tag in ("article", "main"))
-            self.skip.append(self.skip[top] or _furniture(tag, attrs, self.inside[top]))
+            self.by_tag.append(_by_tag(tag, attrs, self.inside[top]))
+            self.by_name.append(_by_name(tag, attrs, self.inside[top]))
             self.good.append(bool(GOOD_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")))
             stack.append(len(self.tag) - 1)
 

@@ -113,6 +113,9 @@ def test_extract_keeps_the_article_only():
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<nav><p>Home, about, contact</p></nav>", ""),
     ("<article><p>Cut off in the mid", "Cut off in the mid"), ("<article><p>cut tag <b", "cut tag"),
     ("<article><p>a < b & c</p></article>", "a < b & c"), ("<article><p>a<br>b</p></article>", "a b"),
+    ('<body class="has-sidebar"><div class="layout with-sidebar"><article><p>kept</p></article><div class="sidebar"><p>gone</p></div></div></body>', "kept"),
+    ('<div class="page-header-fixed"><p>all of the text, nearly</p></div><div class="notice"><p>gone</p></div>', "all of the text, nearly"),
+    ('<article><p>a, b</p><section id="comments"><article class="comment"><p>c, d, e, f, g</p></article></section></article>', "a, b"),
     ("<main><p>x</p><p>y</p></main>", "x\ny"), ("<p>1<p>2<script>bad()</script>", "1\n2"),
 ])
 def test_extract_small(page, text):
