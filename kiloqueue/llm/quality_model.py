@@ -31,7 +31,7 @@ from kiloqueue.llm.common import Scratch, hash_words, id_bucket, text_blocks
 BITS = 16
 DIM = 8
 NGRAMS = (2, 3, 4)
-MAX_ROWS = 16_384
+MAX_ROWS = 8_192
 SHARDS = 8
 ROUNDS = 4
 #: documents seen in training at least; small training sets are passed over more often
@@ -88,7 +88,7 @@ def _parts(model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train_epoch(model: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    """One pass of minibatch gradient descent.  bags: (rows, share of each row) per document."""
+    """One pass of minibatch gradient descent.  bags: (rows, share of each row) per document, see ``_weighted``."""
     model = model.copy()
     table, out, bias = _parts(model)
     order = np.random.default_rng(seed).permutation(len(bags))
@@ -109,8 +109,14 @@ def train_epoch(model: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], la
 
 
 def _bag(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and how often each occurs, two bytes each (counts above 65535 stay there)."""
     unique, counts = np.unique(rows, return_counts=True)
-    return unique, (counts / max(len(rows), 1)).astype(np.float32)
+    return unique.astype(np.uint16), np.minimum(counts, 65535).astype(np.uint16)
+
+
+def _weighted(rows: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts, np.uint16).astype(np.float32)
+    return np.frombuffer(rows, np.uint16).astype(np.int32), n / max(n.sum(), 1)
 
 
 def fit(rows: DataFrame, tmp: Scratch, rounds: int = ROUNDS) -> np.ndarray:
@@ -124,23 +130,25 @@ def fit(rows: DataFrame, tmp: Scratch, rounds: int = ROUNDS) -> np.ndarray:
                 bags += [_bag(x) for x in np.split(r[np.argsort(o, kind="stable")], np.cumsum(np.bincount(o, minlength=hi - lo))[:-1])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2), pa.array([x[0].tobytes() for x in bags], pa.binary()), pa.array([x[1].tobytes() for x in bags], pa.binary())],
-                ["label", "shard", "rows", "share"])
+                ["label", "shard", "rows", "counts"])
 
-    bags = tmp.keep(rows.select("text", "label", "shard").mapInArrow(featurise, "label int, shard int, rows binary, share binary"), "bags")
+    made = rows.select("text", "label", "shard").mapInArrow(featurise, "label int, shard int, rows binary, counts binary")
+    # one file a shard: a round reads its share in place, without a shuffle
+    bags = tmp.keep(made.repartition(SHARDS, "shard"), "bags").select("label", "rows", "counts")
     model = start_model()
     passes = max(1, -(-SEEN // max(rounds * bags.count(), 1)))
     for turn in range(rounds):
         now, rate = model, RATE * (1 - turn / rounds)
 
-        def work(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("rows", "ascending")])  # the same order in every run
-            own = [(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(t.column("rows").to_pylist(), t.column("share").to_pylist())]
-            after, labels = now, np.array(t.column("label").to_pylist())
-            for k in range(passes):
-                after = train_epoch(after, own, labels, rate, turn * passes + k)
-            return pa.Table.from_pydict({"n": pa.array([len(own)], pa.int64()), "model": pa.array([after.tobytes()], pa.binary())})
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = sorted((r, c, y) for b in batches for y, r, c in zip(*(x.to_pylist() for x in b.columns)))  # the same order in every run
+            if got:
+                after, own, labels = now, [_weighted(r, c) for r, c, _ in got], np.array([y for *_, y in got])
+                for k in range(passes):
+                    after = train_epoch(after, own, labels, rate, turn * passes + k)
+                yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([after.tobytes()], pa.binary())], ["n", "model"])
 
-        parts = bags.groupBy("shard").applyInArrow(work, "n long, model binary").collect()  # at most SHARDS models of 2 MB
+        parts = bags.mapInArrow(work, "n long, model binary").collect()  # a model of 2 MB for each file of the bounded sample
         if not parts:
             return model
         parts = sorted(parts, key=lambda r: (r["n"], bytes(r["model"])))
