@@ -78,8 +78,6 @@ def dedup_lines(docs, least=50):
                     run = tuple(own[a: b + 1])
                     if first.setdefault(run, (i, a)) != (i, a):
                         gone.update(range(a, b + 1))
-                    else:
-                        break  # a longer run from here is new too
         out[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in {at[g] for g in gone})
     return out
 
