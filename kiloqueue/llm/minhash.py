@@ -7,11 +7,12 @@ bucket every text is paired with one centre only (a star), and the centre is
 drawn anew for each band, so a text meets several centres of its group.  Pairs
 whose signatures agree in too few bins (``LIKELY``, over four standard
 deviations below the threshold) go, the others are confirmed on the full shingle
-sets.  Buckets that still hold texts of different components get ``CENTRES`` new
-centres each, in at most ``ROUNDS`` further rounds, fewer if one finds no link.
-A link can be missed if its two texts share no bucket (at the threshold 3 in a
-million) or, in a group that is only partly linked, if neither they nor others
-that connect them ever meet as centre and member.
+sets.  In buckets that still hold texts of different components all pairs across
+components are compared by signature, in salted blocks of about ``BLOCK`` texts
+against each other: first each text's best pair is confirmed, ``BEST`` times at
+most, then, on what is still open, every pair.  So a link is missed only if its
+two texts share no bucket (at the threshold 3 in a million) or their signatures
+agree in less than ``LIKELY`` of the bins, and no others connect them.
 
 Equal sets collapse to one class before any bucket is formed, counts and minima
 are aggregated before the shuffle, and components come from large-star /
@@ -41,8 +42,10 @@ ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 #: percent of the union that the intersection must have
 PERCENT = 80
-#: new centres of a bucket in each later round, and the number of such rounds
-CENTRES, ROUNDS = 2, 2
+#: texts of a block of a large bucket
+BLOCK = 256
+#: passes that confirm each text's best pair only, before the one that confirms all pairs
+BEST = 2
 #: percent of equal bins below which a pair is not confirmed on its sets
 LIKELY = PERCENT - 12
 _U = np.uint64
@@ -186,16 +189,79 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def star_pairs(members: DataFrame, seeds: range) -> DataFrame:
-    """(a, b): each node of a bucket with a centre of the bucket, the node least after a bit mask of bucket and seed."""
-    wide = members.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))) if len(seeds) > 1 else members.withColumn("seed", F.lit(seeds[0]))
-    mask = F.xxhash64("bucket", "seed")
-    centres = (wide.groupBy("bucket", "seed").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket with the centre of the bucket, the node least after a bit mask of the bucket."""
+    mask = F.xxhash64("bucket")
+    centres = (members.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
                .filter("lo < hi").select("bucket", F.col("c").bitwiseXOR(mask).alias("centre")))
     return (members.join(centres, "bucket").filter("node <> centre")
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
 
 
+def _compared(node: np.ndarray, component: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, whole: bool) -> np.ndarray:
+    """(a, b, equal bins) of likely pairs across components between the rows ``left`` and ``right``, or of each row's best one only."""
+    equal = np.stack([(bins[right] == bins[i]).sum(1) for i in left])
+    ok = (100 * equal >= percent << BIN_BITS) & (component[left][:, None] != component[right][None, :])
+    equal = np.where(ok, equal, -1)
+    if whole:
+        i, j = np.nonzero(ok)
+    else:
+        i = np.concatenate([np.arange(len(left)), equal.argmax(0)])
+        j = np.concatenate([equal.argmax(1), np.arange(len(right))])
+        i, j = i[ok[i, j]], j[ok[i, j]]
+    return np.stack([node[left[i]], node[right[j]], equal[i, j]])
+
+
+def block_pairs(members: DataFrame, values: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b): the likely pairs across components of each bucket's members (node, bucket, component, n), or the best one of each node.
+
+    Every two blocks of a bucket make a group of rows, so no task holds a large bucket and all pairs are compared.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+            node, component, block, i, j = (t.column(c).to_numpy() for c in ("node", "component", "block", "i", "j"))
+            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            found = [np.zeros((3, 0), np.int64)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                left, right = (lo + np.flatnonzero(block[lo:hi] == x) for x in (i[lo], j[lo]))
+                if len(left) and len(right) and component[lo:hi].min() < component[lo:hi].max():
+                    found.append(_compared(node, component, bins, left, right, percent, whole))
+            a, b, equal = np.concatenate(found, 1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, equal)], ["a", "b", "equal"])
+
+        def starts(t: pa.Table) -> np.ndarray:
+            same = np.ones(max(t.num_rows - 1, 0), bool)
+            for c in ("bucket", "i", "j"):
+                x = t.column(c).to_numpy()
+                same &= x[1:] == x[:-1]
+            return np.concatenate([[0], np.flatnonzero(~same) + 1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            first = starts(t)
+            if len(first) > 1:  # all but the last group are whole
+                yield groups(t.slice(0, first[-1]), first)
+            held = t.slice(first[-1]).combine_chunks().to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield groups(t, np.array([0, t.num_rows]))
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = met.select("node", "bucket", "component", "block", "i", "j").join(values.select("node", "bins"), "node")
+    found = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long, equal long")
+    if not whole:
+        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
+        found = ends.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     tmp = Scratch(docs.sparkSession, "minhash")
@@ -204,27 +270,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
     named = classes.filter("node is not null")
     buckets = named.select("node", F.explode("bands").alias("bucket"))
-    pairs = tmp.keep(star_pairs(buckets, range(1)).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    pairs = tmp.keep(star_pairs(buckets).groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = tmp.keep(asked.join(named.select("node", "class", "bins"), "node"), "wanted")
     texts = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     sets = tmp.keep(full_sets(texts.select("node", "class", "text"), width), "sets")
 
-    # first each node's most promising pair, then those between different components, then new centres
+    # first each node's most promising pair, then those between different components
     best = pairs.groupBy(F.col("b").alias("n")).agg(F.max_by("a", "shared").alias("a")).select("a", F.col("n").alias("b"))
     links = tmp.keep(confirm(likely(best, wanted, LIKELY), sets, percent), "links0")
     found = tmp.keep(components(links, tmp, "star0"), "found0")
-    open_pairs, members = pairs.select("a", "b"), buckets.join(wanted.select("node"), "node", "left_semi")
-    for step in range(1, ROUNDS + 2):
-        tried = tmp.keep(likely(_across(open_pairs, found), wanted, LIKELY), f"likely{step}")
+    tried = tmp.keep(likely(_across(pairs, found), wanted, LIKELY), "likely1")
+    links = tmp.keep(confirm(tried, sets, percent), "links1")
+    if not links.isEmpty():
+        found = tmp.keep(_merged(found, links, tmp, "star1"), "found1")
+
+    # then all pairs of the buckets that are still open
+    members, step, whole = buckets.join(wanted.select("node"), "node", "left_semi"), 1, False
+    while not whole:
+        step += 1
+        members = tmp.keep(_mixed(members.select("node", "bucket"), found), f"mixed{step}")
+        if members.isEmpty():
+            break
+        whole = step > BEST + 1 or step > 2 and links.isEmpty()
+        tried = tmp.keep(block_pairs(members, wanted, LIKELY, whole), f"likely{step}")
         links = tmp.keep(confirm(tried, sets, percent), f"links{step}")
         if not links.isEmpty():
             found = tmp.keep(_merged(found, links, tmp, f"star{step}"), f"found{step}")
-        elif step > 1:
-            break
-        if step <= ROUNDS:
-            members = tmp.keep(_mixed(members, found), f"mixed{step}")
-            open_pairs = star_pairs(members, range(CENTRES * step, CENTRES * step + CENTRES)).distinct()
 
     label = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "class").join(label, "class", "left")
@@ -253,10 +325,10 @@ def _merged(found: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> Data
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (node, bucket) of buckets that hold more than one component."""
+    """The members (node, bucket, component, n) of buckets that hold more than one component; n: members of the bucket."""
     labelled = members.join(found, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    return labelled.join(several, "bucket", "left_semi").select("node", "bucket")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    return labelled.join(several.select("bucket", "n"), "bucket")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:

@@ -32,6 +32,20 @@ def test_near_duplicates_equal_brute_force(spark, width):
         assert r.n_shingles == len(brute.shingles(next(t for i, t, *_ in copies() if i == r.doc_id), width))
 
 
+def test_copies_that_only_resemble_the_original(spark):
+    """Copies edited in their own places are linked through the original alone; a second group has none to link it."""
+    data = []
+    for group, original in ((0, [0]), (10_000, [])):
+        base = prose(600, 40 + group).split()
+        data += [(group + i, " ".join(base), "en", "a") for i in original]
+        for i in range(1, 401):
+            places = np.random.default_rng(group + i).choice(len(base), 26, replace=False)
+            data.append((group + i, " ".join(f"z{group}x{i}x{k}" if k in set(places.tolist()) else w for k, w in enumerate(base)), "en", "a"))
+    want = brute.near_components([(i, t) for i, t, *_ in data], 2)
+    assert len({c for i, c in want.items() if i < 10_000}) == 1 and len({c for i, c in want.items() if i >= 10_000}) > 100
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, data), 2).collect()} == want
+
+
 def test_near_duplicates_of_given_documents(spark):
     docs = read(spark, SF, "documents")
     want = brute.near_components(rows(docs, "doc_id", "text"), 2)
