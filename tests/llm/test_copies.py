@@ -179,6 +179,23 @@ def test_decontamination_edge_rows(spark):
     assert decontaminate.clean_documents(empty(spark), benchmark).count() == 0
 
 
+def test_latent_space_keeps_the_cosines_of_benchmark_vectors(spark):
+    """Also when passages that are no copies outweigh the rest of what is stored."""
+    r = np.random.default_rng(4)
+    vectors = r.random((20, 200)) * (r.random((20, 200)) < 0.2)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    others = r.random((2000, 200)) * (r.random((2000, 200)) < 0.1) * (1 + 9 * (np.arange(200) < 60))
+    stored = np.concatenate([others / np.maximum(np.linalg.norm(others, axis=1, keepdims=True), 1e-12), vectors])
+    data = [(np.arange(200, dtype=np.int32).tobytes(), x.astype(np.float32).tobytes()) for x in stored]
+    near = spark.createDataFrame(data, "terms binary, weights binary").repartition(20)
+    start = np.concatenate([vectors.T, r.normal(0, 1, (200, decontaminate.GAUSSIAN))], 1)
+    basis = decontaminate.latent_space(near, vectors, start, Scratch(spark, "t"))
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+    assert np.allclose((vectors @ basis) @ (stored @ basis).T, vectors @ stored.T, atol=1e-6)  # weights are stored as float32
+    fewer = decontaminate.latent_space(near.limit(0), vectors, start, Scratch(spark, "t"))
+    assert np.allclose(vectors @ fewer @ fewer.T, vectors, atol=1e-8)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(50):
