@@ -19,9 +19,11 @@ mark is the first word's context.  Words are known by their 64-bit hashes.
    by successor search within its context's range.
 4. The shard's sums per document meet again by the batch they came from.
 
-Smoothing: p(w | v) = (c(v w) + PRIOR * q(w)) / (c(v) + PRIOR); q is exact for
-frequent words and shares the rest of the mass equally among the others and one
-unknown word, so it sums to 1 and so does p.
+Smoothing: p(w | v) = (c(v w) + PRIOR * q(w)) / (c(v) + PRIOR).  With ``all_words``
+q is exact for all words, with the mass of one token for the unknown word: the
+counts of the words that are not frequent are joined by word to the shards that
+hold them.  Without it they and the unknown word share the rest of the mass
+equally.  Either way q sums to 1 and so does p.
 
 Edge cases: a null text is empty and has the end mark only; with no training
 document all counts are 0 and scores are those of the unknown word; repeated
@@ -222,15 +224,16 @@ class Trie:
 class Counts:
     """What every task knows: totals, the frequent words with their counts, the mass of all others."""
 
-    def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int]], documents: int, shards: int):
-        self.tokens, self.distinct, self.documents, self.shards = tokens, distinct, documents, shards
+    def __init__(self, tokens: int, distinct: int, frequent: list[tuple[int, int]], documents: int, shards: int, all_words: bool = False):
+        self.tokens, self.distinct, self.documents, self.shards, self.all_words = tokens, distinct, documents, shards, all_words
         h = np.array([f[0] for f in frequent], np.int64).view(_U)
         order = np.argsort(h)
         self.hash, self.count = h[order], np.array([f[1] for f in frequent], np.int64)[order]
         short = h[order] & _W_MASK
         again = np.argsort(short)
         self.short, self.short_count = short[again], self.count[again]
-        self.log_rest = float(np.log10((tokens - int(self.count.sum()) + 1) / (tokens + 1) / (distinct - len(h) + 1)))
+        others, mass = (0, 0) if all_words else (distinct - len(h), tokens - int(self.count.sum()))
+        self.log_rest = float(np.log10((mass + 1) / (tokens + 1) / (others + 1)))
         # contexts with over a quarter of a shard's share are split by successor
         self.split = self.hash[self.count * 4 * shards > tokens] if len(h) else self.hash
         self.split = np.union1d(self.split, np.array([START], _U))
@@ -247,15 +250,21 @@ class Counts:
         out[v == START] = self.documents
         return out
 
-    def log_q(self, w: np.ndarray) -> np.ndarray:
-        """log10 of the lower-order probability of successors given by their 40 bits."""
+    def log_q(self, w: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 of the lower-order probability of successors given by their 40 bits; ``rare``: sorted other words and their counts."""
         out = np.full(len(w), self.log_rest)
-        if len(self.short):
-            at = np.minimum(np.searchsorted(self.short, w), len(self.short) - 1)
-            hit = self.short[at] == w
-            out[hit] = np.log10(self.short_count[at[hit]] / (self.tokens + 1))
+        for short, count in ([rare] if rare else []) + [(self.short, self.short_count)]:
+            if len(short):
+                at = np.minimum(np.searchsorted(short, w), len(short) - 1)
+                hit = short[at] == w
+                out[hit] = np.log10(count[at[hit]] / (self.tokens + 1))
         return out
 
+    def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The shard of each bigram."""
+        spread = np.isin(v, self.split)
+        return (((np.where(spread, w, v) >> _U(32)) * _U(self.shards)) >> _U(32)).astype(np.uint32)
+
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts with the end mark after each, and the text number of each token."""
@@ -294,14 +303,42 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def counts(train: DataFrame, tmp: Scratch) -> Counts:
+def counts(train: DataFrame, tmp: Scratch, all_words: bool = False) -> tuple[Counts, DataFrame]:
+    """What every task knows, and (short, n) of the words that are not frequent."""
     words = tmp.keep(word_counts(train), "words")
     total = words.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
     frequent = words.filter(F.col("n") * FREQUENT >= tokens).collect()  # at most FREQUENT
     end = [r["n"] for r in frequent if r["word"] == int(END.astype(np.int64))] or \
         [r["n"] for r in words.filter(F.col("word") == int(END.astype(np.int64))).collect()]
-    return Counts(tokens, distinct, [(r["word"], r["n"]) for r in frequent], int(end[0]) if end else 0, max(1, -(-tokens // SHARD_TOKENS)))
+    known = Counts(tokens, distinct, [(r["word"], r["n"]) for r in frequent], int(end[0]) if end else 0, max(1, -(-tokens // SHARD_TOKENS)), all_words)
+    rare = words.filter(F.col("n") * FREQUENT < tokens).groupBy(F.col("word").bitwiseAND(F.lit(int(_W_MASK))).alias("short")).agg(F.sum("n").alias("n"))
+    return known, rare
+
+
+def _bigrams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and text numbers of the bigrams of the texts."""
+    parts = [_tokens(texts[lo:hi]) + (lo,) for lo, hi in text_blocks(texts)]
+    w = np.concatenate([p[0] for p in parts])
+    doc = np.concatenate([p[1] + p[2] for p in parts])
+    v = np.concatenate([[START], w[:-1]])
+    v[np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])] = START
+    return v, w, doc
+
+
+def rare_counts(docs: DataFrame, known: Counts, rare: DataFrame) -> DataFrame:
+    """(shard, short, n): the counts of the words that are not frequent, for each shard that holds them as successors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for lo, hi in text_blocks(texts):
+                v, w, _ = _bigrams_of(texts[lo:hi])
+                own = ~np.isin(w, known.hash)
+                v, w = v[own], w[own]
+                pair = np.unique(known.shard(v, w).astype(_U) << _U(_W_BITS) | w & _W_MASK)
+                yield pa.RecordBatch.from_arrays([pa.array((pair >> _U(_W_BITS)).astype(np.int32)), pa.array((pair & _W_MASK).astype(np.int64))], ["shard", "short"])
+
+    return docs.select("text").mapInArrow(run, "shard int, short long").distinct().join(rare, "short").select("shard", "short", "n")
 
 
 BIGRAMS = "shard int, batch long, v binary, runs binary, w binary, doc binary, train binary, ids binary, tokens binary"
@@ -320,15 +357,10 @@ def bigrams(docs: DataFrame, known: Counts) -> DataFrame:
                 number += 1
 
     def pack_batch(texts: list, ids: pa.Array, train: np.ndarray, number: int) -> pa.RecordBatch:
-        parts = [_tokens(texts[lo:hi]) + (lo,) for lo, hi in text_blocks(texts)]
-        w = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] + p[2] for p in parts])
-        v = np.concatenate([[START], w[:-1]])
-        v[np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])] = START
+        v, w, doc = _bigrams_of(texts)
         order = np.argsort(v, kind="stable")
         v, w, doc = v[order], w[order], doc[order]
-        spread = np.isin(v, known.split)
-        shard = (((np.where(spread, w, v) >> _U(32)) * _U(known.shards)) >> _U(32)).astype(np.uint32)
+        shard = known.shard(v, w)
         order = np.argsort(shard, kind="stable")
         v, w, doc, shard = v[order], (w[order] & _W_MASK), doc[order].astype(np.uint32), shard[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
@@ -353,7 +385,7 @@ SUMS = "batch long, train binary, ids binary, tokens binary, doc binary, known b
 
 
 def score_shard(known: Counts, prior: float = PRIOR):
-    """The function over one shard's rows: counts, trie, look-ups, sums per document."""
+    """The function over one shard's rows (and its words' counts): counts, trie, look-ups, sums per document."""
     def unpack(t: pa.Table):
         v, w, doc, train, at = [], [], [], [], 0
         spans = []
@@ -370,7 +402,12 @@ def score_shard(known: Counts, prior: float = PRIOR):
             at += len(flags)
         return np.concatenate(v), np.concatenate(w), np.concatenate(doc), np.concatenate(train), spans
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, other: pa.Table | None) -> pa.Table:
+        rare = None
+        if other is not None:
+            short, count = other.column("short").to_numpy().astype(_U), other.column("n").to_numpy()
+            order = np.argsort(short)
+            rare = short[order], count[order]
         v, w, doc, train, spans = unpack(t)
         contexts, of = np.unique(v, return_inverse=True)
         words, word = np.unique(w, return_inverse=True)
@@ -385,7 +422,7 @@ def score_shard(known: Counts, prior: float = PRIOR):
         group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(pair))))
         n = np.add.reduceat(learned[order].astype(np.int64), first)
         pv, pw = (distinct // _U(len(words))).astype(np.int64), (distinct % _U(len(words))).astype(np.int64)
-        log_q = known.log_q(words)
+        log_q = known.log_q(words, rare)
         total = np.bincount(of, weights=learned, minlength=len(contexts)).astype(np.int64)
         split = known.of_context(contexts)
         total = np.where(split >= 0, split, total)  # a split context's count is not the shard's own sum
@@ -414,7 +451,13 @@ def score_shard(known: Counts, prior: float = PRIOR):
         kinds = [pa.int64(), *[pa.binary()] * 7]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                     names=["batch", "train", "ids", "tokens", "doc", "known", "base", "score"])
-    return run
+    def with_counts(t: pa.Table, other: pa.Table) -> pa.Table:
+        return run(t, other)
+
+    def alone(t: pa.Table) -> pa.Table:  # Spark tells the kinds of functions by their number of arguments
+        return run(t, None)
+
+    return with_counts if known.all_words else alone
 
 
 def _finish(known: Counts):
@@ -439,12 +482,17 @@ def _finish(known: Counts):
     return run
 
 
-def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
+def score_documents(docs: DataFrame, mod: int = 10, all_words: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     tmp = Scratch(docs.sparkSession, "ngram")
     marked = docs.select("doc_id", (id_bucket(F.col("doc_id"), mod) == 0).alias("held_out"), "text")
-    known = counts(marked.filter("not held_out"), tmp)
+    known, rare = counts(marked.filter("not held_out"), tmp, all_words)
+    packed = bigrams(marked, known).groupBy("shard")
+    if all_words:
+        rare = tmp.keep(rare_counts(marked, known, rare), "rare")
+        sums = packed.cogroup(rare.groupBy("shard")).applyInArrow(score_shard(known), SUMS)
+    else:
+        sums = packed.applyInArrow(score_shard(known), SUMS)
     tmp.drop("words")
-    sums = bigrams(marked, known).groupBy("shard").applyInArrow(score_shard(known), SUMS)
     return sums.groupBy("batch").applyInArrow(
         _finish(known), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -38,7 +38,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.score_documents(read(spark, sf_dir, "documents"))
+    return ngram_trie.score_documents(read(spark, sf_dir, "documents"), all_words=True)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

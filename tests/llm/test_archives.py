@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kiloqueue.llm import ngram_trie, warc
+from kiloqueue.llm import ngram_trie, queries, warc
 from kiloqueue.llm.common import Scratch, read
 from tests.conftest import SF
 from tests.llm import brute
@@ -104,6 +104,17 @@ def test_scores_equal_plain_model(spark, monkeypatch, shard_tokens, frequent):
         assert g[6] == pytest.approx(w[6], rel=2e-3, abs=0.01)
 
 
+def test_all_words_keep_their_counts(spark, monkeypatch):
+    """Words that are not frequent have their own lower-order probability in the registered query."""
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", 3_000)
+    monkeypatch.setattr(ngram_trie, "BATCH_CHARS", 100_000)
+    monkeypatch.setattr(ngram_trie, "FREQUENT", 64)
+    got = sorted(map(tuple, queries.op8_ngram_scores(spark, SF).collect()))
+    monkeypatch.setattr(ngram_trie, "FREQUENT", 1 << 40)
+    for g, w in zip(got, plain_scores(rows(read(spark, SF, "documents"), "doc_id", "text")), strict=True):
+        assert g[:5] == w[:5] and g[6] == pytest.approx(w[6], rel=2e-3, abs=0.01)
+
+
 def test_scores_of_edge_rows(spark):
     data = edge_rows()
     got = ngram_trie.score_documents(documents(spark, data)).collect()
