@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiloqueue.llm import (decontaminate, html_text, language_id, line_dedup, minhash, mixing, ngram_trie, quality_model,
-                           quality_rules, warc)
+from kiloqueue.llm import (bpe, decontaminate, filter_audit, html_text, language_id, line_dedup, minhash, mixing, ngram_trie,
+                           quality_model, quality_rules, spelling, warc)
 from kiloqueue.llm.common import read
 
 
@@ -49,7 +49,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_html_text, op6_quality_rules,
-    op7_warc_round_trip, op8_ngram_scores, op9_near_duplicates, op10_language_id)}
-ORACLES = {"op1_mix_sources": mixing.MIX_SQL}
+    op7_warc_round_trip, op8_ngram_scores, op9_near_duplicates, op10_language_id, op11_filter_audit,
+    op12_spelling_variants, op13_bpe_round_trip)}
+ORACLES = {"op1_mix_sources": mixing.MIX_SQL, "op11_filter_audit": filter_audit.AUDIT_SQL}
