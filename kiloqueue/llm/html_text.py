@@ -31,12 +31,15 @@ PARAGRAPH = set("p pre td th li blockquote dd dt h1 h2 h3 h4 h5 h6 figcaption ad
 LISTS = set("ul ol dl div section table menu".split())
 FURNITURE_TAGS = set("nav footer aside form button fieldset dialog menu head input label".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# what is no part of an article, whatever it holds
+APART_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|"
+    r"cookie|cookies|cookiebar|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|"
+    r"recommended|recommendations|comment|comments|commentlist|disqus|reply|replies|respond|byline-share|outbrain|taboola)(?:$|[\s_-]|\d)", re.I)
+# what page frames are named after, too
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
-    r"sidebar|sidenav|nav|navbar|topnav|navigation|menu|mainmenu|breadcrumb|breadcrumbs|footer|masthead|topbar|cookie|cookies|cookiebar|consent|gdpr|"
-    r"notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|"
-    r"recommendations|comment|comments|commentlist|disqus|reply|replies|respond|widget|pager|pagination|toolbar|login|search|"
-    r"copyright|disclaimer|skip|byline-share|outbrain|taboola)(?:$|[\s_-]|\d)", re.I)
+    r"(?:^|[\s_-])(?:banner|sidebar|sidenav|nav|navbar|topnav|navigation|menu|mainmenu|breadcrumb|breadcrumbs|footer|masthead|topbar|"
+    r"notice|notices|alert|widget|pager|pagination|toolbar|login|search|copyright|disclaimer|skip)(?:$|[\s_-]|\d)", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
 GOOD_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 TAG_POINTS = {"article": 8.0, "main": 8.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0,
@@ -47,13 +50,16 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 P_CLOSERS = BLOCK - {"body", "html", "head", "button", "option", "optgroup", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "main", "td", "th", "button"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)\s*/?>", re.S)
+# quotes hold a value only after "="; each part takes what it can and gives nothing back, so a cut tag costs one pass
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
 ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CUT_TAG = re.compile(r"<[a-zA-Z/!]")
 SPACE = re.compile(r"\s+")
 
 
-#: a named part with more of the page's text than this is the page's frame, whatever its name
-FRAME_SHARE = 0.7
+#: a named element is the page's frame if it holds this many other named parts and paragraphs beside them
+FRAME_PARTS = 2
+FRAME_PARAGRAPHS = 2
 
 
 def _by_tag(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
@@ -62,8 +68,13 @@ def _by_tag(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
             or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in FURNITURE_ROLES)
 
 
+def _apart(tag: str, attrs: dict[str, str]) -> bool:
+    """Comments, adverts and the like by class or id."""
+    return tag not in ("html", "body", "main") and bool(APART_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+
+
 def _by_name(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Furniture by class or id."""
+    """Furniture by class or id, unless it is the page's frame."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     return tag not in ("html", "body", "main") and (bool(FURNITURE_NAMES.search(names)) or not in_article and bool(HEADER_NAMES.search(names)))
 
@@ -73,28 +84,37 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tag, self.up, self.good = ["#"], [-1], [False]
-        self.by_tag, self.by_name = [False], [False]
+        self.apart, self.by_name = [False], [False]
         self.inside = [False]  # an article or main element
         self.pieces: list[tuple[int, int, str]] = []  # element, number of its block, text
         self._read(page)
         self.skip = self._skipped()
 
     def _skipped(self) -> list[bool]:
-        """Furniture and all in it.  A name makes no furniture of what holds an article or nearly all text."""
+        """Furniture and all in it.  A name makes no furniture of what holds an article, or several other parts and paragraphs beside them."""
         n = len(self.tag)
-        size, holds = [0] * n, [False] * n
+        own, holds, parts, paragraphs = [False] * n, [False] * n, [0] * n, [0] * n
         for element, _, text in self.pieces:
-            size[element] += len(text.strip())
+            own[element] = own[element] or not text.isspace()
         for i in range(n - 1, 0, -1):
             up = self.up[i]
-            size[up] += 0 if self.by_tag[i] else size[i]
-            holds[up] = holds[up] or holds[i] or self.tag[i] in ("article", "main") and not self.by_name[i] and not self.by_tag[i]
+            if self.apart[i]:
+                parts[up] += 1
+                continue
+            parts[up] += parts[i] or self.by_name[i]
+            if not (self.by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])):
+                holds[up] = holds[up] or holds[i] or self.tag[i] in ("article", "main")
+                paragraphs[up] += paragraphs[i] + (own[i] and self.tag[i] in ("p", "pre", "blockquote"))
         skip = [False] * n
         for i in range(1, n):
-            named = self.by_name[i] and not holds[i] and (self.tag[i] == "article" or size[i] <= FRAME_SHARE * size[0])
-            skip[i] = skip[self.up[i]] or self.by_tag[i] or named
+            named = self.by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])
+            skip[i] = skip[self.up[i]] or self.apart[i] or named
         return skip
 
+    @staticmethod
+    def _frame(holds: bool, parts: int, paragraphs: int) -> bool:
+        return holds or parts >= FRAME_PARTS and paragraphs >= FRAME_PARAGRAPHS
+
     def _read(self, page: str) -> None:
         stack, block, at, end = [0], 0, 0, len(page)
         while at < end:
@@ -125,13 +145,13 @@ class _Tree:
             self.tag.append(tag)
             self.up.append(top)
             self.inside.append(self.inside[top] or tag in ("article", "main"))
-            self.by_tag.append(_by_tag(tag, attrs, self.inside[top]))
+            self.apart.append(_apart(tag, attrs) or _by_tag(tag, attrs, self.inside[top]))
             self.by_name.append(_by_name(tag, attrs, self.inside[top]))
             self.good.append(bool(GOOD_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")))
             stack.append(len(self.tag) - 1)
 
     def _text(self, element: int, block: int, text: str, last: bool) -> None:
-        if last and (cut := re.search(r"<[a-zA-Z/!][^>]*\Z", text)):  # a tag that the end of the page cut off
+        if last and (cut := CUT_TAG.search(text, text.rfind(">") + 1)):  # a tag that the end of the page cut off
             text = text[: cut.start()]
         self.pieces.append((element, block, htmllib.unescape(text)))
 
