@@ -7,12 +7,15 @@ bucket every text is paired with one centre only (a star), and the centre is
 drawn anew for each band, so a text meets several centres of its group.  Pairs
 whose signatures agree in too few bins (``LIKELY``, over four standard
 deviations below the threshold) go, the others are confirmed on the full shingle
-sets.  In buckets that still hold texts of different components all pairs across
-components are compared by signature, in salted blocks of about ``BLOCK`` texts
-against each other: first each text's best pair is confirmed, ``BEST`` times at
-most, then, on what is still open, every pair.  So a link is missed only if its
-two texts share no bucket (at the threshold 3 in a million) or their signatures
-agree in less than ``LIKELY`` of the bins, and no others connect them.
+sets.  That links most copies.  Buckets that still hold texts of different
+components are joined to groups (texts that share buckets, directly or through
+others), and in a group all texts of different components are compared on their
+full sets, block against block: a task holds two blocks of ``BLOCK`` texts, and
+gives out a forest over the components that it found to be one, not the pairs.
+Blocks are in order of component, so blocks of one component don't meet.  Groups
+of more than ``GROUP`` texts are compared bucket by bucket instead, which leaves
+out pairs without a bucket.  So a link is missed only if its two texts share no
+bucket (at the threshold 3 in a million), and no others connect them.
 
 Equal sets collapse to one class before any bucket is formed, counts and minima
 are aggregated before the shuffle, and components come from large-star /
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiloqueue.functions import ranked
 from kiloqueue.llm.common import Scratch, hash_words, mix64, text_blocks
 
 BIN_BITS = 8
@@ -42,11 +46,13 @@ ROWS = 6
 BANDS = (1 << BIN_BITS) // ROWS
 #: percent of the union that the intersection must have
 PERCENT = 80
-#: texts of a block of a large bucket
-BLOCK = 256
-#: passes that confirm each text's best pair only, before the one that confirms all pairs
-BEST = 2
-#: percent of equal bins below which a pair is not confirmed on its sets
+#: texts of a block of a group
+BLOCK = 512
+#: texts of a group that are compared whatever buckets they share
+GROUP = 1 << 14
+#: shingles that are compared at a time
+COLUMNS = 4096
+#: percent of equal bins below which a pair with a centre is not confirmed on its sets
 LIKELY = PERCENT - 12
 _U = np.uint64
 
@@ -149,14 +155,14 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    def similar(x: bytes, y: bytes) -> bool:
+    def alike(x: bytes, y: bytes) -> bool:
         u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
         if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
             return False
         union = len(np.union1d(u, v))
         return 100 * (len(u) + len(v) - union) >= percent * union
 
-    return _test_pairs(pairs, sets, "shingles", similar)
+    return _test_pairs(pairs, sets, "shingles", alike)
 
 
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -198,68 +204,97 @@ def star_pairs(members: DataFrame) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
 
 
-def _compared(node: np.ndarray, component: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, whole: bool) -> np.ndarray:
-    """(a, b, equal bins) of likely pairs across components between the rows ``left`` and ``right``, or of each row's best one only."""
-    equal = np.stack([(bins[right] == bins[i]).sum(1) for i in left])
-    ok = (100 * equal >= percent << BIN_BITS) & (component[left][:, None] != component[right][None, :])
-    equal = np.where(ok, equal, -1)
-    if whole:
-        i, j = np.nonzero(ok)
-    else:
-        i = np.concatenate([np.arange(len(left)), equal.argmax(0)])
-        j = np.concatenate([equal.argmax(1), np.arange(len(right))])
-        i, j = i[ok[i, j]], j[ok[i, j]]
-    return np.stack([node[left[i]], node[right[j]], equal[i, j]])
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for every set of ``left`` and of ``right``."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    _, column, uses = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    shared = uses[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.cumsum(np.diff(column[order], prepend=column[order[:1]]) != 0)  # numbered without gaps
+    both = np.zeros((len(left), len(right)), np.float32)  # exact below 2**24
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        dense = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        dense[row[i:j], column[i:j] - lo] = 1
+        both += dense[: len(left)] @ dense[len(left):].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    return 100 * both >= percent * union
+
+
+def forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the components that ``links`` (rows of component a, columns of b) join to one."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = np.nonzero(links & (a[:, None] != b[None, :]))
+    near = np.zeros((len(names), len(names)), bool)
+    near[at[: len(a)][i], at[len(a):][j]] = True
+    near |= near.T
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(names)).min(1, initial=len(names)))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
 
 
-def block_pairs(members: DataFrame, values: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b): the likely pairs across components of each bucket's members (node, bucket, component, n), or the best one of each node.
+def group_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that links between the members (node, component, key) of a key join to one.
 
-    Every two blocks of a bucket make a group of rows, so no task holds a large bucket and all pairs are compared.
-    """
+    Every two blocks of a key that hold more than one component make a group of rows, so no task holds a large
+    key, and all pairs across components are compared on their full sets (node, shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def groups(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
-            node, component, block, i, j = (t.column(c).to_numpy() for c in ("node", "component", "block", "i", "j"))
-            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            found = [np.zeros((3, 0), np.int64)]
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                left, right = (lo + np.flatnonzero(block[lo:hi] == x) for x in (i[lo], j[lo]))
-                if len(left) and len(right) and component[lo:hi].min() < component[lo:hi].max():
-                    found.append(_compared(node, component, bins, left, right, percent, whole))
-            a, b, equal = np.concatenate(found, 1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, equal)], ["a", "b", "equal"])
-
-        def starts(t: pa.Table) -> np.ndarray:
-            same = np.ones(max(t.num_rows - 1, 0), bool)
-            for c in ("bucket", "i", "j"):
-                x = t.column(c).to_numpy()
-                same &= x[1:] == x[:-1]
-            return np.concatenate([[0], np.flatnonzero(~same) + 1])
+        def linked(t: pa.Table) -> pa.RecordBatch:
+            component, block, i, j = (t.column(c).to_numpy() for c in ("component", "block", "i", "j"))
+            found = [np.frombuffer(x, _U) for x in t.column("shingles").to_pylist()]
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            ok = similar([found[k] for k in left], [found[k] for k in right], percent)
+            a, b = forest(ok, component[left], component[right])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             t = pa.Table.from_batches(held)
-            first = starts(t)
-            if len(first) > 1:  # all but the last group are whole
-                yield groups(t.slice(0, first[-1]), first)
-            held = t.slice(first[-1]).combine_chunks().to_batches()
+            same = np.ones(t.num_rows - 1, bool)
+            for c in ("key", "i", "j"):
+                x = t.column(c).to_numpy()
+                same &= x[1:] == x[:-1]
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):  # all but the last group are whole
+                yield linked(t.slice(lo, hi - lo))
+            held = t.slice(cuts[-1]).combine_chunks().to_batches()
         if held:
-            t = pa.Table.from_batches(held)
-            yield groups(t, np.array([0, t.num_rows]))
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = met.select("node", "bucket", "component", "block", "i", "j").join(values.select("node", "bins"), "node")
-    found = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long, equal long")
-    if not whole:
-        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-        found = ends.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            yield linked(pa.Table.from_batches(held))
+
+    placed = ranked.row_positions(members, "key", ["component", "node"]).select(
+        "node", "component", "key", F.floor((F.col("row_pos") - 1) / BLOCK).cast("int").alias("block"))
+    ends = placed.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    one = ends.select("key", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    two = ends.select("key", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    met = one.join(two, "key").filter((F.col("i") <= F.col("j")) & (F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j"))).select("key", "i", "j")
+    both = F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
+    rows = placed.join(met.select("key", "i", "j", both), ["key", "block"]).join(sets, "node")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def open_groups(members: DataFrame, tmp: Scratch) -> DataFrame:
+    """(node, component, key) of the members (node, bucket, component) of buckets of several components: what has to be compared with what."""
+    held = members.select("component", "bucket").distinct()
+    least = held.groupBy("bucket").agg(F.min("component").alias("b"))
+    group = components(held.join(least, "bucket").select(F.col("component").alias("a"), "b").distinct(), tmp, "group")
+    group = tmp.keep(group.select(F.col("node").alias("component"), F.col("component").alias("group")), "groups")
+    grouped = members.join(group, "component")
+    once = tmp.keep(grouped.select("node", "component", "group").distinct(), "grouped")
+    large = once.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("group")
+    return (once.join(large, "group", "left_anti").select("node", "component", F.xxhash64(F.lit(0), "group").alias("key"))
+            .unionByName(grouped.join(large, "group", "left_semi").select("node", "component", F.xxhash64(F.lit(1), "bucket").alias("key"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
@@ -285,18 +320,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     if not links.isEmpty():
         found = tmp.keep(_merged(found, links, tmp, "star1"), "found1")
 
-    # then all pairs of the buckets that are still open
-    members, step, whole = buckets.join(wanted.select("node"), "node", "left_semi"), 1, False
-    while not whole:
-        step += 1
-        members = tmp.keep(_mixed(members.select("node", "bucket"), found), f"mixed{step}")
-        if members.isEmpty():
-            break
-        whole = step > BEST + 1 or step > 2 and links.isEmpty()
-        tried = tmp.keep(block_pairs(members, wanted, LIKELY, whole), f"likely{step}")
-        links = tmp.keep(confirm(tried, sets, percent), f"links{step}")
+    # then all pairs across components of the buckets that are still open
+    members = tmp.keep(_mixed(buckets.join(wanted.select("node"), "node", "left_semi"), found), "mixed")
+    if not members.isEmpty():
+        links = tmp.keep(group_links(tmp.keep(open_groups(members, tmp), "open"), sets, percent), "links2")
         if not links.isEmpty():
-            found = tmp.keep(_merged(found, links, tmp, f"star{step}"), f"found{step}")
+            found = tmp.keep(_merged(found, links, tmp, "star2"), "found2")
 
     label = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "class").join(label, "class", "left")
@@ -325,10 +354,10 @@ def _merged(found: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> Data
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (node, bucket, component, n) of buckets that hold more than one component; n: members of the bucket."""
+    """The members (node, bucket, component) of buckets that hold more than one component."""
     labelled = members.join(found, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    return labelled.join(several.select("bucket", "n"), "bucket")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return labelled.join(several.select("bucket"), "bucket")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
