@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kiloqueue.operators import alerts as al
@@ -26,6 +27,7 @@ from kiloqueue.operators.predict import predict_table
 from kiloqueue.session import shared_folder
 from kiloqueue.sources import adapter as ad
 from kiloqueue.sources.io import is_folder
+from kiloqueue.streaming.runs import Runs
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -59,9 +61,11 @@ def session_stream(spark: SparkSession, sf_dir: str, max_files: int = 1, events:
                                        - avail * 3.0)).alias("wait_time_minutes"))
 
 
-def _drain(writer, work: str) -> None:
+def _drain(writer, work: str) -> StreamingQuery:
     """Run a streaming query over all that is there now."""
-    writer.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    query = writer.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def _append(df: DataFrame, work: str) -> DataFrame:
@@ -95,28 +99,18 @@ def enrich_and_predict(spark: SparkSession, sf_dir: str, work: str | None = None
 def latest_state(spark: SparkSession, sf_dir: str, work: str | None = None, **source) -> DataFrame:
     """L-02: latest reading per station, upserted each micro-batch (foreachBatch).
 
-    The state table has one row per station; each batch's newest rows are
-    merged with the last version by ``max_by`` on (time, id) and written as the
-    next version.  The last version is found in the sink itself."""
-    work = work or work_dir(spark, "latest")
+    A batch adds its newest rows as one run; runs are merged by ``max_by`` on (time, id) as they grow, so the
+    sink holds at most twice the state and a batch seldom rewrites all of it."""
     s = session_stream(spark, sf_dir, **source).select(
         "station_id", F.col("session_start").alias("event_time"), "session_id", "wait_time_minutes")
 
     def newest(rows: DataFrame) -> DataFrame:
         return al.latest_per_key(rows, "station_id", "event_time", "session_id")
 
-    def last_version(b: SparkSession, below: int) -> DataFrame:
-        every = b.read.parquet(f"{work}/state").where(F.col("version") < below)
-        return every.where(F.col("version") == every.select(F.max("version")).scalar()).drop("version")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        merged = newest(batch)
-        if number > 0:
-            merged = newest(last_version(batch.sparkSession, number).unionByName(merged))
-        merged.write.mode("overwrite").parquet(f"{work}/state/version={number}")
-
-    _drain(s.writeStream.foreachBatch(upsert), work)
-    return last_version(spark, 1 << 62)
+    work = work or work_dir(spark, "latest")
+    state = Runs(spark, f"{work}/state", s.schema, newest)
+    _drain(s.writeStream.foreachBatch(lambda batch, number: state.add(newest(batch), number)), work)
+    return state.read()
 
 
 def threshold_stream(spark: SparkSession, sf_dir: str, threshold: float = 30.0, station_id: int | None = None,
@@ -149,15 +143,21 @@ def running_means(spark: SparkSession, sf_dir: str, work: str | None = None, **s
     return parts.groupBy("station_id").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("running_mean"), F.sum("n").alias("n"))
 
 
-def alert_stream(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
-    """The alerts (station_id, alert_type, event_time) that the session stream triggers."""
+def alert_details(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
+    """The alerts (station_id, alert_type, event_time, session_id, rule_order) that the session stream triggers."""
     st = ad.stations(spark, sf_dir).select("station_id", "name", "num_ports", "status")
     s = session_stream(spark, sf_dir, **source).join(st, "station_id")
     avail = F.least(F.col("available_ports"), F.col("num_ports"))
     readings = s.select("session_id", "station_id", "name", "status", F.col("session_start").alias("event_time"),
                         F.col("wait_time_minutes").alias("predicted_wait_min"),
                         F.round((F.col("num_ports") - avail) / F.col("num_ports") * 100.0, 1).alias("utilization_pct"))
-    return al.evaluate_network(readings, None, extra_cols=("event_time",)).select("station_id", "alert_type", "event_time")
+    return al.evaluate_network(readings, None, extra_cols=("event_time", "session_id")).select(
+        "station_id", "alert_type", "event_time", "session_id", "rule_order")
+
+
+def alert_stream(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
+    """The alerts (station_id, alert_type, event_time) that the session stream triggers."""
+    return alert_details(spark, sf_dir, **source).select("station_id", "alert_type", "event_time")
 
 
 def cooldown_stream(spark: SparkSession, sf_dir: str, cooldown_s: float = 600.0, work: str | None = None, **source) -> DataFrame:
@@ -225,5 +225,5 @@ def fresh_readings(readings: DataFrame, as_of, ttl_s: float = 300.0, key: str =
     return al.latest_per_key(recent, key, time_col, tiebreak)
 
 
-__all__ = ["alert_stream", "cooldown_stream", "enrich_and_predict", "fresh_readings", "freshness_stream", "hourly_means",
+__all__ = ["alert_details", "alert_stream", "cooldown_stream", "enrich_and_predict", "fresh_readings", "freshness_stream", "hourly_means",
            "latest_state", "live_cooldown", "running_means", "session_stream", "threshold_stream", "work_dir"]
