@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiloqueue.functions import geo, ranked
+from kiloqueue.functions import geo, ranked, spatial
 from kiloqueue.functions.scalars import (
     CYCLIC_PERIODS, cyclic, day_of_week, is_rush_hour, is_weekend, part_of_day, traffic_level,
 )
@@ -108,22 +108,16 @@ def nearby_counts(points: DataFrame, stations: DataFrame, radius_km: float = NEA
     """J-05 core: for each distinct (lat, lng) of ``points``, the number of
     stations strictly closer than ``radius_km``.
 
-    Distance join by grid: stations keep their own cell key, query locations
-    are exploded to the <= 9 neighbouring keys, equi join on the key, exact
-    haversine filter, count.  Query locations are de-duplicated first, so the
-    work depends on distinct locations, not on rows.
+    Query locations and stations are de-duplicated first, so the work depends
+    on distinct locations, not on rows; then two trees of boxes are compared
+    (``spatial``), so a dense place makes no pairs of all its points.
     """
     locs = points.select(F.col(lat).alias("_qlat"), F.col(lng).alias("_qlng")).where(
         F.col("_qlat").isNotNull() & F.col("_qlng").isNotNull()).distinct()
-    st = stations.select(F.col("lat").alias("_slat"), F.col("lng").alias("_slng")).where(
-        F.col("_slat").isNotNull() & F.col("_slng").isNotNull())
-    st = st.withColumn("_key", geo.own_cell("_slat", "_slng", radius_km))
-    q = locs.withColumn("_key", F.explode(geo.neighbour_cells(F.col("_qlat"), F.col("_qlng"), radius_km)))
-    hits = (q.join(st, "_key")
-            .where(geo.haversine_km("_qlat", "_qlng", "_slat", "_slng") < radius_km)
-            .groupBy("_qlat", "_qlng").agg(F.count(F.lit(1)).alias("_n")))
-    return locs.join(hits, ["_qlat", "_qlng"], "left").select(
-        "_qlat", "_qlng", F.coalesce("_n", F.lit(0)).cast("int").alias("nearby_stations_count"))
+    st = (stations.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+          .groupBy(F.col("lat").alias("_qlat"), F.col("lng").alias("_qlng")).agg(F.count(F.lit(1)).alias("n")))
+    counts = spatial.counts_within(locs, st, radius_km, "_qlat", "_qlng")
+    return counts.select("_qlat", "_qlng", F.col("n_near").cast("int").alias("nearby_stations_count"))
 
 
 def add_geospatial_features(df: DataFrame, stations: DataFrame | None = None,

@@ -14,9 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiloqueue.functions import geo
+from kiloqueue.functions import geo, spatial
 from kiloqueue.functions.scalars import action_label, routing_url
 from kiloqueue.operators.predict import predict_table
+from kiloqueue.session import materialise
 
 # Preference weights per priority (wait, distance, availability,
 # reliability, traffic), normalisers, bonuses.
@@ -34,6 +35,10 @@ FAST_CHARGER_KW = 150.0
 DEFAULT_WAIT = 20.0
 #: degrees of the cells in which users are pruned together, large first
 CELL_DEGREES = {"large": 0.04, "small": 0.01}
+#: rows of a group that are folded as one array
+FOLD_ROWS = 1000
+#: parts that a dense cell's rows are dealt over
+SALTS = 8
 WEIGHT_COLUMNS = ["w_wait", "w_distance", "w_availability", "w_reliability", "w_traffic"]
 
 
@@ -225,9 +230,14 @@ def recommend_en_route(routes: DataFrame, stations: DataFrame, max_detour_km: fl
     ``routes``: route_id, wp_idx, wp_lat, wp_lng (one row per waypoint).
     """
     st = station_scores(attach_wait(stations, None))
-    near = (geo.within_radius_pairs(routes, st.select("station_id", "lat", "lng"),
-                                    "wp_lat", "wp_lng", "lat", "lng", max_detour_km, "_d")
-            .groupBy("route_id", "station_id").agg(F.min("_d").alias("_min_d")))
+    # places are paired once, however many routes or stations share them
+    places = [t.select(F.col(a).alias("lat"), F.col(b).alias("lng")).where("lat is not null and lng is not null").distinct()
+              for t, a, b in ((routes, "wp_lat", "wp_lng"), (st, "lat", "lng"))]
+    pairs = spatial.places_within(*places, max_detour_km)
+    at = (routes.join(pairs, (F.col("wp_lat") == F.col("l_lat")) & (F.col("wp_lng") == F.col("l_lng")))
+          .groupBy("route_id", "r_lat", "r_lng").agg(F.min("distance_km").alias("_min_d")))
+    near = at.join(st.select("station_id", "lat", "lng"), (F.col("r_lat") == F.col("lat")) & (F.col("r_lng") == F.col("lng"))) \
+        .select("route_id", "station_id", "_min_d")
     first = (routes.groupBy("route_id")
              .agg(F.min_by(F.struct("wp_lat", "wp_lng"), "wp_idx").alias("_wp0"))
              .select("route_id", F.col("_wp0.wp_lat").alias("_lat0"), F.col("_wp0.wp_lng").alias("_lng0")))
@@ -254,15 +264,30 @@ def apply_saved_preferences(requests: DataFrame, saved: DataFrame) -> DataFrame:
     }).drop(*[f"_sv_{c}" for c in ("priority", "connector_pref", "max_detour_km")])
 
 
-def diversify(recs: DataFrame, min_distance_km: float = 1.0, group_col: str = "user_id",
-              order_col: str = "rank") -> DataFrame:
+def diversify(recs: DataFrame, min_distance_km: float = 1.0, group_col: str = "user_id", order_col: str = "rank",
+              largest: int | None = None) -> DataFrame:
     """R-H / J-14: walk each group's results in order, drop any result closer
     (planar km) than ``min_distance_km`` to an already kept one.
 
-    The fold runs over each group's (top-N, so bounded) result array.
+    Groups of at most ``FOLD_ROWS`` rows are folded as arrays; ``largest`` states a bound that the caller
+    knows (a top-N), otherwise the groups are counted.  Larger groups are decided in rounds over a grid.
     """
-    keep_cols = [c for c in recs.columns if c != group_col]
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), *keep_cols)))
+    if largest is None:
+        recs = materialise(recs, "recs")
+        largest = recs.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
+    if largest <= FOLD_ROWS:
+        return _walk(recs, min_distance_km, group_col, order_col)
+    return _keep_in_rounds(recs, min_distance_km, group_col, order_col)
+
+
+def _in_order(recs: DataFrame, group_col: str, order_col: str) -> Column:
+    """A row's place in its group's walk, and all of the row."""
+    return F.struct(F.col(order_col).alias("_o"), *[c for c in recs.columns if c != group_col])
+
+
+def _walk(recs: DataFrame, min_distance_km: float, group_col: str, order_col: str) -> DataFrame:
+    """The walk as a fold over each group's array, for groups of a bounded size."""
+    arr = F.array_sort(F.collect_list(_in_order(recs, group_col, order_col)))
 
     def step(acc, x):
         too_close = F.exists(acc, lambda k: geo.planar_km(x["lat"], x["lng"], k["lat"], k["lng"]) < min_distance_km)
@@ -272,3 +297,42 @@ def diversify(recs: DataFrame, min_distance_km: float = 1.0, group_col: str = "u
     folded = grouped.select(group_col, F.aggregate(
         "_items", F.slice(F.col("_items"), 1, 0), step).alias("_kept"))
     return folded.select(group_col, F.inline("_kept")).drop("_o")
+
+
+def _keep_in_rounds(recs: DataFrame, min_distance_km: float, group_col: str, order_col: str) -> DataFrame:
+    """The walk's result for groups of any size: the first maximal independent set, in rounds.
+
+    Cells are so small that two rows of one are always too close, so a cell keeps one row at most.  A cell's
+    first open row is kept if it also comes before the first open rows of the 24 cells around it: then nothing
+    that could drop it is left.  Each round keeps all such rows and drops what is too close to them; when what
+    is open fits the fold, the walk ends it.  Rows without a place are near nothing and stay.
+    """
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    if min_distance_km <= 0:
+        return recs
+    side = min_distance_km / geo.KM_PER_DEGREE / math.sqrt(2) * (1 - 1e-9)
+    near, salt = [-2, -1, 0, 1, 2], F.pmod(F.xxhash64(*recs.columns), F.lit(SALTS)).cast("int")
+    cell = {c: F.floor(F.col(a) / side).cast("long") for c, a in (("_cx", "lat"), ("_cy", "lng"))}
+    around = F.explode(F.array(*[F.struct((F.col("_cx") + dx).alias("_cx"), (F.col("_cy") + dy).alias("_cy")) for dx in near for dy in near]))
+    at = [group_col, "_cx", "_cy"]
+    rows = _in_order(recs, group_col, order_col)
+    left = materialise(recs.where(placed).select(group_col, rows.alias("_r"), salt.alias("_salt"), *[e.alias(c) for c, e in cell.items()]), "open")
+    kept = [recs.where(~placed)]
+    while True:
+        largest = left.groupBy(group_col).count().agg(F.max("count")).first()[0] or 0
+        if largest <= FOLD_ROWS:
+            break
+        firsts = left.groupBy(*at).agg(F.min("_r").alias("_r"))
+        seen = firsts.select(group_col, "_r", around.alias("_c")).groupBy(group_col, "_c._cx", "_c._cy").agg(F.min("_r").alias("_least"))
+        won = materialise(firsts.join(seen, at).where(F.col("_r") == F.col("_least")).select(*at, "_r"), "kept")
+        kept.append(won.select(group_col, "_r.*").drop("_o"))
+        shadow = (won.select(group_col, "_r.lat", "_r.lng", around.alias("_c")).groupBy(group_col, "_c._cx", "_c._cy")
+                  .agg(F.collect_list(F.struct("lat", "lng")).alias("_by"))  # kept rows are apart: a few a cell
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        close = F.exists("_by", lambda k: geo.planar_km(F.col("_r.lat"), F.col("_r.lng"), k["lat"], k["lng"]) < min_distance_km)
+        left = materialise(left.join(shadow, [*at, "_salt"], "left").where(~F.coalesce(close, F.lit(False))).select(*left.columns), "open")
+    kept.append(_walk(left.select(group_col, "_r.*").drop("_o"), min_distance_km, group_col, order_col))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more.select(*recs.columns))
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiloqueue.functions import ranked
 from kiloqueue.functions.geo import haversine_km
 from kiloqueue.functions.ranked import cumulative_counts, quantiles, running_moments
 
@@ -152,10 +153,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
-    """A-18 / A-34: value counts normalised to a probability (total as window over
-    the small grouped result)."""
+    """A-18 / A-34: value counts normalised to a probability (the total is one scalar of the table)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("probability", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return g.withColumn("probability", F.col("count") / df.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
@@ -269,3 +269,9 @@ def client_sort(df: DataFrame, by: str = "wait") -> DataFrame:
     else:
         key = F.col("name")
     return df.withColumn("sort_key", key).orderBy(key, "station_id")
+
+
+def client_places(df: DataFrame, by: str = "wait") -> DataFrame:
+    """O-06: each row's ``place`` in a client's ordering, without a window over the whole table."""
+    keyed = client_sort(df, by).withColumn("_all", F.lit(0))
+    return ranked.row_positions(keyed, "_all", ["sort_key", "station_id"]).withColumnRenamed("row_pos", "place").drop("_all", "key_rows")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kiloqueue.functions import geo
@@ -147,7 +146,7 @@ SELECT user_id, x.rank AS rank, x.station_id AS station_id, x.lat AS lat, x.lng
 FROM (SELECT user_id, unnest(kept) AS x FROM walk WHERE k = 5) u""", ctes=_WEIGHTS_SQL + "," + _STATIONS_W_PRED)
 def r_h_diversify(spark, sf_dir):
     recs = rc.recommend(ad.users(spark, sf_dir), ad.stations(spark, sf_dir), ad.predictions(spark, sf_dir))
-    return rc.diversify(recs.select("user_id", "rank", "station_id", "lat", "lng"), 1.0)
+    return rc.diversify(recs.select("user_id", "rank", "station_id", "lat", "lng"), 1.0, largest=5)
 
 
 @register("j_03_latest_prediction", sql="""
@@ -213,13 +212,12 @@ def _sortable(spark, sf_dir):
 
 
 def _register_sort(by: str, key: str) -> None:
-    from kiloqueue.operators.summary import client_sort
+    from kiloqueue.operators.summary import client_places
 
     @register(f"o_06_client_sort_{by}", sql=f"""
 SELECT station_id, cast(row_number() OVER (ORDER BY {key}, station_id) AS int) AS place FROM cs""", ctes=_SORT)
     def query(spark, sf_dir):
-        ordered = client_sort(_sortable(spark, sf_dir), by)
-        return ordered.select("station_id", F.row_number().over(Window.orderBy("sort_key", "station_id")).alias("place"))
+        return client_places(_sortable(spark, sf_dir), by).select("station_id", F.col("place").cast("int").alias("place"))
 
 
 for _by, _key in (("wait", "coalesce(nullif(wait_min, 0), 99e0)"), ("distance", "coalesce(distance_km, 99e0)"),
