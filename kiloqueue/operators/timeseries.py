@@ -8,6 +8,11 @@ even for the busiest station.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +108,126 @@ def kpss(series: DataFrame, lags: int = 12, key: str = "station_id") -> DataFram
     return g.select(key, "n", stat.alias("kpss_stat"), (stat < 0.463).alias("stationary_5pct"))
 
 
+# Published polynomials of the Dickey-Fuller distribution (one series, constant) and KPSS level quantiles.
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
+KPSS_VALUES, KPSS_P = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
+
+
+def most_lags(n: int) -> int:
+    """The largest lag order tried for ``n`` values."""
+    return max(min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2), 0)
+
+
+def adf_p(stat: float) -> float:
+    if stat > ADF_MAX or stat < ADF_MIN:
+        return float(stat > ADF_MAX)
+    poly = ADF_SMALL if stat <= ADF_STAR else ADF_LARGE
+    return 0.5 * (1 + math.erf(sum(c * stat**k for k, c in enumerate(poly)) / math.sqrt(2)))
+
+
+def _eliminate(gram: np.ndarray, column: int) -> np.ndarray:
+    """The sums of squares and products of what a regression on ``column`` leaves."""
+    pivot = gram[column, column]
+    return gram if pivot <= 0 else gram - np.outer(gram[:, column], gram[column]) / pivot
+
+
+def _best_adf(grams: np.ndarray, n: int) -> tuple[int, float]:
+    """Lag order of least AIC and the t statistic of the level, from the sums by lags at hand.
+
+    ``grams[a]``: the rows with ``a`` earlier differences (the last: or more) of (1, level, differences by lag, difference).
+    All orders are compared on the rows that have every lag; the chosen one is fitted to all rows that have its lags.
+    """
+    top, y = most_lags(n), grams.shape[1] - 1
+    full, rows, best = grams[top:].sum(0), n - 1 - top, (np.inf, 0)
+    left = _eliminate(_eliminate(full, 0), 1)
+    for order in range(top + 1):
+        if order:
+            left = _eliminate(left, 1 + order)
+        if left[y, y] > 0:
+            best = min(best, (rows * np.log(left[y, y] / rows) + 2 * (2 + order), order))
+    order = best[1]
+    left = _eliminate(grams[order:].sum(0), 0)
+    for k in range(order):
+        left = _eliminate(left, 2 + k)
+    level, cross = left[1, 1], left[1, y]
+    rest, free = left[y, y] - cross * cross / level if level > 0 else 0.0, n - 1 - order - (2 + order)
+    return order, cross / level / math.sqrt(rest / free / level) if rest > 0 and free > 0 else math.nan
+
+
+def adf(series: DataFrame, key: str = "station_id") -> DataFrame:
+    """T-03: augmented Dickey-Fuller with a constant, the lag order by AIC: key, n, lags, adf_stat, p_value.
+
+    One matrix of sums of squares and products per key and number of lags at hand, summed in the tasks first;
+    every lag order is solved from it, so the values are read once.
+    """
+    top = most_lags(series.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+    size = top + 3
+    w = _w(key)
+    d = series.withColumn("_level", F.lag("value", 1).over(w)).withColumn("_d", F.col("value") - F.col("_level"))
+    rows = d.where(F.col("_level").isNotNull()).withColumn("_past", F.collect_list("_d").over(w.rowsBetween(-top, -1)))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            have = pdf["_past"].map(len).to_numpy()
+            z = np.zeros((len(pdf), size))
+            z[:, 0], z[:, 1], z[:, -1] = 1.0, pdf["_level"], pdf["_d"]
+            for i, past in enumerate(pdf["_past"]):
+                z[i, 2: 2 + len(past)] = past[::-1]
+            for (k, a), at in pdf.groupby([pdf[key], have]).indices.items():
+                yield pd.DataFrame({key: k, "a": a, "at": np.arange(size * size), "s": (z[at].T @ z[at]).ravel()})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = np.zeros((top + 1, size * size))
+        grams[pdf["a"], pdf["at"]] = pdf["s"]
+        grams = grams.reshape(top + 1, size, size)
+        n = int(round(grams[:, 0, 0].sum())) + 1
+        order, stat = _best_adf(grams, n)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [n], "lags": [order], "adf_stat": [stat], "p_value": [adf_p(stat)]})
+
+    kind = series.schema[key].dataType.simpleString()
+    parts = rows.select(key, "_level", "_d", "_past").mapInPandas(sums, f"{key} {kind}, a int, at int, s double")
+    grams = parts.groupBy(key, "a", "at").agg(F.sum("s").alias("s"))
+    return grams.groupBy(key).applyInPandas(solve, f"{key} {kind}, n long, lags int, adf_stat double, p_value double")
+
+
+def _lag_products(series: DataFrame, lags: int, key: str) -> DataFrame:
+    """Per key: n, ss (squared partial sums of the deviations from the mean), e2, and ``c``, the products by lag from 1."""
+    w = _w(key)
+    d = series.withColumn("_e", F.col("value") - F.avg("value").over(Window.partitionBy(key)))
+    d = d.withColumn("_s", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumns({f"_p{k}": F.col("_e") * F.lag("_e", k).over(w) for k in range(1, lags + 1)})
+    c = [F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(1, lags + 1)]
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("ss"), F.sum(F.col("_e") * F.col("_e")).alias("e2"),
+                              (F.array(*c) if c else F.array().cast("array<double>")).alias("c"))
+
+
+def _weighted(c: Column, upto: Column, weight) -> Column:
+    """The sum over lags 1 to ``upto`` of weight(lag) times the lag's product."""
+    return F.aggregate(F.transform(c, lambda x, i: F.when(i < upto, weight(i + 1) * x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+
+
+def kpss_auto(series: DataFrame, key: str = "station_id") -> DataFrame:
+    """T-04: level KPSS with the bandwidth drawn from the data: key, n, lags, kpss_stat, p_value (within the table's ends)."""
+    longest = series.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    first = _lag_products(series, int(longest ** (2.0 / 9.0)), key)
+    upto = F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0)))
+    s0 = F.col("e2") / F.col("n") + _weighted(F.col("c"), upto, lambda k: F.lit(1.0)) / (F.col("n") / 2.0)
+    s1 = _weighted(F.col("c"), upto, lambda k: k.cast("double")) / (F.col("n") / 2.0)
+    share = F.try_divide(s1, s0)
+    third = F.lit(1.0 / 3.0)
+    wide = F.floor(1.1447 * F.pow(share * share, third) * F.pow(F.col("n").cast("double"), third))
+    chosen = first.select(key, F.least(F.coalesce(wide, F.lit(0)), F.col("n") - 1).cast("int").alias("lags"))
+    sums = _lag_products(series, chosen.agg(F.max("lags")).first()[0] or 0, key).join(chosen, key)
+    spread = F.col("e2") + 2.0 * _weighted(F.col("c"), F.col("lags"), lambda k: 1.0 - k / (F.col("lags") + 1.0))
+    out = sums.select(key, "n", "lags", F.try_divide(F.col("ss"), F.col("n") * spread).alias("kpss_stat"))
+    stat = F.col("kpss_stat")
+    p = F.when(stat <= KPSS_VALUES[0], KPSS_P[0])
+    for v0, v1, p0, p1 in zip(KPSS_VALUES, KPSS_VALUES[1:], KPSS_P, KPSS_P[1:]):
+        p = p.when(stat <= v1, p0 + (stat - v0) / (v1 - v0) * (p1 - p0))
+    return out.withColumn("p_value", p.when(stat > KPSS_VALUES[-1], KPSS_P[-1]))
+
+
 def acf(series: DataFrame, nlags: int = 48, key: str = "station_id") -> DataFrame:
     """T-05 / W-14: autocorrelation for lags 0..nlags with the +-1.96/sqrt(n) band (long form)."""
     w = _w(key)
@@ -119,33 +244,35 @@ def acf(series: DataFrame, nlags: int = 48, key: str = "station_id") -> DataFram
                     (F.lit(1.96) / F.sqrt("n")).alias("band")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def pacf(acf_long: DataFrame, key: str = "station_id") -> DataFrame:
-    """T-06: partial autocorrelation by Durbin-Levinson on each key's ACF
-    (a grouped pandas function over <= nlags+1 values per key)."""
-    import numpy as np
-    import pandas as pd
-
-    def dl(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        r = pdf["acf"].to_numpy(dtype=float)
-        m = len(r) - 1
-        out = np.zeros(m + 1)
-        out[0] = 1.0
-        phi = np.zeros(m + 1)
-        prev = np.zeros(m + 1)
-        v = r[0]
-        for k in range(1, m + 1):
-            num = r[k] - np.dot(prev[1:k], r[1:k][::-1])
-            phi_kk = num / v if v != 0 else 0.0
-            phi[1:k] = prev[1:k] - phi_kk * prev[1:k][::-1]
-            phi[k] = phi_kk
-            v = v * (1 - phi_kk * phi_kk)
-            out[k] = phi_kk
-            prev = phi.copy()
-        return pd.DataFrame({key: pdf[key].iloc[0], "lag": pdf["lag"].to_numpy(), "pacf": out})
-
-    schema = f"{key} long, lag int, pacf double"
-    return acf_long.select(key, "lag", "acf").groupBy(key).applyInPandas(dl, schema)
+    """T-06: partial autocorrelation by the Durbin-Levinson recursion, folded over each key's array of
+    autocorrelations (nlags + 1 values).
+
+    ``phi``: the coefficients of the last order, ``v``: its share of unexplained variance, ``out``: the answer
+    so far.  Once nothing is left to explain (v = 0) the rest is 0.
+    """
+    r = F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda e: e["acf"])
+
+    def order(state: Column, k: Column, acf: Column) -> Column:
+        missed = F.get(acf, k) - _dot(state["phi"], F.reverse(F.slice(acf, F.lit(2), k - 1)))
+        new = F.when(state["v"] != 0, missed / F.when(state["v"] != 0, state["v"])).otherwise(F.lit(0.0))
+        return _let(F.struct(new.alias("p"), state.alias("s")), lambda e: F.struct(
+            F.concat(F.zip_with(e["s"]["phi"], F.reverse(e["s"]["phi"]), lambda x, y: x - e["p"] * y), F.array(e["p"])).alias("phi"),
+            (e["s"]["v"] * (1.0 - e["p"] * e["p"])).alias("v"), F.concat(e["s"]["out"], F.array(e["p"])).alias("out")))
+
+    g = acf_long.groupBy(key).agg(r.alias("_r")).where(F.size("_r") > 1)
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.get("_r", F.lit(0)).alias("v"), F.array(F.lit(1.0)).alias("out"))
+    done = g.select(key, F.aggregate(F.sequence(F.lit(1), F.size("_r") - 1), start, lambda s, k: order(s, k, F.col("_r")), lambda s: s["out"]).alias("_p"))
+    return done.select(key, F.posexplode("_p").alias("lag", "pacf"))
 
 
 def sequence_windows(df: DataFrame, features, target: str, seq_len: int = 24, key: str = "station_id",

@@ -108,6 +108,73 @@ def t_04_kpss(spark, sf_dir):
     return k.select("station_id", "n", F.round("kpss_stat", 6).alias("kpss_stat"), "stationary_5pct")
 
 
+# lag orders by AIC: regressions by elimination of one column after the other from the sums of squares and products;
+# the hourly series span a month, for which at most _AL lags are tried
+_AL = 20
+_AD = _AL + 3
+
+
+def _gram_sql(v: list[str]) -> str:
+    """The matrix of sums as a list of rows, from a row's values."""
+    sums = {(i, j): f"sum({v[i]} * {v[j]})" for i in range(_AD) for j in range(i, _AD)}
+    return "[" + ", ".join("[" + ", ".join(sums[min(i, j), max(i, j)] for j in range(_AD)) + "]" for i in range(_AD)) + "]"
+
+
+def _eliminate_sql(m: str, k: str) -> str:
+    return (f"CASE WHEN {m}[{k}][{k}] <= 0 THEN {m} ELSE list_transform({m}, lambda r: list_transform(r, lambda x, j: "
+            f"x - r[{k}] * {m}[{k}][j] / {m}[{k}][{k}])) END")
+
+
+_ADF_SQL = f"""
+WITH RECURSIVE x AS (SELECT station_id, pos, lag(value) {_WP} AS yl, value - lag(value) {_WP} AS d, count(*) OVER (PARTITION BY station_id) AS n FROM ser),
+z AS (SELECT *, greatest(least(cast(ceil(12e0 * pow(n / 100e0, 0.25e0)) AS int), cast(n // 2 - 2 AS int)), 0) AS m,
+  {", ".join(f"coalesce(lag(d, {k}) {_WP}, 0e0) AS d{k}" for k in range(1, _AL + 1))} FROM x),
+g AS (SELECT station_id, any_value(n) AS n, any_value(m) AS m, {_gram_sql(["1e0", "yl", *[f"d{k}" for k in range(1, _AL + 1)], "d"])} AS a
+  FROM z WHERE pos >= m + 1 GROUP BY station_id),
+e(station_id, n, m, k, a) AS (
+  SELECT station_id, n, m, 0, a FROM g
+  UNION ALL SELECT station_id, n, m, k + 1, {_eliminate_sql("a", "(k + 1)")} FROM e WHERE k < 2 + m),
+best AS (SELECT station_id, any_value(n) AS n, arg_min(k - 2, struct_pack(aic := (n - 1 - m) * ln(a[{_AD}][{_AD}] / (n - 1 - m)) + 2 * k, k := k)) AS p
+  FROM e WHERE k >= 2 AND a[{_AD}][{_AD}] > 0 GROUP BY station_id),
+h AS (SELECT z.station_id, any_value(z.n) AS n, any_value(p) AS p,
+    {_gram_sql(["1e0", *[f"(CASE WHEN {k} <= p THEN d{k} ELSE 0e0 END)" for k in range(1, _AL + 1)], "yl", "d"])} AS a
+  FROM z JOIN best ON z.station_id = best.station_id WHERE pos >= p + 1 GROUP BY z.station_id),
+f(station_id, n, p, k, a) AS (
+  SELECT station_id, n, p, 0, a FROM h
+  UNION ALL SELECT station_id, n, p, k + 1, {_eliminate_sql("a", "(k + 1)")} FROM f WHERE k < 1 + p),
+l AS (SELECT station_id, n, p, a[{_AD - 1}][{_AD - 1}] AS yy, a[{_AD - 1}][{_AD}] AS yd, a[{_AD}][{_AD}] AS dd FROM f WHERE k = 1 + p)
+SELECT station_id, n, cast(p AS int) AS lags, round(yd / yy / sqrt((dd - yd * yd / yy) / (n - 1 - p - (2 + p)) / yy), 6) AS adf_stat FROM l"""
+
+
+@register("t_03_adf_lag_order", sql=_ADF_SQL, ctes=_SER)
+def t_03_adf_lag_order(spark, sf_dir):
+    return ts.adf(_series(spark, sf_dir)).select("station_id", "n", "lags", F.round("adf_stat", 6).alias("adf_stat"))
+
+
+_KPSS_AUTO_SQL = """
+WITH e AS (SELECT station_id, pos, value - avg(value) OVER (PARTITION BY station_id) AS e, count(*) OVER (PARTITION BY station_id) AS n FROM ser),
+c AS (SELECT a.station_id, any_value(a.n) AS n, b.pos - a.pos AS k, sum(a.e * b.e) AS s
+  FROM e a JOIN e b ON a.station_id = b.station_id AND b.pos BETWEEN a.pos AND a.pos + 200 GROUP BY a.station_id, b.pos - a.pos),
+w AS (SELECT station_id, any_value(n) AS n, sum(CASE WHEN k = 0 THEN s / n WHEN k <= floor(pow(n, 2e0 / 9e0)) THEN s / (n / 2e0) END) AS s0,
+  sum(CASE WHEN k BETWEEN 1 AND floor(pow(n, 2e0 / 9e0)) THEN k * s / (n / 2e0) ELSE 0e0 END) AS s1 FROM c GROUP BY station_id),
+l AS (SELECT station_id, n, least(cast(floor(1.1447e0 * pow(s1 / s0 * (s1 / s0), 1e0 / 3e0) * pow(n, 1e0 / 3e0)) AS int), n - 1) AS lags FROM w),
+v AS (SELECT station_id, any_value(l.n) AS n, any_value(lags) AS lags,
+    sum(CASE WHEN k = 0 THEN s WHEN k <= lags THEN 2e0 * (1e0 - k / (lags + 1e0)) * s ELSE 0e0 END) AS spread
+  FROM c JOIN l USING (station_id) GROUP BY station_id),
+s AS (SELECT station_id, sum(s * s) AS ss FROM (
+  SELECT station_id, sum(e) OVER (PARTITION BY station_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e) q GROUP BY station_id),
+k AS (SELECT station_id, n, lags, ss / (n * spread) AS stat FROM v JOIN s USING (station_id))
+SELECT station_id, n, cast(lags AS int) AS lags, round(stat, 6) AS kpss_stat, round(CASE WHEN stat <= 0.347 THEN 0.1e0
+  WHEN stat <= 0.463 THEN 0.1e0 - (stat - 0.347e0) / 0.116e0 * 0.05e0 WHEN stat <= 0.574 THEN 0.05e0 - (stat - 0.463e0) / 0.111e0 * 0.025e0
+  WHEN stat <= 0.739 THEN 0.025e0 - (stat - 0.574e0) / 0.165e0 * 0.015e0 ELSE 0.01e0 END, 6) AS p_value FROM k"""
+
+
+@register("t_04_kpss_bandwidth", sql=_KPSS_AUTO_SQL, ctes=_SER)
+def t_04_kpss_bandwidth(spark, sf_dir):
+    return ts.kpss_auto(_series(spark, sf_dir)).select(
+        "station_id", "n", "lags", F.round("kpss_stat", 6).alias("kpss_stat"), F.round("p_value", 6).alias("p_value"))
+
+
 _NL = 48
 _ACF_SQL = f"""
 WITH x AS (SELECT station_id, pos, value - avg(value) OVER (PARTITION BY station_id) AS x FROM ser),
@@ -123,9 +190,22 @@ def t_05_w_14_acf(spark, sf_dir):
     return a.select("station_id", "lag", F.round("acf", 9).alias("acf"), F.round("band", 9).alias("band"))
 
 
-@register("t_06_pacf")
+# the recursion of orders; list index i + 1 is lag i
+_PACF_SQL = f"""
+WITH RECURSIVE a AS (SELECT station_id, list(acf ORDER BY lag) AS r FROM (SELECT station_id, lag, acf FROM acf_long) q GROUP BY station_id),
+walk(station_id, k, r, phi, v, p) AS (
+  SELECT station_id, 0, r, cast([] AS DOUBLE[]), r[1], 1e0 FROM a
+  UNION ALL
+  SELECT station_id, k + 1, r, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - n * phi[k + 1 - i]), n), v * (1e0 - n * n), n
+  FROM (SELECT *, CASE WHEN v = 0 THEN 0e0 ELSE
+      (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i])), 0e0)) / v END AS n
+    FROM walk WHERE k < {_NL}) w)
+SELECT station_id, cast(k AS int) AS lag, round(p, 6) AS pacf FROM walk"""
+
+
+@register("t_06_pacf", sql=_PACF_SQL, ctes=_SER + ", acf_long AS (" + _ACF_SQL.replace("round(acf, 9)", "acf") + ")")
 def t_06_pacf(spark, sf_dir):
-    return ts.pacf(ts.acf(_series(spark, sf_dir), _NL))
+    return ts.pacf(ts.acf(_series(spark, sf_dir), _NL)).select("station_id", "lag", F.round("pacf", 6).alias("pacf"))
 
 
 @register("t_07_sequence_counts", sql="""
