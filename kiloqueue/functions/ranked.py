@@ -78,14 +78,16 @@ def with_halo(df: DataFrame, key: str, order_cols, halo: int) -> DataFrame:
     ranged = in_ranges(df, key, order_cols)
     per = ranged.groupBy(key, PART).agg(F.count(F.lit(1)).alias("_n"))
     starts = before(per, key, {"_n": "_start"}).join(per, [key, PART])
-    many = starts.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(key)
-    starts = starts.join(many, key, "left_semi")  # only keys that span ranges have copies
+    # the ranges that begin within the halo after a range's end: at most ``halo``, as each holds a row of the key
+    after = Window.partitionBy(key).orderBy(PART).rowsBetween(1, halo)
+    end = F.col("_start") + F.col("_n")
+    reach = starts.withColumn("_next", F.collect_list(F.struct(F.col(PART).alias("to"), F.col("_start").alias("at"))).over(after)) \
+        .withColumn("_next", F.filter("_next", lambda r: r["at"] - end < halo)).where(F.size("_next") > 0)
     back = Window.partitionBy(key, PART).orderBy(*[F.col(c).desc() for c in order_cols])
     tail = ranged.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= halo)
-    last = tail.join(starts, [key, PART]).withColumn("_pos", F.col("_start") + F.col("_n") - F.col("_back"))
-    to = starts.select(F.col(key).alias("_to_key"), F.col(PART).alias("_to"), F.col("_start").alias("_to_start"))
-    near = (F.col(key) == F.col("_to_key")) & (F.col("_to") > F.col(PART)) & (F.col("_to_start") - F.col("_pos") <= halo)
-    copies = last.join(to, near).select(*df.columns, F.col("_to").alias(PART), F.lit(True).alias("_halo"))
+    last = tail.join(reach, [key, PART]).withColumn("_pos", end - F.col("_back"))
+    near = F.filter("_next", lambda r: r["at"] - F.col("_pos") <= halo)
+    copies = last.select(*df.columns, F.explode(near).alias("_to")).select(*df.columns, F.col("_to.to").alias(PART), F.lit(True).alias("_halo"))
     return ranged.withColumn("_halo", F.lit(False)).unionByName(copies)
 
 

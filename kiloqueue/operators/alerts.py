@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,54 +112,57 @@ def apply_cooldown(alerts: DataFrame, time_col: str = "event_time", cooldown_s:
     """L-05 batch form: per key, emit an alert if nothing was emitted in the last
     ``cooldown_s`` seconds; suppressed alerts do not extend the cooldown.
 
-    A key's alerts are dealt into time ranges.  Each range is summed up as a
-    step function from the time at which the key may emit again, on entry, to
-    that time on exit (a few steps: chains of emitted alerts soon meet).  The
-    steps of a key are composed in order, and then each range emits by itself.
+    Alerts are dealt into ranges of (key, time).  A key within one range is judged as it is read, in time
+    order.  For a key that spans ranges, each range is summed up as a step function from the time at which
+    the key may emit again, on entry, to that time on exit (a few steps: chains of emitted alerts soon meet);
+    the steps of a key are composed in order, and then its ranges are judged like the others.
     """
     keys, gap = list(key_cols), int(cooldown_s * 1_000_000)
     rows = alerts.select(*keys, F.col(time_col).alias("_t"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_us"),
-                         F.struct(*keys).alias("_k")).where(F.col("_us").isNotNull())
-    spread = ranked.in_ranges(rows, "_k", ["_us"]).drop("_k")
-    part = ranked.PART
-    key_schema = ", ".join(f"{c} {t}" for c, t in spread.select(*keys).dtypes)
+                         F.to_json(F.struct(*keys)).alias("_key")).where(F.col("_us").isNotNull())
+    spread = ranked.in_ranges(rows, "_key", ["_us"])
+    part, never = ranked.PART, np.iinfo(np.int64).min
 
     def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["_us"].to_numpy(np.int64))
         reach = int(np.searchsorted(t, t[0] + gap)) + 1  # no earlier alert blocks longer
         ends = t[_chain_ends(t, gap)][:reach] + gap
         last = np.append(np.flatnonzero(np.diff(ends)), len(ends) - 1)
-        out = pd.DataFrame({"upto": t[last], "exit": ends[last]})
-        for c, v in zip([*keys, part], key):
-            out[c] = v
-        return out[[*keys, part, "upto", "exit"]]
+        return pd.DataFrame({"_key": key[0], part: key[1], "upto": t[last], "exit": ends[last]})
 
     def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = np.iinfo(np.int64).min, []
+        free, out = never, []
         for p, own in pdf.sort_values([part, "upto"]).groupby(part, sort=True):
-            out.append((p, free))
+            out.append((key[0], p, free))
             at = int(np.searchsorted(own["upto"].to_numpy(), free))
             free = int(own["exit"].iloc[at]) if at < len(own) else free
-        done = pd.DataFrame(out, columns=[part, "free"])
-        for c, v in zip(keys, key):
-            done[c] = v
-        return done[[*keys, part, "free"]]
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us", kind="mergesort")
-        t = pdf["_us"].to_numpy(np.int64)
-        nxt, i, kept = _next_allowed(t, gap), int(np.searchsorted(t, pdf["free"].iloc[0])), []
-        while i < len(t):  # one step per emitted alert
-            kept.append(i)
-            i = int(nxt[i])
-        return pdf.iloc[kept][[*keys, "_t"]]
-
-    maps = spread.groupBy(*keys, part).applyInPandas(steps, f"{key_schema}, {part} int, upto long, exit long")
-    entries = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, {part} int, free long")
-    same = [spread[c].eqNullSafe(entries[c]) for c in [*keys, part]]
-    joined = spread.join(entries, same).select(*[spread[c] for c in [*keys, part]], "_t", "_us", "free")
-    kind = dict(spread.dtypes)["_t"]
-    return joined.groupBy(*keys, part).applyInPandas(emit, f"{key_schema}, _t {kind}").withColumnRenamed("_t", time_col)
+        return pd.DataFrame(out, columns=["_key", part, "_free"])
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, free = None, never
+        for pdf in batches:
+            t, key, place, entry = (pdf[c].to_numpy() for c in ("_us", "_key", part, "_free"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (place[1:] != place[:-1])) + 1).tolist(), len(t)]
+            kept = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if (key[lo], place[lo]) != group:  # otherwise it goes on from the batch before
+                    group, free = (key[lo], place[lo]), entry[lo]
+                at = lo + int(np.searchsorted(t[lo:hi], free))
+                while at < hi:  # one step per emitted alert
+                    kept.append(at)
+                    free = t[at] + gap
+                    at = max(at + 1, lo + int(np.searchsorted(t[lo:hi], free)))
+            yield pdf.iloc[kept][[*keys, "_t"]]
+
+    many = spread.select("_key", part).distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_key")
+    maps = spread.join(many, "_key", "left_semi").groupBy("_key", part).applyInPandas(steps, f"_key string, {part} int, upto long, exit long")
+    entries = maps.groupBy("_key").applyInPandas(compose, f"_key string, {part} int, _free long")
+    held = spread.join(entries, ["_key", part], "left").withColumn("_free", F.coalesce("_free", F.lit(never)))
+    schema = ", ".join(f"{c} {t}" for c, t in spread.select(*keys, "_t").dtypes)
+    in_order = held.repartition("_key", part).sortWithinPartitions("_key", part, "_us")
+    return in_order.mapInPandas(emit, schema).withColumnRenamed("_t", time_col)
 
 
 def history(alerts: DataFrame, last_n: int = 50, time_col: str = "event_time", cap: int | None = None,
