@@ -146,10 +146,12 @@ def _survivors(pairs: DataFrame, keys: list[str], slack: float, top_n: int) -> D
     """
     upper = pair_composite(F.greatest(F.col("_d") - slack, F.lit(0.0)), F.col("pref"))
     lower = F.when(F.col("_d") + slack <= F.col("least_detour"), pair_composite(F.col("_d") + slack, F.col("pref")))
-    w = Window.partitionBy(*keys).orderBy(F.col("_lower").desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
     bounded = pairs.where(F.col("_d") - slack <= F.col("most_detour")).withColumns({"_upper": upper, "_lower": lower})
-    return (bounded.withColumn("_nth", F.nth_value("_lower", top_n).over(w))
+    best_first = Window.partitionBy(*keys).orderBy(F.col("_lower").desc())
+    # a row number with a limit keeps the best few of a class in every task, before the shuffle and after it
+    best = bounded.where(F.col("_lower").isNotNull()).select(*keys, "_lower").withColumn("_rn", F.row_number().over(best_first)).where(F.col("_rn") <= top_n)
+    nth = best.groupBy(*keys).agg(F.min("_lower").alias("_nth"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == top_n).drop("_k")
+    return (bounded.join(nth, keys, "left")
             .where(F.col("_nth").isNull() | (F.col("_upper") >= F.col("_nth") - 1e-9)).drop("_upper", "_lower", "_nth", "_d"))
 
 
