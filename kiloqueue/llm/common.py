@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kiloqueue.session import ensure_checkpoint_dir
@@ -36,6 +36,12 @@ class Scratch:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_counted(self, df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, dict]:
+        """``keep``, with ``n``, the number of rows, and other aggregates of them, taken while they are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), name)
+        return kept, seen.get
+
     def drop(self, *names: str) -> None:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:

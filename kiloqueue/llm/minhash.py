@@ -168,7 +168,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): the least node reachable.
 
-    Alternates large-star and small-star steps until the edges are stars around the least nodes.
+    Alternates large-star and small-star steps until they change nothing: then the edges are stars around the
+    least nodes.  Whether they changed is seen while they are written, from their number and a checksum.
     """
     def star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -181,16 +182,14 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         own = least.filter("a <> m").select("a", F.col("m").alias("b"))
         return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
 
-    edges, step = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
+    edges, step, before = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0, None
     while True:
-        edges = tmp.keep(star(star(edges, True), False), f"{name}-{step}")
+        edges, now = tmp.keep_counted(star(star(edges, True), False), f"{name}-{step}", F.bit_xor(F.xxhash64("a", "b")).alias("sum"))
         if step:
             tmp.drop(f"{name}-{step - 1}")
-        # stars around least nodes: each node has one edge, and no centre has an edge to a smaller one
-        twice = edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo < hi")
-        if twice.isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        if now == before or not now["n"]:
             break
-        step += 1
+        before, step = now, step + 1
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
@@ -311,20 +310,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     texts = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     sets = tmp.keep(full_sets(texts.select("node", "class", "text"), width), "sets")
 
-    # first each node's most promising pair, then those between different components
+    # first each node's most promising pair, then those whose ends have not found the same centre
     best = pairs.groupBy(F.col("b").alias("n")).agg(F.max_by("a", "shared").alias("a")).select("a", F.col("n").alias("b"))
-    links = tmp.keep(confirm(likely(best, wanted, LIKELY), sets, percent), "links0")
-    found = tmp.keep(components(links, tmp, "star0"), "found0")
-    tried = tmp.keep(likely(_across(pairs, found), wanted, LIKELY), "likely1")
-    links = tmp.keep(confirm(tried, sets, percent), "links1")
-    if not links.isEmpty():
-        found = tmp.keep(_merged(found, links, tmp, "star1"), "found1")
+    first = tmp.keep(confirm(likely(best, wanted, LIKELY), sets, percent), "links0")
+    centre = first.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    tried = tmp.keep(likely(_across(pairs, centre), wanted, LIKELY), "likely1")
+    links = first.unionByName(tmp.keep(confirm(tried, sets, percent), "links1"))
+    found = tmp.keep(components(links, tmp, "star1"), "found1")
 
     # then all pairs across components of the buckets that are still open
-    members = tmp.keep(_mixed(buckets.join(wanted.select("node"), "node", "left_semi"), found), "mixed")
-    if not members.isEmpty():
-        links = tmp.keep(group_links(tmp.keep(open_groups(members, tmp), "open"), sets, percent), "links2")
-        if not links.isEmpty():
+    members, seen = tmp.keep_counted(_mixed(buckets.join(wanted.select("node"), "node", "left_semi"), found), "mixed")
+    if seen["n"]:
+        links, seen = tmp.keep_counted(group_links(tmp.keep(open_groups(members, tmp), "open"), sets, percent), "links2")
+        if seen["n"]:
             found = tmp.keep(_merged(found, links, tmp, "star2"), "found2")
 
     label = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
@@ -338,7 +336,7 @@ def _labels(found: DataFrame, node: str) -> DataFrame:
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
+    """Pairs whose ends don't have one label (node, component) yet."""
     joined = pairs.join(_labels(found, "a"), "a", "left").join(_labels(found, "b"), "b", "left")
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
