@@ -110,13 +110,19 @@ def near_components(docs, width, percent=80):
 
 
 def leaked(docs, benchmark, share=0.6):
-    """doc_id -> items that have over ``share`` of their word 4-grams in the document."""
+    """doc_id -> items that have over ``share`` of their word 4-grams in the document; items under 8 words: all words in a row."""
     out = {}
-    items = [(i, w) for i, t in benchmark if len(w := regex.findall(r"\w+", t.lower())) >= 8]
+    items = [(i, w) for i, t in benchmark if len(w := regex.findall(r"\w+", (t or "").lower())) >= 4]
+
+    def holds(w, have, x):
+        if len(x) < 8:
+            return any(w[k: k + len(x)] == x for k in range(len(w) - len(x) + 1))
+        return sum(tuple(x[k: k + 4]) in have for k in range(len(x) - 3)) >= share * (len(x) - 3)
+
     for d, t in docs:
         w = regex.findall(r"\w+", (t or "").lower())
         have = {tuple(w[k: k + 4]) for k in range(len(w) - 3)}
-        hit = [i for i, x in items if sum(tuple(x[k: k + 4]) in have for k in range(len(x) - 3)) >= share * (len(x) - 3)]
+        hit = [i for i, x in items if holds(w, have, x)]
         if hit:
             out[d] = sorted(hit)
     return out

@@ -169,6 +169,29 @@ def test_decontamination_of_given_documents(spark):
     assert got == brute.leaked(rows(docs, "doc_id", "text"), rows(benchmark, "item_id", "text"))
 
 
+def test_decontamination_of_all_lengths(spark):
+    """Verbatim items of 4 to 30 words in texts of other benchmark words, ten each; the same words in another order are left alone."""
+    r = np.random.default_rng(6)
+    vocabulary = [f"{a}{b}" for a in "bcdfghjklmnp" for b in ("ado", "eru", "ilo", "onta", "uvem", "are", "ist", "on")]
+    lengths, items, data = (4, 5, 7, 8, 10, 12, 15, 20, 23, 24, 30), [], []
+    for n in lengths:
+        for _ in range(10):
+            items.append((len(items), " ".join(r.choice(vocabulary, n))))
+    for i, text in items:
+        filler, at = r.choice(vocabulary, 200).tolist(), int(r.integers(0, 200))
+        data.append((i, " ".join([*filler[:at], text.upper() if i % 3 == 0 else text, *filler[at:]]), "en", "a"))
+        words = text.split()
+        data.append((1000 + i, " ".join([*filler[:at], *r.permutation(words).tolist(), *filler[at:]]), "en", "a"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(documents(spark, data), benchmark).collect()}
+    for i, _ in items:
+        assert i in got[i].item_ids and got[i].overlap == 1.0, len(items[i][1].split())
+    want = brute.leaked([(i, t) for i, t, *_ in data], items)
+    for i, n in ((i, len(t.split())) for i, t in items):
+        if n < 8:
+            assert (i in got[1000 + i].item_ids) == (i in want.get(1000 + i, []))
+
+
 def test_decontamination_edge_rows(spark):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "few words"), (None, prose(20, 50)), (4, prose(300, 1))], "item_id long, text string")
     docs = documents(spark, edge_rows())
