@@ -2,14 +2,16 @@
 
 Two gated recurrent layers read the bytes of a segment forwards and backwards
 and every byte position gets a distribution over the languages; a document's
-distribution is the mean over all its letter-bearing positions.  Segments are
+distribution is the mean over its letters: ASCII letters and the bytes of
+characters beyond ASCII; marks, digits and punctuation don't vote.  Segments are
 the words with a boundary mark on both sides, longer ones cut every
 ``SEGMENT`` bytes, so equal words share one run of the network and every byte
 of every text is labelled.
 
 Training is back-propagation through time in numpy, on the words of at most
 ``MAX_ROWS`` labelled documents (those with the smallest id hash); ``SHARDS``
-tasks train on their share and the parameters are averaged between rounds.
+tasks train on their share and the parameters are averaged between rounds.  The
+languages are those of these documents.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no
 labelled text every text is ``und``; repeated rows get equal results; empty
@@ -30,8 +32,6 @@ from kiloqueue.llm.common import Scratch, id_bucket
 HIDDEN = 16
 SEGMENT = 32
 MAX_ROWS = 4_096
-#: languages that are told apart, at most: the most frequent ones of the training rows
-MAX_LANGS = 256
 SHARDS = 8
 ROUNDS = 4
 #: segments seen in training
@@ -170,14 +170,12 @@ def train(model: np.ndarray, langs: int, words: list[bytes], labels: np.ndarray,
 def fit(docs: DataFrame, tmp: Scratch) -> tuple[list[str], np.ndarray]:
     """The languages and the averaged model."""
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), 4) != 2))
-    names = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    langs = sorted(r["lang"] for r in names.collect())  # at most MAX_LANGS
-    if not langs:
-        return [], np.zeros(0, np.float32)
-    chosen = learn.filter(F.col("lang").isin(langs)).select("doc_id", "lang", "text") \
-        .withColumn("order", F.xxhash64("doc_id", "lang"))
+    chosen = learn.select("doc_id", "lang", "text").withColumn("order", F.xxhash64("doc_id", "lang"))
     ids = chosen.select("order").orderBy("order").limit(MAX_ROWS).agg(F.max("order").alias("m"))
     rows = tmp.keep(chosen.filter(F.col("order") <= ids.scalar()).select("lang", "text", F.pmod("order", F.lit(SHARDS)).cast("int").alias("shard")), "learn")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # of a bounded sample
+    if not langs:
+        return [], np.zeros(0, np.float32)
     model, number = start_model(len(langs)), {x: i for i, x in enumerate(langs)}
     for turn in range(ROUNDS):
         now = model
@@ -211,33 +209,35 @@ def letter_free(text: str) -> bool:
 
 
 class WordLabels:
-    """Summed position probabilities of words, run in batches and held for later words of the task."""
+    """Summed probabilities of words, over all positions and over letters, run in batches and held for later words of the task."""
 
     def __init__(self, model: np.ndarray, langs: int):
         self.parts, self.langs = unpack(model, langs), langs
         self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((0, langs))
+        self.sums = self.letters = np.zeros((0, langs))
 
     def learn(self, words: list[bytes]) -> None:
         """Run the network over segments that are new, those of like length together."""
         new = sorted((w for w in set(words) if w not in self.known), key=len)
         if len(self.known) + len(new) > HELD:  # bounded memory: forget, and run words again when they come back
-            self.known, self.sums, new = {}, self.sums[:0], sorted(set(words), key=len)
-        rows = []
+            self.known, self.sums, self.letters, new = {}, self.sums[:0], self.letters[:0], sorted(set(words), key=len)
+        rows, letters = [], []
         for lo in range(0, len(new), RUN):
             data, size = pack(new[lo: lo + RUN])
             p, live, *_ = forward(self.parts, data, size)
             rows.append((p * live[:, :, None]).sum(0))
+            letter = (data >= 128) | ((data | 32) - ord("a") < 26)  # unsigned bytes: below "a" wraps round
+            letters.append((p * (live * letter)[:, :, None]).sum(0))
         self.known.update((w, len(self.sums) + i) for i, w in enumerate(new))
-        self.sums = np.concatenate([self.sums, *rows])
+        self.sums, self.letters = np.concatenate([self.sums, *rows]), np.concatenate([self.letters, *letters])
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean position probabilities of texts given as segments; no segments: zeros."""
+        """Mean probabilities of the letters of texts given as segments; no letters: zeros."""
         every = [s for t in texts for s in t]
         self.learn(every)
         at = np.fromiter((self.known[s] for s in every), np.int64, len(every))
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        out = np.stack([np.bincount(owner, weights=self.sums[at, k], minlength=len(texts)) for k in range(self.langs)], 1)
+        out = np.stack([np.bincount(owner, weights=self.letters[at, k], minlength=len(texts)) for k in range(self.langs)], 1)
         return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
 
 

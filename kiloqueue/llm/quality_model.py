@@ -12,8 +12,8 @@ logit per hashed row (0.25 MB), which is what the scoring tasks get; they run
 over the bytes of whole texts with no step per word.
 
 Edge cases: null and empty texts have no features and get the bias alone; with
-no labels, or one class, every score is the share of class 1 (0.5 without
-labels); repeated rows score alike; empty tables give empty results.  Only
+no labels scores are those of the untrained model, all near 0.5, with one class
+they lean to it; repeated rows score alike; empty tables give empty results.  Only
 doc_id and text of the documents are read, and doc_id not as a feature.
 """
 
