@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiloqueue.llm.common import WORD, Scratch, let
+from kiloqueue.llm.common import SPACE_CHARS, Scratch, let
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -32,8 +32,16 @@ THRESHOLD = -0.35
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
+def _without(text: Column, chars: str, by: str = "") -> Column:
+    """``text`` with each of ``chars`` replaced: plain byte searches, no pattern."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words by a split at single spaces, which needs no pattern."""
+    return F.array_remove(F.split(_without(text, SPACE_CHARS.replace(" ", ""), " "), " ", -1), "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -46,7 +54,9 @@ def repeat_words(words: Column) -> Column:
         n = F.size(h) - 2
         full = F.transform(F.slice(h, 1, F.greatest(n, F.lit(0))),
                            lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
-        return let(full, lambda f: pack(f, F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int")))
+        # most texts repeat no window
+        return let(full, lambda f: F.when(F.size(F.array_distinct(f)) == F.size(f), F.lit(0).cast("long")).otherwise(
+            pack(f, F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int"))))
 
     def pack(f: Column, bits: Column) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
@@ -76,10 +86,10 @@ def repeat_words(words: Column) -> Column:
 
 def base_columns(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     return {
-        "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(_without(t, SPACE_CHARS)).cast("long"),
+        "n_symbols": (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n": let(_words(t), lambda w: F.struct(F.size(w).cast("long").alias("words"), repeat_words(w).alias("repeat"))),
     }
