@@ -73,10 +73,14 @@ def _apart(tag: str, attrs: dict[str, str]) -> bool:
     return tag not in ("html", "body", "main") and bool(APART_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
 
 
-def _by_name(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _by_name(tag: str, attrs: dict[str, str]) -> bool:
     """Furniture by class or id, unless it is the page's frame."""
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return tag not in ("html", "body", "main") and (bool(FURNITURE_NAMES.search(names)) or not in_article and bool(HEADER_NAMES.search(names)))
+    return tag not in ("html", "body", "main") and bool(FURNITURE_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+
+
+def _header(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """A page's header by class or id, unless it is the page's frame or all there is."""
+    return not in_article and tag not in ("html", "body", "main") and bool(HEADER_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
 
 
 class _Tree:
@@ -84,13 +88,15 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tag, self.up, self.good = ["#"], [-1], [False]
-        self.apart, self.by_name = [False], [False]
+        self.apart, self.by_name, self.header = [False], [False], [False]
         self.inside = [False]  # an article or main element
         self.pieces: list[tuple[int, int, str]] = []  # element, number of its block, text
         self._read(page)
-        self.skip = self._skipped()
+        self.skip = self._skipped([a or b for a, b in zip(self.by_name, self.header)])
+        if not any(not self.skip[element] and not text.isspace() for element, _, text in self.pieces):
+            self.skip = self._skipped(self.by_name)  # where headers are all there is, they are the page
 
-    def _skipped(self) -> list[bool]:
+    def _skipped(self, by_name: list[bool]) -> list[bool]:
         """Furniture and all in it.  A name makes no furniture of what holds an article, or several other parts and paragraphs beside them."""
         n = len(self.tag)
         own, holds, parts, paragraphs = [False] * n, [False] * n, [0] * n, [0] * n
@@ -101,13 +107,13 @@ class _Tree:
             if self.apart[i]:
                 parts[up] += 1
                 continue
-            parts[up] += parts[i] or self.by_name[i]
-            if not (self.by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])):
+            parts[up] += parts[i] or by_name[i]
+            if not (by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])):
                 holds[up] = holds[up] or holds[i] or self.tag[i] in ("article", "main")
                 paragraphs[up] += paragraphs[i] + (own[i] and self.tag[i] in ("p", "pre", "blockquote"))
         skip = [False] * n
         for i in range(1, n):
-            named = self.by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])
+            named = by_name[i] and not self._frame(holds[i], parts[i], paragraphs[i])
             skip[i] = skip[self.up[i]] or self.apart[i] or named
         return skip
 
@@ -146,7 +152,8 @@ class _Tree:
             self.up.append(top)
             self.inside.append(self.inside[top] or tag in ("article", "main"))
             self.apart.append(_apart(tag, attrs) or _by_tag(tag, attrs, self.inside[top]))
-            self.by_name.append(_by_name(tag, attrs, self.inside[top]))
+            self.by_name.append(_by_name(tag, attrs))
+            self.header.append(_header(tag, attrs, self.inside[top]))
             self.good.append(bool(GOOD_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")))
             stack.append(len(self.tag) - 1)
 
