@@ -166,7 +166,7 @@ def adf(series: DataFrame, key: str = "station_id") -> DataFrame:
     w = _w(key)
     d = series.withColumn("_level", F.lag("value", 1).over(w)).withColumn("_d", F.col("value") - F.col("_level"))
     past = [f"_d{k}" for k in range(1, top + 1)]
-    rows = d.where(F.col("_level").isNotNull()).withColumns(
+    rows = d.where(F.col("_level").isNotNull() & F.col(key).isNotNull()).withColumns(
         {"_have": F.least(F.row_number().over(w) - 1, F.lit(top)), **{c: F.coalesce(F.lag("_d", k).over(w), F.lit(0.0)) for k, c in enumerate(past, 1)}})
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +175,7 @@ def adf(series: DataFrame, key: str = "station_id") -> DataFrame:
             full = pdf["_have"].to_numpy() == top
             part, out = pdf.loc[~full, [key]].assign(a=pdf.loc[~full, "_have"], v=list(z[~full])), []
             whole = z[full]
-            for k, at in pdf[full].groupby(key, dropna=False).indices.items():
+            for k, at in pdf[full].groupby(key).indices.items():
                 y = whole[at]
                 out.append((k, top, (y.T @ y).ravel()))
             yield pd.concat([part, pd.DataFrame(out, columns=[key, "a", "v"])]) if out else part
