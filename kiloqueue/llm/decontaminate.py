@@ -10,9 +10,13 @@ are taken in blocks of ``BLOCK`` passages; their words are the terms.
    the shared terms.  All others cannot be candidates and are not stored.
 3. Randomised SVD of the stored passages A: Y = A'(A W) with W the benchmark
    vectors and Gaussian columns, summed over tasks in a tree of fan-in ``FAN``;
-   W's benchmark vectors and the left singular vectors of the rest of Y span the
-   latent space, so cosines with a benchmark vector are kept in full, whatever A holds.
-4. Cosine search in that space; candidates are confirmed when the longest common
+   W's benchmark vectors and the ``TOPICS`` strongest left singular vectors of the
+   rest of Y span the latent space, so products with a benchmark vector are kept in
+   full, whatever A holds.
+4. Cosine search in that space: of a passage only the part in the space counts, its
+   length too, so words that neither the benchmark texts nor the corpus' strongest
+   directions explain don't dilute a copy.  That cosine is never below the TF-IDF
+   cosine.  Candidates are confirmed when the longest common
    subsequence with the words around the passage has ``OVERLAP`` of the
    benchmark passage's words, and its last sentence (the answer) at least
    ``ANSWER_OVERLAP`` of its own, which allows paraphrase by words changed,
@@ -49,6 +53,7 @@ ANCHOR = 8
 BLOCK = 256
 GAUSSIAN = 16
 SMALL = 0.004
+TOPICS = 64
 FAN = 8
 COSINE = 0.5
 OVERLAP = 0.6
@@ -226,12 +231,14 @@ def _sparse(batch) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _range(columns: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """Orthonormal directions of the columns, strongest first."""
     u, s, _ = np.linalg.svd(columns, full_matrices=False)
     return u[:, s > max(s[0] * 1e-10, floor)]
 
 
 def latent_space(near: DataFrame, vectors: np.ndarray, start: np.ndarray, tmp: Scratch) -> np.ndarray:
-    """Orthonormal basis (term, dimension) of the range of ``vectors``' and A'A ``start``, by singular value decomposition."""
+    """Orthonormal basis (term, dimension): the range of ``vectors``' and, of A'A ``start``, the ``TOPICS`` strongest
+    directions beside it, by singular value decomposition."""
     shape = start.shape
     own = _range(vectors.T)
 
@@ -250,17 +257,17 @@ def latent_space(near: DataFrame, vectors: np.ndarray, start: np.ndarray, tmp: S
         return pa.Table.from_pydict({"part": pa.array([rows[0][0]], pa.int64()), "y": pa.array([total.tobytes()], pa.binary())})
 
     sums, parts, turn = tmp.keep(near.mapInArrow(run, "part long, y binary"), "sums0"), near.rdd.getNumPartitions(), 0
-    while parts > FAN:
+    while parts > 1:
         parts, turn = -(-parts // FAN), turn + 1
         sums = tmp.keep(sums.groupBy(F.pmod("part", F.lit(parts)).alias("g")).applyInArrow(add, "part long, y binary")
                         .withColumn("part", F.pmod("part", F.lit(parts))), f"sums{turn}")
-    rows = sorted((r["part"], bytes(r["y"])) for r in sums.collect())  # at most FAN matrices
+    rows = sums.collect()  # one matrix
     if not rows:
         return own
-    y = np.sum([np.frombuffer(r[1], np.float64) for r in rows], 0).reshape(shape)
+    y = np.frombuffer(rows[0]["y"], np.float64).reshape(shape).copy()
     floor = 1e-10 * np.linalg.norm(y)
     y -= own @ (own.T @ y)
-    return np.concatenate([own, _range(y - own @ (own.T @ y), floor)], 1)
+    return np.concatenate([own, _range(y - own @ (own.T @ y), floor)[:, :TOPICS]], 1)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -289,6 +296,7 @@ def confirmed(near: DataFrame, items: Items, vectors: np.ndarray, basis: np.ndar
             rows = _sparse(b)
             for lo, hi in _groups(rows, 1024):
                 latent = np.stack([w @ v[t] for t, w in rows[lo:hi]])
+                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
                 for i, j in np.argwhere(latent @ queries.T >= COSINE):
                     text = np.frombuffer(around[lo + i], np.int32)
                     words, answer = items.words[j], items.answers[j]

@@ -219,6 +219,30 @@ def test_latent_space_keeps_the_cosines_of_benchmark_vectors(spark):
     assert np.allclose(vectors @ fewer @ fewer.T, vectors, atol=1e-8)
 
 
+def test_the_latent_space_of_the_corpus_decides(spark, monkeypatch):
+    """Paraphrases among words that no strong direction explains are found; which ones are candidates depends on the stored passages."""
+    r = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(1200)]
+    items = [(i, " ".join(r.choice(vocabulary, 26, replace=False))) for i in range(60)]
+    data = [(5000 + k, " ".join([*items[k % 60][1].split()[:14], *r.choice(vocabulary[:6], 50)])) for k in range(400)]
+    for i, text in items:
+        part = [w for n, w in enumerate(text.split()) if n % 4 != 3]
+        data.append((i, " ".join([*r.choice(vocabulary, 40, replace=False), *part, *r.choice(vocabulary, 44, replace=False)])))
+        data.append((1000 + i, " ".join([*r.choice(vocabulary[:6], 44), *part, *r.choice(vocabulary[:6], 40)])))
+    data += [(10_000 + k, "other words alone") for k in range(4000)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        got = {x.doc_id: x.item_ids for x in decontaminate.contamination(documents(spark, [(*d, "en", "a") for d in data]), benchmark).filter("contaminated").collect()}
+        return [sum(i in got.get(base + i, []) for i, _ in items) for base in (0, 1000)]
+
+    scattered, topical = found()
+    assert scattered == 60
+    whole = decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda near, *rest: whole(near.limit(0), *rest))
+    assert found() == [60, 60] and topical < 60
+
+
 def test_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(50):
