@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kiloqueue.functions import geo, spatial
 from kiloqueue.functions.scalars import action_label, routing_url
 from kiloqueue.operators.predict import predict_table
-from kiloqueue.session import materialise
+from kiloqueue.session import materialise, shuffle_partitions
 
 # Preference weights per priority (wait, distance, availability,
 # reliability, traffic), normalisers, bonuses.
@@ -35,6 +35,8 @@ FAST_CHARGER_KW = 150.0
 DEFAULT_WAIT = 20.0
 #: degrees of the cells in which users are pruned together, large first
 CELL_DEGREES = {"large": 0.04, "small": 0.01}
+#: stations of a part of a grid cell, in which they meet the classes of users
+CELL_STATIONS = 500
 #: rows of a group that are folded as one array
 FOLD_ROWS = 1000
 #: parts that a dense cell's rows are dealt over
@@ -155,6 +157,20 @@ def _survivors(pairs: DataFrame, keys: list[str], slack: float, top_n: int) -> D
             .where(F.col("_nth").isNull() | (F.col("_upper") >= F.col("_nth") - 1e-9)).drop("_upper", "_lower", "_nth", "_d"))
 
 
+def _meet(classes: DataFrame, stations: DataFrame, at: list[str]) -> DataFrame:
+    """The join of classes and stations on their cell, a part of a cell's stations at a time.
+
+    The grid has few cells where detours are long, and a few MB of stations make many pairs: cells are cut into
+    parts of about ``CELL_STATIONS``, and the parts are dealt to a number of tasks that is not made smaller for small inputs.
+    """
+    n = shuffle_partitions(stations.sparkSession)
+    sizes = stations.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / CELL_STATIONS).cast("int").alias("_parts"))
+    dealt = stations.join(sizes, at).withColumn("_part", F.pmod(F.xxhash64("station_id", "lat", "lng"), F.col("_parts")).cast("int")).drop("_parts")
+    spread = classes.join(sizes, at).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    keys = [*at, "_part"]
+    return spread.repartition(n, *keys).join(dealt.repartition(n, *keys), keys).drop("_part")
+
+
 def candidate_pairs(users: DataFrame, stations: DataFrame, top_n: int) -> DataFrame:
     """The (user, station) pairs that can be in a user's top: users by cell, priority, connector and detour band
     are pruned against stations first in large cells, then in small ones.
@@ -175,11 +191,11 @@ def candidate_pairs(users: DataFrame, stations: DataFrame, top_n: int) -> DataFr
 
     bands = [r["band"] for r in u.select("band").distinct().collect()] or [0]  # powers of two of kilometres: a few
     radius = F.pow(F.lit(2.0), F.col("band")) + slack[coarse]
-    st = stations.withColumn("band", F.explode(F.array(*map(F.lit, bands)))) \
-        .withColumn("_cell", geo.own_cell("lat", "lng", radius))
+    st = materialise(stations.withColumn("band", F.explode(F.array(*map(F.lit, bands))))
+                     .withColumn("_cell", geo.own_cell("lat", "lng", radius)), "stations")
     large = with_weights(u.groupBy(*coarse_keys).agg(*detours)) \
         .withColumn("_cell", F.explode(geo.neighbour_cells(F.col(f"lat_{coarse}"), F.col(f"lng_{coarse}"), radius)))
-    first = _survivors(large.join(st, ["band", "_cell"]).withColumn("_d", distance(coarse)).drop("_cell"),
+    first = _survivors(_meet(large, st, ["band", "_cell"]).withColumn("_d", distance(coarse)).drop("_cell"),
                        coarse_keys, slack[coarse], top_n).drop("least_detour", "most_detour")
     small = u.groupBy(*fine_keys, *coarse_keys[3:]).agg(*detours)
     second = _survivors(small.join(first, coarse_keys).withColumn("_d", distance(fine)), fine_keys, slack[fine], top_n)

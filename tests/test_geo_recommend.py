@@ -54,3 +54,20 @@ def test_diversify_keeps_first_and_third(spark):
                                  "user_id long, rank int, station_id long, lat double, lng double")
     kept = [r.station_id for r in rc.diversify(recs, 1.0).orderBy("rank").collect()]
     assert kept == [10, 12]
+
+
+def test_stations_of_one_grid_cell_are_dealt_over_tasks(spark):
+    """A cell's stations meet the classes in parts; all pairs are made, also of stations without an id or that come twice."""
+    from pyspark.sql import functions as F
+
+    from kiloqueue.operators import recommend as rc
+
+    rows = [(i if i % 7 else None, 37.0 + i % 50 * 1e-4, -122.0) for i in range(6000)]
+    cell = F.struct(F.lit(1).alias("band"), F.lit(2).alias("cell")).alias("_cell")
+    stations = spark.createDataFrame([*rows, *rows[:20], (None, 1.0, 1.0)], "station_id long, lat double, lng double").select("*", F.lit(5).alias("band"), cell)
+    classes = spark.createDataFrame([(k,) for k in range(3)], "k int").select("k", F.lit(5).alias("band"), cell)
+    met = rc._meet(classes, stations, ["band", "_cell"]).select("k", "station_id", "lat", "lng")
+    plain = classes.join(stations, ["band", "_cell"]).select("k", "station_id", "lat", "lng")
+    assert met.count() == plain.count() == 3 * 6021 and met.exceptAll(plain).count() == 0
+    per_task = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 1 and max(per_task) < 0.7 * sum(per_task)
