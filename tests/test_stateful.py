@@ -163,3 +163,35 @@ def test_runs_hold_at_most_twice_the_state(spark, tmp_path):
     again = Runs(spark, str(tmp_path / "runs"), runs.schema, newest)
     assert again.manifest() == runs.manifest() and again.read().count() == len(want)
     assert Runs(spark, str(tmp_path / "none"), runs.schema, newest).read().count() == 0
+
+
+def test_alert_ring_works_without_tables(monkeypatch):
+    """A key's rows are handled as lists: what is dismissed goes, the newest stay, a dismissal holds for later alerts."""
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def exists(self):
+            return self.held is not None
+
+        def update(self, row):
+            self.held = row
+
+    def rows(*data):
+        return iter([pd.DataFrame([d], columns=["us", "rule_order", "session_id", "alert_type"]) for d in data])
+
+    def fail(*a, **k):
+        raise AssertionError("no table a key")
+
+    ring = stateful.AlertRing(2)
+    ring.ring = Value()
+    monkeypatch.setattr(stateful.pd, "concat", fail)
+    list(ring.handleInputRows((1, 0), rows((10, 1, 5, "a"), (10, 2, 5, "b"), (3, 1, 4, "a"), (None, None, None, None)), None))
+    assert ring.ring.held == (None, [10, 10], [2, 1], [5, 5], ["b", "a"])
+    list(ring.handleInputRows((1, 0), rows((10, None, None, None), (12, 1, 7, "a")), None))
+    list(ring.handleInputRows((1, 0), rows((9, 1, 8, "a")), None))
+    assert ring.ring.held == (10, [12], [1], [7], ["a"])
