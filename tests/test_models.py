@@ -139,3 +139,22 @@ def test_cooldown_of_nothing(spark):
     assert al.apply_cooldown(none).count() == 0
     one = none.unionByName(spark.createDataFrame([(1, "A", dt.datetime(2024, 1, 1))], none.schema))
     assert al.apply_cooldown(one).count() == 1
+
+
+def test_sequences_are_fitted_in_partitions_of_a_stated_number_of_rows(spark, monkeypatch):
+    """However few partitions the windows come in; calendars of few keys are dealt over tasks too."""
+    from pyspark.sql import functions as F
+
+    from kiloqueue.operators import ml
+    from kiloqueue.operators import timeseries as ts
+
+    monkeypatch.setattr(ml, "ROWS_PER_TASK", 100)
+    windows = spark.range(2000).coalesce(1).select(F.array(F.array(F.col("id").cast("double"))).alias("X"), F.lit(1.0).alias("y"))
+    data = ml._sequence_table(windows)
+    per_task = [r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 and len(per_task) == 20 and max(per_task) < 400, per_task
+    assert sorted(r.features[0] for r in data.collect()) == list(range(2000))
+    sessions = spark.range(400).select((F.col("id") % 40).alias("station_id"), F.timestamp_seconds(F.col("id") * 40_000).alias("session_start"), F.lit(1.0).alias("wait_time_minutes"))
+    series = ts.hourly_series(sessions)
+    held = [set(x) for x in series.rdd.map(lambda r: r.station_id).mapPartitions(lambda ids: [set(ids)]).collect()]
+    assert sum(map(bool, held)) > 1 and sum(map(len, held)) == 40
