@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiloqueue.functions import geo, ranked
-from kiloqueue.session import materialise
+from kiloqueue.session import materialise, shuffle_partitions
 
 #: points of a block
 BLOCK = 64
@@ -130,7 +130,9 @@ def counts_within(queries: DataFrame, points: DataFrame, radius_km: float, lat:
         total = parents.join(own, "q", "full").select("q", (F.coalesce("total", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("total"))
     places = q.points.select("block", F.col(lat).alias("_qlat"), F.col(lng).alias("_qlng"))
     near = s.points.select(F.col("block").alias("s"), F.col(lat).alias("_slat"), F.col(lng).alias("_slng"), F.col(n).alias("_n"))
-    tested = (places.join(crossing.withColumnRenamed("q", "block"), "block").join(near, "s")
+    # a stated number of partitions: few bytes are much work here, and would be put into one task
+    tasks = max(4 * places.sparkSession.sparkContext.defaultParallelism, shuffle_partitions(places.sparkSession))
+    tested = (places.repartition(tasks, "block").join(crossing.withColumnRenamed("q", "block"), "block").join(near, "s")
               .where(geo.haversine_km("_qlat", "_qlng", "_slat", "_slng") < radius_km)
               .groupBy("_qlat", "_qlng").agg(F.sum("_n").alias("_tested")))
     out = places.join(total.select(F.col("q").alias("block"), "total"), "block", "left").join(tested, ["_qlat", "_qlng"], "left")

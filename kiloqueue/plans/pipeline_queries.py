@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kiloqueue.functions.scalars import rounded
 from kiloqueue.operators import clean as cl
 from kiloqueue.operators import features as fe
 from kiloqueue.plans.oracle_base import haversine_sql
@@ -86,7 +87,7 @@ def m_19_p_12_p_23_features(spark, sf_dir):
     st = cl.clean_stations(ad.raw_stations(spark, sf_dir))
     merged = cl.merge_datasets(st, cl.clean_sessions(ad.sessions(spark, sf_dir)), ad.traffic(spark, sf_dir), ad.weather_row())
     out = fe.engineer_features(merged, st, keep_keys=True)
-    return out.select("session_id", "station_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in fe.KEY_COLUMNS])
+    return out.select("session_id", "station_id", *[rounded(F.col(c), 6).alias(c) for c in out.columns if c not in fe.KEY_COLUMNS])
 
 
 @register("p_19_p_21_feature_columns", sql="""

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from kiloqueue.functions.scalars import congestion_score, wait_recommendation
+from kiloqueue.functions import ranked, spatial
+from kiloqueue.functions.scalars import congestion_score, rounded, wait_recommendation
 from kiloqueue.operators import clean as cl
 from kiloqueue.operators import features as fe
 
@@ -83,3 +84,38 @@ def test_split_is_disjoint_and_whole(spark):
     n, a, b = s.count(), tr.count(), te.count()
     assert a + b == n and 0.75 <= a / n <= 0.85
     assert tr.join(te, "session_id").count() == 0
+
+
+def test_rounded_is_round_to_the_bit(spark):
+    import struct
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    ties = [(2 * k + 1) / 2e6 for k in r.integers(-10**9, 10**9, 3000).tolist()]
+    wide = (r.normal(size=6000) * 10.0 ** r.integers(-9, 14, 6000)).tolist()
+    odd = [None, 0.0, -0.0, -1e-9, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), 5e-324, 999999.9999995, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in ties + wide + odd], "x double")
+    bits = lambda v: v if v is None else "nan" if v != v else struct.pack("d", v)
+    rows = df.select("x", rounded("x", 6).alias("a"), F.round("x", 6).alias("b")).collect()
+    assert [x for x in rows if bits(x.a) != bits(x.b)] == []
+
+
+def test_only_columns_with_gaps_are_ranked(spark, monkeypatch):
+    asked, found = [], ranked.quantiles
+    monkeypatch.setattr(ranked, "quantiles", lambda df, cols, *more: asked.append(list(cols)) or found(df, cols, *more))
+    df = spark.createDataFrame([(1, 1.0, None, None, float("inf")), (2, 4.0, 7.0, None, 2.0), (3, 2.0, 8.0, None, 4.0)],
+                               "whole int, full double, gap double, none double, endless double")
+    out = fe.fill_numeric_medians(df).collect()
+    assert asked == [["gap", "none", "endless"]]
+    assert [tuple(r) for r in out] == [(1.0, 1.0, 7.5, 0.0, 3.0), (2.0, 4.0, 7.0, 0.0, 2.0), (3.0, 2.0, 8.0, 0.0, 4.0)]
+    assert fe.fill_numeric_medians(df.select("whole", "full")).dtypes == [("whole", "double"), ("full", "double")] and len(asked) == 1
+
+
+def test_places_of_a_dense_spot_are_dealt_over_tasks(spark):
+    """However few bytes they have: each place is compared with all near ones."""
+    places = spark.range(1500).select((37.7 + F.col("id") % 40 * 1e-3).alias("lat"), (-122.4 + F.floor(F.col("id") / 40) * 1e-3).alias("lng"), F.lit(1).alias("n"))
+    counts = spatial.counts_within(places.drop("n"), places, 2.0)
+    joins = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [block" in joins
+    assert counts.count() == 1500
